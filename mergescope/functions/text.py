@@ -27,7 +27,7 @@ FUNCTION_WORDS_SHORT_PATTERN = r"\bfunction\b|\bdef\b|\bclass\b|\bmethod\b"
 COMMENT_PATTERN = r"#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''"
 COMMENT_DOTALL_PATTERN = r"(?s)#.*|//.*|/\*.*?\*/"
 COMMENT_SLASH_PATTERN = r"//[^\n]*|/\*[\s\S]*?\*/"
-LINE_BREAK_PATTERN = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK_PATTERN = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 _LINE_START = r"(?:^|\n)"
 _SENTENCE_START = r"(?:^|[.!?\n])"
