@@ -14,7 +14,12 @@ from .registry import query, sql_case, sql_list
 NL = "chr(10)"
 LINES = f"string_split(content, {NL})"
 BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
-FUNCTIONS = text.FUNCTION_PATTERN
+FUNCTIONS = (
+    r"\bdef\b\s+\w+\s*\(|\bfunction\b\s*\w*\s*\(|\b(void|int|float|double|char|short|long|bool|String|string)\b\s+\w+\s*\("
+    r"|\bfunc\b\s+\w+\s*\(|\bfun\b\s+\w+\s*\("
+)
+WORDS = r"\bdef\b|\bfunction\b|\bfunc\b|\bvoid\b|\bint\b|\bString\b|\bchar\b|\bstring\b"
+SHORT_WORDS = r"\bfunction\b|\bdef\b|\bclass\b|\bmethod\b"
 COMMENTS = text.COMMENT_PATTERN.replace("'", "''")
 
 
@@ -39,12 +44,12 @@ def _(spark, sf):
 @query("function_lines", "F6", f"""
 SELECT file_id, len(list_filter({LINES}, lambda l: contains(l, 'def ') OR contains(l, 'function '))) n FROM code_files""", "code_files")
 def _(spark, sf):
-    return views.code_files(spark, sf).select("file_id", text.function_line_count(F.col("content")).alias("n"))
+    return views.code_files(spark, sf).select("file_id", text.function_line_count(text.lines_of(F.col("content"))).alias("n"))
 
 
 @query("function_patterns", "F7", f"""
-SELECT file_id, {matches(FUNCTIONS)} functions, {matches(text.FUNCTION_WORDS_PATTERN)} words,
-  {matches(text.FUNCTION_WORDS_SHORT_PATTERN)} short_words FROM code_files""", "code_files")
+SELECT file_id, {matches(FUNCTIONS)} functions, {matches(WORDS)} words,
+  {matches(SHORT_WORDS)} short_words FROM code_files""", "code_files")
 def _(spark, sf):
     c = F.col("content")
     return views.code_files(spark, sf).select(
@@ -58,7 +63,7 @@ SELECT file_id, len(list_filter({LINES}, lambda l: regexp_matches(trim(l), '^(#|
 def _(spark, sf):
     c = F.col("content")
     return views.code_files(spark, sf).select(
-        "file_id", text.comment_line_count(c).alias("n"), text.comment_line_count(c, block=True).alias("with_blocks"))
+        "file_id", text.comment_line_count(text.lines_of(c)).alias("n"), text.comment_line_count(text.lines_of(c), block=True).alias("with_blocks"))
 
 
 @query("comment_patterns", "F9", rf"""
@@ -77,7 +82,7 @@ ISSUE_WORDS = [w for group in tables.ISSUE_KEYWORDS.values() for w in group]
 @query("issue_lines", "F10", f"""
 SELECT file_id, len(list_filter({LINES}, lambda l: {' OR '.join(f"contains(l, '{w}')" for w in ISSUE_WORDS)})) n FROM code_files""", "code_files")
 def _(spark, sf):
-    return views.code_files(spark, sf).select("file_id", text.issue_line_count(F.col("content")).alias("n"))
+    return views.code_files(spark, sf).select("file_id", text.issue_line_count(text.lines_of(F.col("content"))).alias("n"))
 
 
 KEYWORDS_SQL = "CASE ext " + " ".join(f"WHEN '{e}' THEN {sql_list(w)}" for e, w in tables.LANGUAGE_KEYWORDS.items()) + " ELSE []::VARCHAR[] END"
@@ -297,7 +302,7 @@ def _(spark, sf):
 
 
 @query("short_file_features", "Q3", f"""
-SELECT path, repository, len({LINES}) - 1 num_lines, {matches(text.FUNCTION_WORDS_PATTERN)} num_functions,
+SELECT path, repository, len({LINES}) - 1 num_lines, {matches(WORDS)} num_functions,
   {matches('(?s)#.*|//.*|/[*].*?[*]/')} num_comments, {KEYWORD_SUM} num_keywords, label AS labels
 FROM code_files JOIN ({FILE_LABELS}) USING (file_id)""", "code_files")
 def _(spark, sf):
@@ -339,7 +344,7 @@ PULL_LABELS = f"SELECT pr_id, {LABEL} AS label FROM (SELECT pr_id, {COUNT_COLUMN
 SELECT pr_id, position, loc, comments, functions, language_keywords_count, label FROM files JOIN
  (SELECT file_id, {matches(BREAKS)} + (content <> '' AND NOT regexp_matches(right(content, 1), '{BREAKS}'))::INT loc,
   CASE WHEN ext = 'py' THEN len(regexp_extract_all(content, '(^|\n)[ \t]*("{{3}}[\s\S]*?"{{3}}|''{{3}}[\s\S]*?''{{3}})')) ELSE {matches(r'//[^\n]*|/[*][\s\S]*?[*]/')} END AS comments,
-  CASE WHEN ext = 'py' THEN len(list_filter({LINES}, lambda l: regexp_matches(l, '^[ \t]*def[ \t]+\w+'))) ELSE {matches(text.FUNCTION_WORDS_SHORT_PATTERN)} END functions,
+  CASE WHEN ext = 'py' THEN len(list_filter({LINES}, lambda l: regexp_matches(l, '^[ \t]*def[ \t]+\w+'))) ELSE {matches(SHORT_WORDS)} END functions,
   len(list_filter(regexp_split_to_array(content, '\s+'), lambda t: list_contains({KEYWORDS_SQL}, t))) language_keywords_count
   FROM code_files WHERE ext IN ({', '.join(repr(e) for e in tables.LANGUAGE_KEYWORDS)})) USING (file_id)
  JOIN ({PULL_LABELS}) USING (pr_id)""", "code_files files pulls")

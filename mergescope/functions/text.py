@@ -1,44 +1,36 @@
 """Text features of source files and issues as Column expressions.
 
-Counts use one anchored regular expression per rule instead of splitting a text into an array of lines:
-nothing is materialised per line, and each pattern scans a text once.
+Everything is a built-in function on the row itself; no rule shuffles. Rules about lines, words or sentences take the
+array of them, so that a plan with several such rules splits a text once (see plans.files).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tables
 
-# Patterns.
+# Patterns. The lookahead only skips positions at which no alternative can begin.
 FUNCTION_PATTERN = (
-    r"\bdef\b\s+\w+\s*\("
-    r"|\bfunction\b\s*\w*\s*\("
-    r"|\b(?:void|int|float|double|char|short|long|bool|String|string)\b\s+\w+\s*\("
-    r"|\bfunc\b\s+\w+\s*\("
-    r"|\bfun\b\s+\w+\s*\("
+    r"(?=[dfvicslbS])\b(?:def\s+\w+|function\b\s*\w*"
+    r"|(?:void|int|float|double|char|short|long|bool|String|string)\s+\w+|func?\s+\w+)\s*\("
 )
-FUNCTION_WORDS_PATTERN = r"\bdef\b|\bfunction\b|\bfunc\b|\bvoid\b|\bint\b|\bString\b|\bchar\b|\bstring\b"
-FUNCTION_WORDS_SHORT_PATTERN = r"\bfunction\b|\bdef\b|\bclass\b|\bmethod\b"
+FUNCTION_WORDS_PATTERN = r"(?=[dfvicsS])\b(?:def|function|func|void|int|String|char|string)\b"
+FUNCTION_WORDS_SHORT_PATTERN = r"(?=[fdcm])\b(?:function|def|class|method)\b"
 COMMENT_PATTERN = r"#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''"
 COMMENT_DOTALL_PATTERN = r"(?s)#.*|//.*|/\*.*?\*/"
 COMMENT_SLASH_PATTERN = r"//[^\n]*|/\*[\s\S]*?\*/"
 LINE_BREAK_PATTERN = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 _LINE_START = r"(?:^|\n)"
-_SENTENCE_START = r"(?:^|[.!?\n])"
 _DEF_PATTERN = _LINE_START + r"[ \t]*def[ \t]+\w+"
 _DECISION_PATTERN = r"\b(?:if|elif|for|while|except|and|or|assert)\b"
 
 
-def _any_of(words: Iterable[str]) -> str:
-    return "(?:" + "|".join(re.escape(word) for word in words) + ")"
-
-
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -107,27 +99,37 @@ def split_line_count(text: Column) -> Column:
     return _count(text, LINE_BREAK_PATTERN) + ((F.octet_length(text) > 0) & ~closed).cast("int")
 
 
-def lines_with(text: Column, words: Iterable[str]) -> Column:
+def lines_of(text: Column) -> Column:
+    """The pieces between line feeds; a text that ends with one has an empty last piece."""
+    return F.split(text, "\n")
+
+
+def contains_any(text: Column, words: Iterable[str]) -> Column:
+    flags = [F.contains(text, F.lit(word)) for word in words]
+    return reduce(lambda a, b: a | b, flags)
+
+
+def lines_with(lines: Column, words: list[str]) -> Column:
     """Lines that contain any of the words as a substring."""
-    return _count(text, _LINE_START + r"[^\n]*?" + _any_of(words))
+    return F.size(F.filter(lines, lambda line: contains_any(line, words)))
 
 
-def function_line_count(text: Column) -> Column:
-    return lines_with(text, ["def ", "function "])
+def function_line_count(lines: Column) -> Column:
+    return lines_with(lines, ["def ", "function "])
 
 
-def comment_line_count(text: Column, block: bool = False) -> Column:
-    marks = ["#", "//", "/*"] if block else ["#", "//"]
-    return _count(text, _LINE_START + r"[^\S\n]*" + _any_of(marks))
+def comment_line_count(lines: Column, block: bool = False) -> Column:
+    pattern = r"^\s*(?:#|//|/\*)" if block else r"^\s*(?:#|//)"
+    return F.size(F.filter(lines, lambda line: F.rlike(line, F.lit(pattern))))
 
 
-def issue_line_count(text: Column, keywords: Mapping[str, list[str]] | None = None) -> Column:
+def issue_line_count(lines: Column, keywords: Mapping[str, list[str]] | None = None) -> Column:
     words = [word for group in (keywords or tables.ISSUE_KEYWORDS).values() for word in group]
-    return lines_with(text, words)
+    return lines_with(lines, words)
 
 
-def long_line_count(text: Column, limit: int) -> Column:
-    return _count(text, r"[^\n]{%d,}" % (limit + 1))
+def long_line_count(lines: Column, limit: Column) -> Column:
+    return F.size(F.filter(lines, lambda line: F.length(line) > limit))
 
 
 # --- functions, comments, imports ----------------------------------------------------------------
@@ -215,13 +217,13 @@ def token_keyword_count(text: Column, words: Column) -> Column:
 # --- labels --------------------------------------------------------------------------------------
 def multi_label(title: Column, body: Column, keywords: Mapping[str, list[str]] | None = None) -> Column:
     """All labels with a keyword in title or body, sorted and joined; ``other`` without any."""
-    title, body = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(body, F.lit("")))
-    flags = []
-    for label, words in (keywords or tables.ISSUE_KEYWORDS).items():
-        pattern = F.lit(_any_of(words))
-        flags.append(F.when(F.rlike(title, pattern) | F.rlike(body, pattern), F.lit(label)))
-    found = F.array_sort(F.array_distinct(F.array_compact(F.array(*flags))))
-    return F.when(F.size(found) == 0, F.lit("other")).otherwise(F.array_join(found, ", "))
+    both = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit(""))))
+    names = sorted(keywords or tables.ISSUE_KEYWORDS)
+    words = keywords or tables.ISSUE_KEYWORDS
+    # One lower-cased text serves all labels: it is the single element the outer transform walks.
+    found = F.transform(F.array(both), lambda t: F.array_join(F.array_compact(F.array(
+        *[F.when(contains_any(t, words[name]), F.lit(name)) for name in names])), ", "))
+    return F.coalesce(F.nullif(F.get(found, F.lit(0)), F.lit("")), F.lit("other"))
 
 
 def chunks(text: Column, size: int = tables.CHUNK_CHARS) -> Column:
@@ -233,26 +235,25 @@ def chunks(text: Column, size: int = tables.CHUNK_CHARS) -> Column:
     return F.when(pieces > 0, cut).otherwise(F.array().cast("array<string>"))
 
 
-def _over_chunks(text: Column, size: int, count: Callable[[Column], Column]) -> Column:
-    pieces = F.aggregate(chunks(text, size), F.lit(0), lambda total, piece: total + count(piece))
-    return F.when(F.length(text) <= size, count(text)).otherwise(pieces)
+def over_chunks(text: Column, size: int, split: Callable[[Column], Column]) -> Column:
+    """Split every piece of the text on its own: a cut between pieces also cuts what it falls into."""
+    return F.when(F.length(text) <= size, split(text)).otherwise(F.flatten(F.transform(chunks(text, size), split)))
 
 
-def issue_text(title: Column, body: Column) -> Column:
-    return F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit(""))))
+def words_of(text: Column, size: int = tables.CHUNK_CHARS) -> Column:
+    return over_chunks(text, size, lambda piece: F.regexp_extract_all(piece, F.lit("[a-z]+"), F.lit(0)))
+
+
+def sentences_of(text: Column, size: int = tables.CHUNK_CHARS) -> Column:
+    return over_chunks(text, size, lambda piece: F.split(piece, r"[.!?\n]"))
 
 
-def label_hits(text: Column, words: list[str], size: int = tables.CHUNK_CHARS) -> Column:
-    """Words of the text that equal a keyword plus sentences that contain one, per piece of the text."""
-    token = "(?<![a-z])" + _any_of(words) + "(?![a-z])"
-    sentence = _SENTENCE_START + r"[^.!?\n]*?" + _any_of(words)
-    return _over_chunks(text, size, lambda piece: _count(piece, token) + _count(piece, sentence))
+def issue_text(title: Column, body: Column) -> Column:
+    return F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit(""))))
 
 
-def label_token_hits(text: Column, words: list[str], size: int = tables.CHUNK_CHARS) -> Column:
-    """Words of the text that contain a keyword."""
-    pattern = "(?<![a-z])[a-z]*?" + _any_of(words) + "[a-z]*"
-    return _over_chunks(text, size, lambda piece: _count(piece, pattern))
+def _count_where(array: str, test: Callable[[Column, list[str]], Column], words: list[str]) -> Column:
+    return F.size(F.filter(array, lambda item: test(item, words)))
 
 
 def strongest_label(counts: Mapping[str, Column], default: str | None) -> Column:
@@ -273,12 +274,29 @@ def with_label(
     keywords: Mapping[str, list[str]] | None = None,
     size: int = tables.CHUNK_CHARS,
 ) -> DataFrame:
-    """Add the single label of an issue. ``contains`` selects the variant that looks inside words and yields null
-    without any hit; the other one answers ``other``."""
+    """Add the single label of an issue: the one most words and sentences speak for.
+
+    A word counts if it equals a keyword, a sentence if it contains one; ``other`` without any hit. ``contains``
+    selects the variant that counts words containing a keyword, no sentences, and yields null without any hit.
+    """
     keywords = keywords or tables.LABEL_KEYWORDS
-    hits = label_token_hits if contains else label_hits
     kept = df.columns
+    every = [word for group in keywords.values() for word in group]
     df = df.withColumn("_text", issue_text(F.col(title), F.col(body)))
-    df = df.withColumns({f"_hits_{label}": hits(F.col("_text"), words, size) for label, words in keywords.items()})
+    words = words_of(F.col("_text"), size)
+    if contains:
+        df = df.withColumn("_words", words)
+        hits = {k: _count_where("_words", contains_any, group) for k, group in keywords.items()}
+    else:
+        df = df.withColumns({
+            # The few words that are keywords at all, found by one hash lookup each.
+            "_words": F.filter(words, lambda w: w.isin(every)),
+            "_sentences": sentences_of(F.col("_text"), size),
+        })
+        hits = {
+            k: _count_where("_words", Column.isin, group) + _count_where("_sentences", contains_any, group)
+            for k, group in keywords.items()
+        }
+    df = df.withColumns({f"_hits_{label}": count for label, count in hits.items()})
     counts = {label: F.col(f"_hits_{label}") for label in keywords}
     return df.select(*kept, strongest_label(counts, None if contains else "other").alias(out))

@@ -44,14 +44,14 @@ def short_file_features(files: DataFrame) -> DataFrame:
 
 def line_features(files: DataFrame) -> DataFrame:
     """The line-rule variant with several labels per file; complexity and imports for Python only."""
-    c, python = F.col("content"), F.col("ext") == "py"
-    known = files.where(F.col("ext").isin(tables.SOURCE_EXTENSIONS))
+    c, python, lines = F.col("content"), F.col("ext") == "py", F.col("_lines")
+    known = files.where(F.col("ext").isin(tables.SOURCE_EXTENSIONS)).withColumn("_lines", text.lines_of(c))
     return known.select(
         "path", "repository",
         text.line_count(c).alias("num_lines"),
-        text.function_line_count(c).alias("num_functions"),
-        text.comment_line_count(c).alias("num_comments"),
-        text.issue_line_count(c).alias("num_keywords"),
+        text.function_line_count(lines).alias("num_functions"),
+        text.comment_line_count(lines).alias("num_comments"),
+        text.issue_line_count(lines).alias("num_keywords"),
         F.when(python, text.cyclomatic_complexity(c)).alias("cyclomatic_complexity"),
         F.when(python, text.import_count(c)).alias("num_imports"),
         text.multi_label(F.col("path"), c).alias("labels"),
