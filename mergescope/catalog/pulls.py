@@ -134,7 +134,8 @@ def _facts(spark, sf):
 SELECT pr_id, string_agg(security, chr(10) ORDER BY position) security, string_agg(issues, chr(10) ORDER BY position) issues
 FROM files JOIN ({FACTS}) USING (file_id) GROUP BY pr_id""", "files " + FACT_VIEWS)
 def _(spark, sf):
-    touched = lookup_join(views.files(spark, sf), _facts(spark, sf), ["file_id"], how="inner")
+    touched = lookup_join(views.files(spark, sf), _facts(spark, sf), ["file_id"], how="inner",
+                          sized_by=views.table(spark, sf, "documents").select("doc_id"))
     lines = plans.joined_lines(touched, ["pr_id"], "position", ["security", "issues"], 1_000_000_000)
     return lines.withColumns({c: F.nullif(c, F.lit("")) for c in ("security", "issues")})
 
@@ -176,7 +177,7 @@ def pull_features(spark, sf):
     df = plans.pull_features(
         views.pulls(spark, sf), views.reviews(spark, sf), views.files(spark, sf), views.commits(spark, sf),
         views.authors(spark, sf), views.pull_labels(spark, sf), views.comments(spark, sf), views.lexicon(spark, sf),
-        _facts(spark, sf), block_width=1_000_000_000)
+        _facts(spark, sf), block_width=1_000_000_000, facts_sized_by=views.table(spark, sf, "documents").select("doc_id"))
     rounded = {c: F.round(c, 6) for c in ("time_to_merge", "review_time", "author_tenure")}
     return df.withColumns({**rounded, "review_sentiment_score": F.round("review_sentiment_score", 8)})
 
@@ -209,7 +210,7 @@ LEFT JOIN (SELECT number pr_id, sum(p) s FROM (SELECT number, position, avg(pola
    JOIN lexicon USING (word) GROUP BY number, position) GROUP BY number) USING (pr_id)""", "documents_nested code_files lexicon")
 def _(spark, sf):
     facts = plans.path_facts(views.code_files(spark, sf))
-    df = plans.document_features(views.pull_documents(spark, sf), views.lexicon(spark, sf), facts)
+    df = plans.document_features(views.pull_documents(spark, sf), views.lexicon(spark, sf), facts, views.table(spark, sf, "documents").select("doc_id"))
     return df.withColumns({"complexity_score": F.round("complexity_score", 8), "review_sentiment_score": F.round("review_sentiment_score", 7)})
 
 

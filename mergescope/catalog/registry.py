@@ -88,11 +88,11 @@ VIEWS = {
     "lexicon": """SELECT DISTINCT word, (length(word) % 9 - 4) / 4.0::DOUBLE polarity FROM
         (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) word FROM benchmark)""",
     "scored": """SELECT (l_returnflag = 'R')::INT y, score, (score >= 0.5)::INT prediction FROM
-        (SELECT l_returnflag, round(l_extendedprice / 110000 * 0.7::DOUBLE + l_discount * 3, 6) score FROM lineitem)""",
-    "scored_multi": """SELECT y, round(a / (a + n + r), 6) p0, round(n / (a + n + r), 6) p1, round(r / (a + n + r), 6) p2,
+        (SELECT l_returnflag, (floor(l_extendedprice) + round(l_discount * 100) * 5000) / 155000.0::DOUBLE score FROM lineitem)""",
+    "scored_multi": """SELECT y, a / (a + n + r) p0, n / (a + n + r) p1, r / (a + n + r) p2,
         CASE WHEN a >= n AND a >= r THEN 0 WHEN n >= r THEN 1 ELSE 2 END prediction FROM
         (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END y, l_quantity a,
-         l_linenumber * 7.0::DOUBLE n, l_tax * 600 r FROM lineitem)""",
+         l_linenumber * 7.0::DOUBLE n, round(l_tax * 100) * 6 r FROM lineitem)""",
     "regressed": """SELECT l_orderkey pr_id, l_linenumber AS position, l_partkey file_id, l_suppkey reviewer,
         l_extendedprice / 1000 y, l_quantity * 1.5::DOUBLE + l_discount * 100 prediction FROM lineitem""",
     "labelled": """SELECT d.doc_id, lang, source, n_chars, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id)""",

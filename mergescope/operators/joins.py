@@ -20,14 +20,18 @@ def lookup_join(
     max_rows: int = BROADCAST_ROWS,
     hot_share: float = 0.001,
     how: str = "left",
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large table to a lookup table with one row per key.
 
     A lookup side of checked size is broadcast. Beyond it the keys that hold more than ``hot_share`` of the left
     rows (there are at most ``1 / hot_share``) are split off: their lookup rows are broadcast, so no task has to
     take a hot key whole. The other rows take a shuffled join. No row is lost either way.
+
+    ``sized_by`` is a frame with at least as many rows as ``right`` that is cheaper to count, such as the table an
+    expensive ``right`` is computed from.
     """
-    if is_small(right, max_rows):
+    if is_small(right if sized_by is None else sized_by, max_rows):
         return left.join(F.broadcast(right), on, how)
     total = left.count()
     hot = (

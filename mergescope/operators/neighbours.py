@@ -111,7 +111,8 @@ def nearest(
         asking = routed.join(plan_df, ["label", "target"]).select(
             "label", "target", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk.alias("chunk"), "id", "vec")
         offered = placed.withColumnRenamed("cell", "target").join(plan_df, ["label", "target"]).select(
-            "label", "target", spread.alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "vec")
+            *[F.col(c).alias(c) for c in ("label", "target", "id", "vec")], spread.alias("block"),
+            F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
         def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             out = []

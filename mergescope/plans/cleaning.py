@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import tables
 from ..operators import prep
 from ..operators.quantiles import exact_quantiles
+from ..session import materialise
 
 UNUSED_COLUMNS = ["author_contributions", "pr_id", "security_issues"]
 
 
 def standardise(df: DataFrame, drop: list[str] = UNUSED_COLUMNS) -> DataFrame:
     """Drop unused columns, fill numbers by the median, code categories, standard-scale the numbers."""
-    df = df.drop(*drop)
+    df = materialise(df.drop(*drop), "features")
     numbers, names = prep.numeric_columns(df), prep.categorical_columns(df)
     codes = prep.ordinal_codes(df, names)
     filled = prep.fill(df, prep.medians(df, numbers))
@@ -27,7 +28,7 @@ def robust_scale(df: DataFrame, drop: list[str] = ("pr_id",)) -> DataFrame:
 
     Filling with the median moves no rank across it, but it can move the quartiles, so they are taken afterwards.
     """
-    df = prep.drop_empty_columns(df.drop(*drop))
+    df = prep.drop_empty_columns(materialise(df.drop(*drop), "features"))
     numbers = prep.numeric_columns(df)
     filled = prep.fill(df, prep.medians(df, numbers))
     return prep.fit_robust(filled, numbers).transform(filled)

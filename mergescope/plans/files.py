@@ -64,7 +64,7 @@ def security_table(files: DataFrame, hits: DataFrame, code_files: DataFrame) ->
     named = named.where(F.col("language").isNotNull())
     result = F.when(F.col("language").isin(tables.SECURITY_LANGUAGES), F.col("security"))
     described = named.join(hits, "file_id", "left").select("file_id", "path", "repository", "language", result.alias("security_analysis"))
-    touched = lookup_join(files.select("pr_id", "file_id"), described, ["file_id"], how="inner")
+    touched = lookup_join(files.select("pr_id", "file_id"), described, ["file_id"], how="inner", sized_by=code_files.select("file_id"))
     return touched.select(F.col("repository").alias("repo_name"), F.col("pr_id").alias("pr_number"),
                           F.col("path").alias("file"), "language", "security_analysis")
 
@@ -83,6 +83,6 @@ def pull_file_features(files: DataFrame, code_files: DataFrame, pulls: DataFrame
         text.token_keyword_count(c, text.keywords_of(F.col("ext"))).alias("language_keywords_count"),
     )
     labelled = text.with_label(pulls.select("pr_id", "title", "body"), "title", "body").select("pr_id", "label")
-    touched = lookup_join(files.select("pr_id", "position", "file_id"), described, ["file_id"], how="inner")
+    touched = lookup_join(files.select("pr_id", "position", "file_id"), described, ["file_id"], how="inner", sized_by=code_files.select("file_id"))
     return touched.join(labelled, "pr_id").select(
         "pr_id", "position", "loc", "comments", "functions", "language_keywords_count", "label")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables, text
 from ..operators import prep
+from ..session import materialise
 
 
 def issue_code_metrics(issues: DataFrame) -> DataFrame:
@@ -16,15 +17,16 @@ def issue_code_metrics(issues: DataFrame) -> DataFrame:
     parsed: the map gives each distinct method name the number of decision words of the whole text.
     """
     labelled = text.with_label(issues, "title", "body", contains=True)
-    wanted = labelled.where(F.col("label").isin(tables.CODE_METRIC_LABELS))
     methods = text.function_names(F.col("content"))
     weight = (F.regexp_count("content", F.lit(r"\b(?:if|for|while|return)\b")) + 1).cast("int")
-    named = wanted.select("issue_id", "label", methods.alias("methods"), weight.alias("w"))
-    return named.select(
+    named = labelled.select("issue_id", "label", methods.alias("methods"), weight.alias("w"))
+    rows = named.select(
         "issue_id", "label",
         F.map_from_arrays(F.array_distinct("methods"), F.transform(F.array_distinct("methods"), lambda m: F.col("w"))).alias("complexity"),
         "methods",
     )
+    # A filter on the label would be pushed below it and work the label out again; it goes to the finished rows.
+    return materialise(rows, "issues").where(F.col("label").isin(tables.CODE_METRIC_LABELS))
 
 
 def issue_features(metrics: DataFrame) -> DataFrame:

@@ -129,6 +129,7 @@ def basic_features(pulls: DataFrame, reviews: DataFrame) -> DataFrame:
 def pull_features(
     pulls: DataFrame, reviews: DataFrame, files: DataFrame, commits: DataFrame, authors: DataFrame, labels: DataFrame,
     comments: DataFrame, lexicon: DataFrame, facts: DataFrame, state: str = "all", block_width: int = 1000,
+    facts_sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """One row per pull with all feature columns.
 
@@ -137,14 +138,14 @@ def pull_features(
     """
     # Without a filter on state a pull's children are all wanted, so they are aggregated as they are.
     pulls = by_state(pulls, state)
-    touched = lookup_join(files.select("pr_id", "position", "file_id"), facts, ["file_id"], how="inner")
+    touched = lookup_join(files.select("pr_id", "position", "file_id"), facts, ["file_id"], how="inner", sized_by=facts_sized_by)
     lines = joined_lines(touched, ["pr_id"], "position", ["security", "issues"], block_width)
     rates = last_value(touched, ["pr_id"], "position", "rating")
     moods = sentiment.pull_sentiment(comments, lexicon, ["pr_id"], ["position"])
     joined = pulls
     for child in (review_totals(reviews), file_totals(files), bug_flags(labels), moods, lines, rates):
         joined = joined.join(child, "pr_id", "left")
-    joined = lookup_join(joined, commit_counts(commits), ["repository_name", "author"])
+    joined = lookup_join(joined, commit_counts(commits), ["repository_name", "author"], sized_by=commits)
     joined = lookup_join(joined, authors, ["author"])
     return joined.select(
         "pr_id", "repository_name",
@@ -201,11 +202,12 @@ def path_facts(code_files: DataFrame) -> DataFrame:
     return checked.select("path", F.array_join("issues", "\n").alias("issues"), score.alias("complexity"))
 
 
-def document_features(documents: DataFrame, lexicon: DataFrame, facts: DataFrame) -> DataFrame:
+def document_features(documents: DataFrame, lexicon: DataFrame, facts: DataFrame,
+                      facts_sized_by: DataFrame | None = None) -> DataFrame:
     """Nested documents with their files' facts and their comments' polarity."""
     keys = ["repository_name", "number"]
     touched = documents.select(*keys, F.posexplode("files").alias("position", "f")).select(*keys, "position", F.col("f.filename").alias("path"))
-    touched = lookup_join(touched, facts, ["path"], how="inner")
+    touched = lookup_join(touched, facts, ["path"], how="inner", sized_by=facts_sized_by)
     lines = joined_lines(touched, keys, "position", ["issues"])
     scores = touched.groupBy(*keys).agg(F.avg("complexity").alias("complexity_score"))
     said = documents.select(*keys, F.posexplode("issue_comments").alias("position", "c")).select(*keys, "position", F.col("c.body").alias("body"))

@@ -15,6 +15,11 @@ DOCUMENT_SCHEMA = T.StructType.fromDDL(
     " files array<struct<filename:string>>, reviews array<struct<user:string,review_time:double,state:string>>,"
     " issue_comments array<struct<body:string>>, author_experience long, author_tenure double, author_contributions long"
 )
+METRICS_SCHEMA = T.StructType.fromDDL(
+    "number_of_line_of_code double, average_number_of_lines_of_code double, average_cyclomatic_complexity_number double,"
+    " average_token_count double, function_count double, warning_count double, function_rate double,"
+    " number_of_line_of_code_rate double"
+)
 CODE_METRICS_SCHEMA = T.StructType.fromDDL("issue_id long, label string, complexity map<string,int>, methods array<string>")
 
 
@@ -26,12 +31,7 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
 
 def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
     """Size metrics of files: eight doubles under a header that may begin with a byte-order mark; blank rows go."""
-    names = [
-        "number_of_line_of_code", "average_number_of_lines_of_code", "average_cyclomatic_complexity_number",
-        "average_token_count", "function_count", "warning_count", "function_rate", "number_of_line_of_code_rate",
-    ]
-    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
-    return drop_empty_rows(spark.read.option("header", True).schema(schema).csv(path))
+    return drop_empty_rows(spark.read.option("header", True).schema(METRICS_SCHEMA).csv(path))
 
 
 def read_documents(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:

@@ -171,7 +171,7 @@ def pull_documents(spark: SparkSession, sf: str) -> DataFrame:
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Binary predictions with many distinct scores and ties, one per line item."""
     li = table(spark, sf, "lineitem")
-    score = F.round(F.col("l_extendedprice") / 110000 * 0.7 + F.col("l_discount") * 3, 6)
+    score = (F.floor("l_extendedprice") + F.round(F.col("l_discount") * 100) * 5000) / F.lit(155000.0)
     return li.select(
         (F.col("l_returnflag") == "R").cast("int").alias("y"), score.alias("score"), (score >= 0.5).cast("int").alias("prediction"))
 
@@ -179,11 +179,11 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 def scored_multi(spark: SparkSession, sf: str) -> DataFrame:
     """Three-class predictions with one score per class."""
     li = table(spark, sf, "lineitem")
-    a, n, r = F.col("l_quantity"), F.col("l_linenumber") * 7.0, F.col("l_tax") * 600
+    a, n, r = F.col("l_quantity"), F.col("l_linenumber") * 7.0, F.round(F.col("l_tax") * 100) * 6
     total = a + n + r
     y = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     return li.select(
-        y.alias("y"), F.round(a / total, 6).alias("p0"), F.round(n / total, 6).alias("p1"), F.round(r / total, 6).alias("p2"),
+        y.alias("y"), (a / total).alias("p0"), (n / total).alias("p1"), (r / total).alias("p2"),
         F.when((a >= n) & (a >= r), 0).when(n >= r, 1).otherwise(2).alias("prediction"))
 
 
