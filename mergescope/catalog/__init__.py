@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["texts", "pulls", "preparation", "evaluation", "balancing", "storage"]
+AREAS = ["texts", "pulls", "preparation", "evaluation", "balancing", "storage", "modelling"]
 
 
 def load() -> dict:

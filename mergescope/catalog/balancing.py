@@ -81,9 +81,9 @@ def smote_sql(only: str = "TRUE") -> str:
   drawn AS (SELECT vec_id id, label, embedding, unnest(range(1, (need // n + (place < need % n)::INT + 1)::BIGINT)) AS copy FROM
     (SELECT *, (SELECT max(c) FROM (SELECT count(*) c FROM embeddings GROUP BY label)) - n need FROM {ranked('embeddings', 'label', 'vec_id', 'smote')}) WHERE {only}),
   picked AS (SELECT *, {h(f'({draw})', 'neighbour')} % {K} + 1 AS pick, {h(f'({draw})', 'gap')} / 4294967296::DOUBLE gap FROM drawn)
-  SELECT NULL::BIGINT id, p.label, list_transform(list_zip(p.embedding, n.other), lambda q: round(q[1]::DOUBLE + gap * (q[2]::DOUBLE - q[1]::DOUBLE), 7)) vec,
+  SELECT NULL::BIGINT id, p.label, list_transform(list_zip(p.embedding, n.other), lambda q: q[1]::DOUBLE + gap * (q[2]::DOUBLE - q[1]::DOUBLE)) vec,
     p.id base_id, n.neighbour neighbour_id, p.copy FROM picked p JOIN near n ON n.id = p.id AND n.rank = p.pick
-  UNION ALL SELECT vec_id, label, list_transform(embedding, lambda x: round(x::DOUBLE, 7)), NULL, NULL, NULL FROM embeddings"""
+  UNION ALL SELECT vec_id, label, embedding::DOUBLE[], NULL, NULL, NULL FROM embeddings"""
 
 
 @query("interpolated_oversampling", "M15 J11", f"SELECT id, label, base_id, neighbour_id, copy, round(list_sum(vec), 5) total, round(vec[1], 6) first, round(vec[64], 6) last FROM ({smote_sql()})")
@@ -93,9 +93,9 @@ def _(spark, sf):
 
 
 def summarised(made):
-    total = F.aggregate(F.transform("vec", lambda x: F.round(x, 7)), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
     return made.select("id", "label", "base_id", "neighbour_id", "copy", F.round(total, 5).alias("total"),
-                       F.round(F.round(F.get("vec", F.lit(0)), 7), 6).alias("first"), F.round(F.round(F.get("vec", F.lit(63)), 7), 6).alias("last"))
+                       F.round(F.get("vec", F.lit(0)), 6).alias("first"), F.round(F.get("vec", F.lit(63)), 6).alias("last"))
 
 
 SMALLEST = "label = (SELECT label FROM (SELECT label, count(*) c FROM embeddings GROUP BY 1) ORDER BY c, label LIMIT 1)"

@@ -29,11 +29,11 @@ def class_sizes(df: DataFrame, by: str) -> dict:
     return {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _pivots(df: DataFrame, sizes: dict, max_pivots: int) -> dict:
-    """About sqrt(n) rows per class by hash, at least one; their number is bounded, not their exact count."""
+def _pivots(df: DataFrame, sizes: dict, max_pivots: int, block_rows: int) -> dict:
+    """About sqrt(n) rows per class by hash, at least one, and just that one for a class that fits a block."""
     share = F.lit(0.0)
     for label, n in sizes.items():
-        wanted = min(max_pivots, math.ceil(math.sqrt(n)))
+        wanted = 0 if n <= block_rows else min(max_pivots, math.ceil(math.sqrt(n)))
         share = F.when(F.col("label") == F.lit(label), F.lit(wanted / n)).otherwise(share)
     chosen = df.where(hash_fraction(F.col("id"), "pivot") < share).select("label", "vec")
     first = df.groupBy("label").agg(F.min_by("vec", F.struct(hash_code(F.col("id"), "pivot"), "id")).alias("vec"))
@@ -73,7 +73,7 @@ def nearest(
     label_type = rows.schema[by].dataType.simpleString()
     base = rows.select(*pick)
     sizes = sizes or class_sizes(base, "label")
-    pivots = _pivots(base, sizes, max_pivots)
+    pivots = _pivots(base, sizes, max_pivots, block_rows)
     pivot_gaps = {label: _distances(points, points) for label, points in pivots.items()}
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
