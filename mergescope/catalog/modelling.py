@@ -74,7 +74,7 @@ def _(spark, sf):
 def folded(spark, sf, label="target"):
     df = model_table(spark, sf)
     table = m.to_vector(df, FEATURES, [F.col("pr_id").alias("id"), F.col(label).cast("double").alias("label")])
-    return materialise(m.with_folds(table, "id", "label", 5), "folds")
+    return m.training_table(m.with_folds(table, "id", "label", 5), "folds")
 
 
 @query("grid_scores", "T8 T9 T11")
@@ -99,7 +99,8 @@ def _(spark, sf):
 def _(spark, sf):
     df = folded(spark, sf).cache()
     train, test = balance.random_split(df, "id", salt="stack")
-    stack = m.fit_stack(*m.stacking_classifier(len(FEATURES), 2, trees=10, iterations=20), train)
+    bases, last = m.stacking_classifier(len(FEATURES), 2, trees=10, iterations=20)
+    stack = m.fit_stacks(bases, {"logistic": last}, train)["logistic"]
     scored = materialise(m.predictions(stack, test), "predictions")
     return spark.createDataFrame([m.classification_row("StackingClassifier", scored, 2)], m.CLASSIFICATION_ROW)
 
@@ -110,8 +111,8 @@ def _(spark, sf):
     train, test = balance.random_split(df, "id", salt="stack")
     bases = [c.estimator for c in small_regressors()]
     rows = []
-    for name, last in m.stacking_regressors().items():
-        done = materialise(m.fit_stack(bases, last, train, k=3).transform(test).select(F.col("label").alias("y"), "prediction"), "predictions")
+    for name, stack in m.fit_stacks(bases, m.stacking_regressors(), train).items():
+        done = materialise(stack.transform(test).select(F.col("label").alias("y"), "prediction"), "predictions")
         numbers = m.evaluate.regression_metrics(done, features=len(FEATURES)).first().asDict()
         rows.append({"model": f"Stacking{name}", **numbers, "training_time": 0.0, "prediction_time": 0.0})
     return spark.createDataFrame(rows, m.REGRESSION_ROW)
@@ -124,8 +125,9 @@ def _(spark, sf):
 
 @query("three_class_models", "T2 T3 E4")
 def _(spark, sf):
-    df = views.scored_multi(spark, sf).withColumn("id", F.monotonically_increasing_id())
-    table = materialise(m.to_vector(df, ["p0", "p1", "p2"], ["id", F.col("prediction").cast("double").alias("label")]), "model")
+    identity = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    df = views.scored_multi(spark, sf, [identity.alias("id")])
+    table = m.training_table(m.to_vector(df, ["p0", "p1", "p2"], ["id", F.col("prediction").cast("double").alias("label")]))
     train, test = balance.random_split(table, "id")
     rows = []
     for name, estimator in (("LinearSVC", m.svm_classifier(classes=3)), ("MultilayerPerceptronClassifier", m.network_classifier(3, 3, (6,), maxIter=20))):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, Pipeline
@@ -122,6 +123,14 @@ def feature_stages(df: DataFrame, label: str, keep: int | None = 20, select: str
     return stages, last
 
 
+def training_table(df: DataFrame, name: str = "model", identity: str = "id") -> DataFrame:
+    """Write a table that models are trained on, evenly spread by id: training is bound by processors, so even a small
+    table should keep all of them busy."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return materialise(df.repartition(parts, identity), name)
+
+
 def to_vector(df: DataFrame, features: list[str], keep: list[str], out: str = "features") -> DataFrame:
     return df.select(*keep, array_to_vector(F.array(*[F.col(c).cast("double") for c in features])).alias(out))
 
@@ -299,23 +308,19 @@ def base_scores(models: list[Model], df: DataFrame, features: str) -> DataFrame:
     return df.select(*kept, array_to_vector(F.concat(*parts)).alias("_stack"))
 
 
-def fit_stack(bases: list[Estimator], last: Estimator, train: DataFrame, features: str = "features", k: int = 5) -> Stack:
-    """Fit the last model on scores that each row got from base models which did not see it (``fold`` column), then
-    the base models on all rows."""
+def fit_stacks(bases: list[Estimator], lasts: dict[str, Estimator], train: DataFrame, features: str = "features",
+               k: int = 5) -> dict[str, Stack]:
+    """Fit each last model on scores that every row got from base models which did not see it (``fold`` column). The
+    base models are then fitted on all rows, once for all last models."""
 
     def held_out(fold: int) -> DataFrame:
         models = [base.fit(train.where(F.col("fold") != fold)) for base in bases]
         return base_scores(models, train.where(F.col("fold") == fold), features)
 
     with ThreadPool(min(k, 5)) as pool:
-        parts = pool.map(held_out, range(k))
-    scores = parts[0]
-    for part in parts[1:]:
-        scores = scores.unionByName(part)
-    scores = scores.cache()
-    fitted = last.fit(scores)
-    scores.unpersist()
-    return Stack([base.fit(train) for base in bases], fitted, features)
+        scores = materialise(reduce(DataFrame.unionByName, pool.map(held_out, range(k))), "stack")
+        fitted = pool.map(lambda base: base.fit(train), bases)
+    return {name: Stack(fitted, last.fit(scores), features) for name, last in lasts.items()}
 
 
 def stacking_classifier(inputs: int, classes: int, label: str = "label", trees: int = 100, iterations: int = 100, hidden=(10,)):
@@ -340,14 +345,14 @@ def stacking_regressors(label: str = "label") -> dict[str, Estimator]:
 def classification_job(spark: SparkSession, df: DataFrame, identity: str, features: list[str], label: str, candidates=None,
                        k: int = 5, classes: int = 2) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Split by hash, tune and compare. ``label`` holds 0..classes-1."""
-    table = materialise(to_vector(df, features, [F.col(identity).alias("id"), F.col(label).cast("double").alias("label")]), "model")
+    table = training_table(to_vector(df, features, [F.col(identity).alias("id"), F.col(label).cast("double").alias("label")]))
     train, test = balance.random_split(table, "id")
     candidates = candidates or classifier_candidates(len(features), classes)
     return compare_classifiers(spark, candidates, with_folds(train, "id", "label", k), test, classes, "f1", k)
 
 
 def regression_job(spark: SparkSession, df: DataFrame, identity: str, features: list[str], label: str, candidates=None, k: int = 5):
-    table = materialise(to_vector(df, features, [F.col(identity).alias("id"), F.col(label).cast("double").alias("label")]), "model")
+    table = training_table(to_vector(df, features, [F.col(identity).alias("id"), F.col(label).cast("double").alias("label")]))
     train, test = balance.random_split(table, "id")
     return compare_regressors(spark, candidates or regressor_candidates(), with_folds(train, "id", None, k), test, len(features), k)
 
@@ -362,15 +367,12 @@ def spark_ml_job(spark: SparkSession, df: DataFrame, label: str, candidates=None
     stages, last = feature_stages(filled, label, keep)
     fitted = Pipeline(stages=stages).fit(train)
     shape = [F.col("id"), F.col(label).cast("double").alias("label"), F.col(last).alias("features")]
-    train, test = (materialise(fitted.transform(part).select(*shape), "vectors") for part in (train, test))
+    train, test = (training_table(fitted.transform(part).select(*shape), "vectors") for part in (train, test))
     width = min(keep, len(filled.columns) - 2)
     candidates = candidates or classifier_candidates(width, classes, trees=(100, 200, 300), leaves=(1,), hidden=((10, 5), (15, 10)), iterations=300)
     table, scored = compare_classifiers(spark, candidates, with_folds(train, "id", "label", k), test, classes, "accuracy", k)
     counts = [s.groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("model"), "prediction", "n") for name, s in scored.items()]
-    spread = counts[0]
-    for c in counts[1:]:
-        spread = spread.unionByName(c)
-    return table, spread
+    return table, reduce(DataFrame.unionByName, counts)
 
 
 def balanced_job(spark: SparkSession, df: DataFrame, identity: str, features: list[str], label: str, candidates=None, keep: int = 20, k: int = 5,
@@ -382,7 +384,7 @@ def balanced_job(spark: SparkSession, df: DataFrame, identity: str, features: li
     chosen = [r["feature"] for r in prep.top_features(prep.anova_f(filled, features, label), keep).collect()]
     train, test = balance.random_split(filled, "id")
     rows = train.select("id", F.col(label).alias("label"), F.array(*[F.col(c).cast("double") for c in chosen]).alias("vec"))
-    even = materialise(balance.over_then_under(rows, "id", "label", "vec"), "balanced")
+    even = training_table(balance.over_then_under(rows, "id", "label", "vec"), "balanced")
     vectors = even.select("id", F.col("label").cast("double").alias("label"), array_to_vector("vec").alias("features"))
     held = to_vector(test, chosen, [F.col("id"), F.col(label).cast("double").alias("label")])
     candidates = candidates or classifier_candidates(len(chosen), classes)

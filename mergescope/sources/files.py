@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import tables, text
 from ..operators.prep import drop_empty_rows
 
-DOCUMENT_SCHEMA = T.StructType.fromDDL(
+# Columns of the landed formats.
+DOCUMENT_SCHEMA = (
     "number long, title string, body string, changed_files long, additions long, deletions long, commits long,"
     " comments long, review_comments long, time_to_merge double, merged boolean, labels array<string>,"
     " files array<struct<filename:string>>, reviews array<struct<user:string,review_time:double,state:string>>,"
     " issue_comments array<struct<body:string>>, author_experience long, author_tenure double, author_contributions long"
 )
-METRICS_SCHEMA = T.StructType.fromDDL(
-    "number_of_line_of_code double, average_number_of_lines_of_code double, average_cyclomatic_complexity_number double,"
-    " average_token_count double, function_count double, warning_count double, function_rate double,"
-    " number_of_line_of_code_rate double"
-)
-CODE_METRICS_SCHEMA = T.StructType.fromDDL("issue_id long, label string, complexity map<string,int>, methods array<string>")
+METRICS_COLUMNS = [
+    "number_of_line_of_code", "average_number_of_lines_of_code", "average_cyclomatic_complexity_number",
+    "average_token_count", "function_count", "warning_count", "function_rate", "number_of_line_of_code_rate",
+]
+CODE_METRICS_SCHEMA = "issue_id long, label string, complexity map<string,int>, methods array<string>"
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, multi_line: bool = False) -> DataFrame:
     """CSV with a header. A schema saves the pass that infers types; quoted line breaks need ``multi_line``."""
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
@@ -31,7 +30,8 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
 
 def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
     """Size metrics of files: eight doubles under a header that may begin with a byte-order mark; blank rows go."""
-    return drop_empty_rows(spark.read.option("header", True).schema(METRICS_SCHEMA).csv(path))
+    schema = ", ".join(f"{name} double" for name in METRICS_COLUMNS)
+    return drop_empty_rows(spark.read.option("header", True).schema(schema).csv(path))
 
 
 def read_documents(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
@@ -40,9 +40,8 @@ def read_documents(spark: SparkSession, root: str, multi_line: bool = True) -> D
     Only ``.json`` files count. Broken documents and objects without a number are left out.
     """
     bad = "_corrupt"
-    schema = T.StructType([*DOCUMENT_SCHEMA.fields, T.StructField(bad, T.StringType())])
     reader = (
-        spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
+        spark.read.schema(f"{DOCUMENT_SCHEMA}, {bad} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", multi_line)
     )
     rows = reader.json(root).withColumn("repository_name", first_folder(F.input_file_name(), root))
@@ -97,5 +96,5 @@ def parse_size_reports(df: DataFrame, key: str, report: str = "report") -> DataF
 
 def read_size_reports(spark: SparkSession, path: str) -> DataFrame:
     """Reports from text files, one report per file, keyed by file path."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("report"))
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("report"))
     return parse_size_reports(rows, "path")

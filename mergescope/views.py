@@ -176,14 +176,14 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_returnflag") == "R").cast("int").alias("y"), score.alias("score"), (score >= 0.5).cast("int").alias("prediction"))
 
 
-def scored_multi(spark: SparkSession, sf: str) -> DataFrame:
+def scored_multi(spark: SparkSession, sf: str, extra: list[Column] | None = None) -> DataFrame:
     """Three-class predictions with one score per class."""
     li = table(spark, sf, "lineitem")
     a, n, r = F.col("l_quantity"), F.col("l_linenumber") * 7.0, F.round(F.col("l_tax") * 100) * 6
     total = a + n + r
     y = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     return li.select(
-        y.alias("y"), (a / total).alias("p0"), (n / total).alias("p1"), (r / total).alias("p2"),
+        *(extra or []), y.alias("y"), (a / total).alias("p0"), (n / total).alias("p1"), (r / total).alias("p2"),
         F.when((a >= n) & (a >= r), 0).when(n >= r, 1).otherwise(2).alias("prediction"))
 
 
