@@ -181,7 +181,7 @@ def auc_one_vs_one(df: DataFrame, y: str, scores: dict, weighted: bool = True) -
                  F.col(y).isin(a, b).alias("member"))
         for i, a in enumerate(classes) for b in classes[i + 1:] for pos in (a, b)
     ]
-    long = df.select(F.col(y).alias("y"), F.explode(F.filter(F.array(*pairs), lambda s: s["member"])).alias("s"))
+    long = df.select(F.col(y).alias("y"), F.explode(F.array(*pairs)).alias("s")).where("s.member")
     long = long.select("y", "s.pair", "s.class", "s.score")
     steps = score_steps(long, F.col("y") == F.col("class"), F.col("score"), ["pair", "class"])
     sizes = steps.groupBy("pair").agg((F.sum(F.col("pos") + F.col("neg")) / 2).alias("n"))

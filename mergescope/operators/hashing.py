@@ -26,7 +26,7 @@ def slice_by_hash(
     cuts: list[Column],
     salt: str = "",
     out: str = "slice",
-    bits: int = 16,
+    bits: int | None = None,
     class_sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Cut every class, ordered by (hash, id), at exact positions; ``out`` is the number of cuts at or before a row.
@@ -36,8 +36,10 @@ def slice_by_hash(
 
     Rows are counted per hash bucket, which leaves at most classes x 2^bits counts. A bucket without a cut inside
     needs no ordering: its rows get their slice with no shuffle. Only the buckets that a cut splits are sorted, a
-    2^-bits share of a class each, so a class of any size never meets in one task.
+    2^-bits share of a class each, so a class of any size never meets in one task. Unless given, ``bits`` follows
+    the number of rows: buckets of some hundreds of rows, but no more than 2^16 buckets.
     """
+    bits = bits or min(16, max(6, (df.select(by).count() // 256).bit_length()))
     bucket = F.shiftright(F.col("_hash"), 32 - bits)
     hashed = df.withColumn("_hash", hash_code(F.col(identity), salt)).withColumn("_bucket", bucket)
     counts = hashed.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))

@@ -74,3 +74,13 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer tasks than there are cores one task per core, by a shuffle on a unique key.
+
+    Text rules are bound by processors, and a single file of a few megabytes is read by one task. A table of cluster
+    size has more tasks than cores and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import prepare
+from .session import prepare, spread
 
 EXTENSIONS = ["py", "java", "js", "ts", "go", "php", "cpp", "rb", "c", "txt"]
 STATES = {"A": "APPROVED", "N": "COMMENTED", "R": "CHANGES_REQUESTED"}
@@ -109,8 +109,8 @@ def code_text(column: Column) -> Column:
     return column
 
 
-def code_files(spark: SparkSession, sf: str, lang: bool = True) -> DataFrame:
-    d = table(spark, sf, "documents")
+def code_files(spark: SparkSession, sf: str) -> DataFrame:
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
     ext = _choice(EXTENSIONS, F.col("doc_id"))
     return d.select(
         F.col("doc_id").alias("file_id"),
@@ -145,7 +145,7 @@ def lexicon(spark: SparkSession, sf: str) -> DataFrame:
 
 def pull_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Nested pull-request documents, one per source text."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     n = F.col("n_chars")
     every = F.sequence(F.lit(1), (n % 4 + 1).cast("int"))
     return d.select(
