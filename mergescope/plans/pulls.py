@@ -54,18 +54,27 @@ def file_totals(files: DataFrame) -> DataFrame:
         F.sum("deletions").alias("lines_deleted"))
 
 
-def joined_lines(rows: DataFrame, keys: list[str], position: str, texts: list[str], block_width: int = 1000) -> DataFrame:
-    """Newline-join texts per key in position order, nulls skipped.
+def joined_lines(rows: DataFrame, keys: list[str], position: str, texts: list[str], block_width: int = 1000,
+                 last: list[str] | None = None) -> DataFrame:
+    """Newline-join texts per key in position order, nulls skipped; of the ``last`` columns keep the last value.
 
     Blocks of positions are joined first, so that sorting a long list is spread over tasks; the last step only
     strings blocks together.
     """
+    last = last or []
+
+    def gather(text: str, place: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(F.col(place).alias("p"), F.col(text).alias("t")))))
+
+    def string(text: str) -> Column:
+        return F.array_join(F.transform(text, lambda s: s["t"]), "\n")
+
+    latest = {c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(position).alias("p"), F.col(c).alias("v")))) for c in last}
     blocks = rows.groupBy(*keys, F.floor(F.col(position) / block_width).alias("_block")).agg(
-        *[F.array_sort(F.collect_list(F.when(F.col(t).isNotNull(), F.struct(F.col(position).alias("p"), F.col(t).alias("t"))))).alias(t) for t in texts])
-    joined = blocks.select(*keys, "_block", *[F.when(F.size(t) > 0, F.array_join(F.transform(t, lambda s: s["t"]), "\n")).alias(t) for t in texts])
-    final = joined.groupBy(*keys).agg(
-        *[F.array_sort(F.collect_list(F.when(F.col(t).isNotNull(), F.struct(F.col("_block").alias("p"), F.col(t).alias("t"))))).alias(t) for t in texts])
-    return final.select(*keys, *[F.array_join(F.transform(t, lambda s: s["t"]), "\n").alias(t) for t in texts])
+        *[gather(t, position).alias(t) for t in texts], *[value.alias(c) for c, value in latest.items()])
+    joined = blocks.select(*keys, "_block", *[F.when(F.size(t) > 0, string(t)).alias(t) for t in texts], *last)
+    final = joined.groupBy(*keys).agg(*[gather(t, "_block").alias(t) for t in texts], *[F.max(c).alias(c) for c in last])
+    return final.select(*keys, *[string(t).alias(t) for t in texts], *[F.col(c)["v"].alias(c) for c in last])
 
 
 def last_value(rows: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
@@ -139,11 +148,10 @@ def pull_features(
     # Without a filter on state a pull's children are all wanted, so they are aggregated as they are.
     pulls = by_state(pulls, state)
     touched = lookup_join(files.select("pr_id", "position", "file_id"), facts, ["file_id"], how="inner", sized_by=facts_sized_by)
-    lines = joined_lines(touched, ["pr_id"], "position", ["security", "issues"], block_width)
-    rates = last_value(touched, ["pr_id"], "position", "rating")
+    lines = joined_lines(touched, ["pr_id"], "position", ["security", "issues"], block_width, last=["rating"])
     moods = sentiment.pull_sentiment(comments, lexicon, ["pr_id"], ["position"])
     joined = pulls
-    for child in (review_totals(reviews), file_totals(files), bug_flags(labels), moods, lines, rates):
+    for child in (review_totals(reviews), file_totals(files), bug_flags(labels), moods, lines):
         joined = joined.join(child, "pr_id", "left")
     joined = lookup_join(joined, commit_counts(commits), ["repository_name", "author"], sized_by=commits)
     joined = lookup_join(joined, authors, ["author"])
