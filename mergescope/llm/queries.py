@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..catalog.registry import Entry
-from . import bpe
+from . import bpe, decontam
 from .common import spread_scan, table
 
 ENTRIES: dict[str, Entry] = {}
@@ -22,3 +23,11 @@ def query(name: str, covers: str, sql: str | None = None):
 @query("op6_byte_bpe", "byte-level BPE encoding and decoding of documents")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_digests(spread_scan(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+@query("op10_decontamination", "benchmark windows in documents by a prefix-filtered set join", decontam.SQL)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
