@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import materialise, prepare
 
 # Rows per Arrow batch: bounds what a Python worker holds, as texts may be long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -120,3 +121,46 @@ def components(spark: SparkSession, links: DataFrame, name: str = "components")
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
+
+
+def by_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+    """Apply a function to the rows of each key, one key at a time from sorted partitions.
+
+    Unlike one call per group through Spark, many small groups share an Arrow batch. A key's rows must fit a task.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+
+        def of(part: pd.DataFrame) -> pd.DataFrame | None:
+            out = function(part.reset_index(drop=True))
+            return out if out is not None and len(out) else None
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            if rest and any(batch[k].iat[0] != rest[0][k].iat[0] for k in keys):
+                done = of(pd.concat(rest))
+                rest = []
+                if done is not None:
+                    yield done
+            change = np.zeros(len(batch), bool)
+            for k in keys:
+                v = batch[k].to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            starts = np.flatnonzero(change).tolist()
+            if not starts:
+                rest.append(batch)
+                continue
+            outs = [of(pd.concat([*rest, batch.iloc[:starts[0]]]))]
+            outs += [of(batch.iloc[s:e]) for s, e in zip(starts, starts[1:])]
+            rest = [batch.iloc[starts[-1]:]]
+            outs = [o for o in outs if o is not None]
+            if outs:
+                yield pd.concat(outs)
+        if rest:
+            done = of(pd.concat(rest))
+            if done is not None:
+                yield done
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)

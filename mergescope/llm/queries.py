@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog.registry import Entry
-from . import bpe, decontam
+from . import bpe, decontam, near_dup
 from .common import spread_scan, table
 
 ENTRIES: dict[str, Entry] = {}
@@ -31,3 +31,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op5_minhash_near_dedup", "near-duplicate documents by a multi-index Hamming join of MinHash signatures", near_dup.SQL)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_dup.groups(spread_scan(table(spark, sf, "documents").select("doc_id", "text")))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
