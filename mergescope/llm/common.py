@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,3 +165,28 @@ def by_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame],
                 yield done
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, packed): texts compressed for a shuffle; ``row`` is the text's hash."""
+
+    def run(t: pa.Table) -> pa.Table:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        z = [pack((x or "").encode("utf-8", "surrogatepass")) for x in t.column("text").to_pylist()]
+        return t.select(["doc_id", "row"]).append_column("packed", pa.array(z, pa.binary()))
+
+    return arrow(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), run, "doc_id long, row long, packed binary")
+
+
+def unpack(column: pa.ChunkedArray) -> Iterator[bytes]:
+    """Texts of a packed column in UTF-8, one at a time."""
+    return map(zstandard.ZstdDecompressor().decompress, column.to_pylist())
+
+
+def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
+    """Which of n places lie in one of the spans [start, end)."""
+    edge = np.zeros(n + 1, np.int64)
+    for s, e in spans:
+        edge[s] += 1
+        edge[e] -= 1
+    return np.cumsum(edge)[:n] > 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog.registry import Entry
-from . import bpe, decontam, near_dup
+from . import bpe, decontam, fm_dedup, near_dup, suffix_dedup
 from .common import spread_scan, table
 
 ENTRIES: dict[str, Entry] = {}
@@ -37,3 +37,15 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     found = near_dup.groups(spread_scan(table(spark, sf, "documents").select("doc_id", "text")))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query("op4_fm_substring_dedup", "repeated 50-word passages by FM-index shards", fm_dedup.SQL)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    found = fm_dedup.deduplicate(spread_scan(table(spark, sf, "documents").select("doc_id", "text")))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_suffix_dedup", "repeated 200-byte strings by a merge sort of suffix runs")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(spread_scan(table(spark, sf, "documents").select("doc_id", "text")))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
