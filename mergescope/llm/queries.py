@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog.registry import Entry
-from . import bpe, decontam, fm_dedup, near_dup, suffix_dedup
+from . import bpe, decontam, fm_dedup, near_dup, suffix_dedup, warc
 from .common import spread_scan, table
 
 ENTRIES: dict[str, Entry] = {}
@@ -49,3 +49,9 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     found = suffix_dedup.deduplicate(spread_scan(table(spark, sf, "documents").select("doc_id", "text")))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_warc", "WARC archives with revisit records, written and read back", warc.SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = warc.write_archives(spread_scan(table(spark, sf, "pages")))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
