@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog.registry import Entry
-from . import bpe, decontam, fm_dedup, near_dup, suffix_dedup, warc
+from . import bpe, decontam, fm_dedup, near_dup, suffix_dedup, toxicity, warc
 from .common import spread_scan, table
 
 ENTRIES: dict[str, Entry] = {}
@@ -55,3 +55,16 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     manifest = warc.write_archives(spread_scan(table(spark, sf, "pages")))
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def toxic_model(spark: SparkSession, sf: str) -> toxicity.Model | None:
+    """The machine of a data set's labels, without the rows kept for judging it."""
+    labels = table(spark, sf, "labels").select("doc_id", "toxic").where(~toxicity.held_out())
+    return toxicity.fit(table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id"))
+
+
+@query("op3_toxicity", "toxicity of documents by a subsequence kernel machine")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread_scan(table(spark, sf, "documents").select("doc_id", "text"))
+    scored = toxicity.score(docs, toxic_model(spark, sf))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
