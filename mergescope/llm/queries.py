@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog.registry import Entry
-from . import bpe, decontam, fm_dedup, near_dup, suffix_dedup, toxicity, warc
+from . import ann, bpe, decontam, fm_dedup, near_dup, pii, suffix_dedup, toxicity, warc
 from .common import spread_scan, table
 
 ENTRIES: dict[str, Entry] = {}
@@ -68,3 +68,13 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread_scan(table(spark, sf, "documents").select("doc_id", "text"))
     scored = toxicity.score(docs, toxic_model(spark, sf))
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_pii_surrogates", "keyed, type-consistent replacements of personal data in documents")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.mask(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op1_ann", "twenty nearest vectors by a hierarchical k-means tree with best-bin-first search")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.search(spread_scan(table(spark, sf, "embeddings")), F.col("vec_id") % 20 == 0)
