@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog.registry import Entry
-from . import ann, bpe, decontam, fm_dedup, near_dup, pii, suffix_dedup, toxicity, warc
+from ..session import materialise
+from . import ann, bpe, chat, decontam, fm_dedup, near_dup, pii, suffix_dedup, toxicity, warc
 from .common import spread_scan, table
 
 ENTRIES: dict[str, Entry] = {}
@@ -78,3 +79,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_ann", "twenty nearest vectors by a hierarchical k-means tree with best-bin-first search")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return ann.search(spread_scan(table(spark, sf, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
+@query("op8_chat_turns", "roles of transcript lines by a hidden Markov model, rendered as turns")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = table(spark, sf, "conversations")
+    lines = materialise(chat.transcripts(conversations), "transcripts")
+    return chat.turns(lines.drop("state"), chat.learn(chat.known(lines)))
