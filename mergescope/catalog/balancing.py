@@ -66,10 +66,10 @@ NEAR = f"""SELECT a.vec_id AS id, a.label, b.vec_id neighbour, {DISTANCE} distan
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id"""
 
 
-@query("nearest_neighbours", "J11", f"SELECT id, label, rank, neighbour, round(distance, 7) distance FROM ({NEAR}) WHERE rank <= 5")
+@query("nearest_neighbours", "J11", f"SELECT id, label, rank, neighbour, distance FROM ({NEAR}) WHERE rank <= 5")
 def _(spark, sf):
     near = nearest(views.embeddings(spark, sf), 5, "vec_id", "embedding", "label")
-    return near.select("id", "label", "rank", "neighbour", F.round("distance", 7).alias("distance"))
+    return near.select("id", "label", "rank", "neighbour", F.round("distance", 9).alias("distance"))
 
 
 K = "least(5, (SELECT min(c) FROM (SELECT count(*) c FROM embeddings GROUP BY label)) - 1)"

@@ -109,11 +109,11 @@ def _(spark, sf):
 
 
 @query("precision_recall_points", "C2 W5", f"""
-SELECT class, score, round(tp / (tp + fp)::DOUBLE, 8) AS "precision", round(tp / sum(pos) OVER (PARTITION BY class), 8) recall FROM ({CLASS_STEPS})
+SELECT class, score, tp::DOUBLE / (tp + fp)::DOUBLE AS "precision", tp::DOUBLE / (sum(pos) OVER (PARTITION BY class))::DOUBLE recall FROM ({CLASS_STEPS})
 UNION ALL SELECT DISTINCT class, NULL, 1, 0 FROM {LONG}""", "scored_multi")
 def _(spark, sf):
     steps = evaluate.class_steps(views.scored_multi(spark, sf), "y", SCORES)
-    return evaluate.pr_points(steps, ["class"]).withColumns({c: F.round(c, R) for c in ("precision", "recall")})
+    return evaluate.pr_points(steps, ["class"])
 
 
 AREA = """SELECT {key} sum((x - px) * (t + pt) / 2) / (max(x) * max(t)) roc_auc FROM

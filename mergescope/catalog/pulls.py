@@ -134,9 +134,8 @@ def _facts(spark, sf):
 SELECT pr_id, string_agg(security, chr(10) ORDER BY position) security, string_agg(issues, chr(10) ORDER BY position) issues
 FROM files JOIN ({FACTS}) USING (file_id) GROUP BY pr_id""", "files " + FACT_VIEWS)
 def _(spark, sf):
-    touched = lookup_join(views.files(spark, sf), _facts(spark, sf), ["file_id"], how="inner",
-                          sized_by=views.table(spark, sf, "documents").select("doc_id"))
-    lines = plans.joined_lines(touched, ["pr_id"], "position", ["security", "issues"], 1_000_000_000)
+    touched = lookup_join(views.files(spark, sf), _facts(spark, sf), ["file_id"], how="inner")
+    lines = plans.joined_lines(touched, ["pr_id"], "position", ["security", "issues"], 1_000_000_000_000_000)
     return lines.withColumns({c: F.nullif(c, F.lit("")) for c in ("security", "issues")})
 
 
@@ -177,7 +176,7 @@ def pull_features(spark, sf):
     df = plans.pull_features(
         views.pulls(spark, sf), views.reviews(spark, sf), views.files(spark, sf), views.commits(spark, sf),
         views.authors(spark, sf), views.pull_labels(spark, sf), views.comments(spark, sf), views.lexicon(spark, sf),
-        _facts(spark, sf), block_width=1_000_000_000, facts_sized_by=views.table(spark, sf, "documents").select("doc_id"))
+        _facts(spark, sf), block_width=1_000_000_000_000_000)
     rounded = {c: F.round(c, 6) for c in ("time_to_merge", "review_time", "author_tenure")}
     return df.withColumns({**rounded, "review_sentiment_score": F.round("review_sentiment_score", 8)})
 
@@ -251,19 +250,8 @@ def _(spark, sf):
 
 
 def _lint_outputs(spark, sf):
-    """Raw output of one linter run per finding row, in the format of the file's language."""
-    k, e = F.col("k"), F.get(F.array(*[F.lit(x) for x in ("py", "java", "js", "go", "php", "cpp", "txt")]), (F.col("event_id") % 7).cast("int"))
-    errors, warnings = k % 4, k % 3
-    python = F.concat(F.lit("["), F.array_join(F.concat(
-        F.array_repeat(F.lit('{"type": "error"}'), errors), F.array_repeat(F.lit('{"type": "warning"}'), warnings),
-        F.array(F.lit('{"type": "refactor"}'))), ", "), F.lit("]"))
-    script = F.concat(F.lit('[{"messages": ['), F.array_join(F.concat(
-        F.array_repeat(F.lit('{"severity": 2}'), errors), F.array_repeat(F.lit('{"severity": 1}'), warnings)), ", "), F.lit("]}, {\"messages\": [{\"severity\": 1}]}]"))
-    xml = F.concat(F.lit("<results><file>"), F.repeat(F.lit("<error/>"), errors), F.repeat(F.lit("<warning/>"), warnings), F.lit("</file></results>"))
-    php = F.concat(F.lit('{"totals": {"errors": '), errors.cast("string"), F.lit(', "warnings": '), warnings.cast("string"), F.lit("}}"))
-    output = (F.when(F.col("ext") == "py", python).when(F.col("ext") == "js", script).when(F.col("ext").isin("java", "cpp"), xml)
-              .when(F.col("ext") == "go", F.repeat(F.lit("issue\n"), errors)).when(F.col("ext") == "php", php))
-    return views.findings(spark, sf).withColumn("ext", e).withColumn("lint_output", output)
+    e = F.get(F.array(*[F.lit(x) for x in ("py", "java", "js", "go", "php", "cpp", "txt")]), (F.col("event_id") % 7).cast("int"))
+    return views.findings(spark, sf).withColumn("ext", e).withColumn("lint_output", views.lint_output(F.col("ext"), F.col("k")))
 
 
 @query("linter_output_counts", "A10 A11 A12 A13 A14 F37", """

@@ -85,8 +85,15 @@ def _(spark, sf):
     return views.code_files(spark, sf).select("file_id", text.issue_line_count(text.lines_of(F.col("content"))).alias("n"))
 
 
-KEYWORDS_SQL = "CASE ext " + " ".join(f"WHEN '{e}' THEN {sql_list(w)}" for e, w in tables.LANGUAGE_KEYWORDS.items()) + " ELSE []::VARCHAR[] END"
-KEYWORD_SUM = f"coalesce(list_sum(list_transform({KEYWORDS_SQL}, lambda k: (length(content) - length(replace(content, k, ''))) // length(k))), 0)::BIGINT"
+def keywords_sql(lists):
+    return "CASE ext " + " ".join(f"WHEN '{e}' THEN {sql_list(w)}" for e, w in lists.items()) + " ELSE []::VARCHAR[] END"
+
+
+def keyword_sum(lists):
+    return f"coalesce(list_sum(list_transform({keywords_sql(lists)}, lambda k: (length(content) - length(replace(content, k, ''))) // length(k))), 0)::BIGINT"
+
+
+KEYWORDS_SQL, KEYWORD_SUM = keywords_sql(tables.LANGUAGE_KEYWORDS), keyword_sum(tables.LANGUAGE_KEYWORDS)
 
 
 @query("keyword_substrings", "F11 F13", f"SELECT file_id, {KEYWORD_SUM} n FROM code_files", "code_files")
@@ -292,13 +299,17 @@ def _(spark, sf):
 
 
 BASE_FEATURES = f"""path, repository, len({LINES}) - 1 num_lines, {matches(FUNCTIONS)} num_functions, {matches(COMMENTS)} num_comments,
-  {KEYWORD_SUM} num_keywords"""
+  {keyword_sum(tables.LONG_KEYWORDS)} num_keywords"""
 
 
-@query("file_features", "Q3", f"""
-SELECT {BASE_FEATURES}, label AS labels FROM code_files JOIN ({FILE_LABELS}) USING (file_id)""", "code_files")
+@query("file_features", "Q3 F13 A14", f"""
+SELECT {BASE_FEATURES}, CASE WHEN ext IN ('py', 'java', 'js', 'ts', 'php', 'cpp') THEN file_id % 12 % 4 END num_errors,
+  CASE WHEN ext IN ('py', 'java', 'php') THEN file_id % 12 % 3 WHEN ext IN ('js', 'ts') THEN file_id % 12 % 3 + 1 WHEN ext = 'cpp' THEN 0 END num_warnings,
+  CASE WHEN ext = 'go' THEN file_id % 12 % 4 END num_issues, label AS labels
+FROM code_files JOIN ({FILE_LABELS}) USING (file_id)""", "code_files")
 def _(spark, sf):
-    return file_plans.file_features(views.code_files(spark, sf))
+    files = views.code_files(spark, sf).withColumn("lint_output", views.lint_output(F.col("ext"), (F.col("file_id") % 12).cast("int")))
+    return file_plans.file_features(files, tables.LONG_KEYWORDS, "lint_output")
 
 
 @query("short_file_features", "Q3", f"""

@@ -6,8 +6,6 @@ the functions that use them take another table as an argument.
 
 from __future__ import annotations
 
-import keyword
-
 # --- Fixed values: languages -------------------------------------------------------------------
 EXTENSION_LANGUAGE = {
     "py": "Python", "java": "Java", "js": "JavaScript", "cpp": "C++", "c": "C", "go": "Go", "php": "PHP",
@@ -42,9 +40,57 @@ LANGUAGE_KEYWORDS = {
     "php": ["function", "class", "public", "private", "protected", "return", "if", "else", "for", "while"],
     "cpp": ["int", "void", "class", "public", "private", "protected", "if", "else", "for", "while", "try", "catch"],
 }
-# The long Python list is the language's reserved words without the two asynchronous ones. Long lists of
-# other languages are passed in as a table (see text.keyword_table).
-PYTHON_RESERVED = [word for word in keyword.kwlist if word not in ("async", "await")]
+# The long lists.
+PYTHON_RESERVED = [
+    "False", "None", "True", "and", "as", "assert", "break", "class", "continue", "def", "del", "elif", "else", "except",
+    "finally", "for", "from", "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass", "raise",
+    "return", "try", "while", "with", "yield",
+]
+LONG_KEYWORDS = {
+    "py": PYTHON_RESERVED,
+    "java": [
+        "abstract", "assert", "boolean", "break", "byte", "case", "catch", "char", "class", "const", "continue", "default",
+        "do", "double", "else", "enum", "extends", "final", "finally", "float", "for", "goto", "if", "implements", "import",
+        "instanceof", "int", "interface", "long", "native", "new", "null", "package", "private", "protected", "public",
+        "return", "short", "static", "strictfp", "super", "switch", "synchronized", "this", "throw", "throws", "transient",
+        "try", "void", "volatile", "while",
+    ],
+    "js": [
+        "await", "break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "enum",
+        "export", "extends", "finally", "for", "function", "if", "import", "in", "instanceof", "new", "null", "return",
+        "super", "switch", "this", "throw", "try", "true", "false", "undefined", "var", "void", "while", "with", "yield",
+    ],
+    "ts": [
+        "abstract", "any", "as", "asserts", "async", "await", "boolean", "break", "case", "catch", "class", "const",
+        "continue", "declare", "default", "delete", "do", "else", "enum", "export", "extends", "false", "finally", "for",
+        "from", "function", "if", "implements", "import", "in", "infer", "instanceof", "interface", "is", "keyof", "let",
+        "module", "namespace", "never", "new", "null", "number", "object", "package", "private", "protected", "public",
+        "readonly", "record", "return", "super", "switch", "symbol", "template", "this", "throw", "true", "try", "type",
+        "undefined", "union", "unknown", "var", "void", "while", "with", "yield",
+    ],
+    "go": [
+        "break", "case", "chan", "const", "continue", "default", "defer", "else", "fallthrough", "for", "func", "go", "goto",
+        "if", "import", "interface", "map", "package", "range", "return", "select", "struct", "switch", "type", "var",
+    ],
+    "php": [
+        "abstract", "and", "array", "as", "break", "callable", "case", "catch", "class", "clone", "const", "continue",
+        "declare", "default", "die", "do", "echo", "else", "elseif", "empty", "enddeclare", "endfor", "endforeach", "endif",
+        "endswitch", "endwhile", "eval", "exit", "extends", "final", "finally", "for", "foreach", "function", "global",
+        "goto", "if", "implements", "include", "include_once", "instanceof", "insteadof", "interface", "isset", "list",
+        "namespace", "new", "or", "print", "private", "protected", "public", "require", "require_once", "return", "static",
+        "switch", "throw", "trait", "try", "unset", "use", "var", "while", "xor", "yield",
+    ],
+    "cpp": [
+        "alignas", "alignof", "and", "and_eq", "asm", "auto", "bitand", "bitor", "bool", "break", "case", "catch", "char",
+        "char16_t", "char32_t", "class", "compl", "concept", "const", "const_cast", "continue", "decltype", "default",
+        "delete", "do", "double", "dynamic_cast", "else", "enum", "explicit", "export", "extern", "false", "float", "for",
+        "friend", "goto", "if", "inline", "int", "long", "mutable", "namespace", "new", "noexcept", "not", "not_eq",
+        "nullptr", "operator", "or", "or_eq", "private", "protected", "public", "register", "reinterpret_cast", "return",
+        "short", "signed", "sizeof", "static", "static_assert", "static_cast", "struct", "switch", "template", "this",
+        "thread_local", "throw", "true", "try", "typedef", "typeid", "typename", "union", "unsigned", "using", "virtual",
+        "void", "volatile", "wchar_t", "while", "xor", "xor_eq",
+    ],
+}
 
 LABEL_KEYWORDS = {
     "bug": ["bug", "error", "issue", "fix", "crash", "fail", "wrong", "incorrect", "problem"],
@@ -67,7 +113,6 @@ LINE_LIMITS = {
     "Swift": 100, "Kotlin": 100,
 }
 DEFAULT_LINE_LIMIT = 80
-HASH_COMMENT_LANGUAGES = ["Python", "Ruby"]
 SLASH_COMMENT_LANGUAGES = ["JavaScript", "Java", "C++", "Go", "TypeScript", "PHP", "Swift", "Kotlin"]
 CODE_WORDS = ["if", "for", "while", "return", "class", "def", "function"]
 DEBUG_PRINTS = {

@@ -112,10 +112,13 @@ def _totals(steps: DataFrame, by: list[str]) -> DataFrame:
 
 
 def roc_points(steps: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, score, fpr, tpr) of each distinct score, and the origin with a null score."""
+    """(by, score, fpr, tpr) of each distinct score, and the origin with a null score.
+
+    A rate over no rows, as with one class, is null.
+    """
     by = by or []
     points = _totals(steps, by).select(
-        *by, "score", (F.col("fp") / F.col("all_neg")).alias("fpr"), (F.col("tp") / F.col("all_pos")).alias("tpr"))
+        *by, "score", F.try_divide("fp", "all_neg").alias("fpr"), F.try_divide("tp", "all_pos").alias("tpr"))
     zero = F.lit(0.0)
     start = steps.groupBy(*by).agg(F.lit(None).cast("double").alias("score"), zero.alias("fpr"), zero.alias("tpr"))
     return points.unionByName(start)
@@ -131,23 +134,26 @@ def roc_auc(steps: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def pr_points(steps: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, score, precision, recall) of each distinct score, and the end point (1, 0) with a null score."""
+    """(by, score, precision, recall) of each distinct score, and the end point (1, 0) with a null score.
+
+    Recall is null where there are no positives.
+    """
     by = by or []
     points = _totals(steps, by).select(
-        *by, "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("tp") / F.col("all_pos")).alias("recall"))
+        *by, "score", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+        F.try_divide("tp", "all_pos").alias("recall"))
     end = steps.groupBy(*by).agg(
         F.lit(None).cast("double").alias("score"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return points.unionByName(end)
 
 
 def pr_auc(steps: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Trapezoids over recall. The point before a step follows from the step's own counts."""
+    """Trapezoids over recall. The point before a step follows from the step's own counts; null without positives."""
     by = by or []
     tp0, fp0 = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
     before = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(F.lit(1.0))
     area = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")) + before) / 2
-    return steps.groupBy(*by).agg((F.sum(area) / F.sum("pos")).alias("pr_auc"))
+    return steps.groupBy(*by).agg(F.try_divide(F.sum(area), F.sum("pos")).alias("pr_auc"))
 
 
 def _long_scores(df: DataFrame, y: str, scores: dict) -> DataFrame:
@@ -193,7 +199,7 @@ def auc_one_vs_one(df: DataFrame, y: str, scores: dict, weighted: bool = True) -
 
 # --- regression ----------------------------------------------------------------------------------
 def regression_metrics(df: DataFrame, y: str = "y", p: str = "prediction", features: int = 1, delta: float = 1.0) -> DataFrame:
-    """All regression metrics in one pass, one row."""
+    """All regression metrics in one pass, one row. Ratios to the variance of a constant target are null."""
     t, e = F.col(y).cast("double"), F.col(y).cast("double") - F.col(p).cast("double")
     size = F.abs(e)
     sums = df.agg(
@@ -207,12 +213,12 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "prediction", featu
         F.var_pop(t).alias("var_y"),
         F.var_pop(e).alias("var_e"),
     )
-    r2 = 1 - F.col("mse") / F.col("var_y")
+    r2 = 1 - F.try_divide("mse", "var_y")
     return sums.select(
         "mae", "mse", F.sqrt("mse").alias("rmse"), r2.alias("r2"),
-        (1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - features - 1)).alias("adjusted_r2"),
-        "mape", (1 - F.col("var_e") / F.col("var_y")).alias("evs"), "max_err", "mbd",
-        (F.col("mse") / F.col("var_y")).alias("rse"), "huber",
+        (1 - F.try_divide((1 - r2) * (F.col("n") - 1), F.col("n") - features - 1)).alias("adjusted_r2"),
+        "mape", (1 - F.try_divide("var_e", "var_y")).alias("evs"), "max_err", "mbd",
+        F.try_divide("mse", "var_y").alias("rse"), "huber",
     )
 
 

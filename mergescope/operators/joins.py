@@ -1,45 +1,14 @@
-"""Joins whose strategy follows the checked size of the lookup side."""
+"""Joins to lookup tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
 
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the frame has at most ``max_rows`` rows; counting stops there."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    max_rows: int = BROADCAST_ROWS,
-    hot_share: float = 0.001,
-    how: str = "left",
-    sized_by: DataFrame | None = None,
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join a large table to a lookup table with one row per key.
 
-    A lookup side of checked size is broadcast. Beyond it the keys that hold more than ``hot_share`` of the left
-    rows (there are at most ``1 / hot_share``) are split off: their lookup rows are broadcast, so no task has to
-    take a hot key whole. The other rows take a shuffled join. No row is lost either way.
-
-    ``sized_by`` is a frame with at least as many rows as ``right`` that is cheaper to count, such as the table an
-    expensive ``right`` is computed from.
+    One equi-join, whatever the sizes: Spark broadcasts the lookup side below its byte threshold, and the adaptive skew
+    join that the session sets divides hot keys. Neither side is evaluated twice.
     """
-    if is_small(right if sized_by is None else sized_by, max_rows):
-        return left.join(F.broadcast(right), on, how)
-    total = left.count()
-    hot = (
-        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > total * hot_share)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    marked = left.join(F.broadcast(hot), on, "left")
-    hot_rows = marked.where(F.col("_hot")).drop("_hot")
-    cold_rows = marked.where(F.col("_hot").isNull()).drop("_hot")
-    hot_right = right.join(F.broadcast(hot.drop("_hot")), on, "left_semi")
-    return hot_rows.join(F.broadcast(hot_right), on, how).unionByName(cold_rows.join(right, on, how))
+    return left.join(right, on, how)

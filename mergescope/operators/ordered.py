@@ -50,6 +50,6 @@ def running_totals(
 def dense_ranks(values: DataFrame, value: str, by: list[str], out: str = "code", max_rows: int = 100_000) -> DataFrame:
     """Rank from 0 of distinct values within ``by``. ``values`` holds one row per distinct value."""
     if values.limit(max_rows + 1).count() <= max_rows:
-        return values.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
+        return values.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(value)).cast("long") - 1)
     counted = running_totals(values.withColumn("_one", F.lit(1)), [value], {out: "_one"}, by)
-    return counted.select(*values.columns, (F.col(out) - 1).cast("int").alias(out))
+    return counted.select(*values.columns, (F.col(out) - 1).cast("long").alias(out))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
 from .joins import lookup_join
 from .ordered import dense_ranks
 from .quantiles import exact_quantiles
@@ -133,13 +134,14 @@ def ordinal_codes(df: DataFrame, columns: list[str], null_text: str | None = "na
 
 def apply_codes(df: DataFrame, codes: DataFrame, columns: list[str], null_text: str | None = "nan",
                 null_code: int | None = None) -> DataFrame:
-    """Replace each column by its code. Small dictionaries are broadcast, large ones joined with hot values apart."""
+    """Replace each column by its code, by one join a column to the code table, which is computed once."""
+    codes = materialise(codes, "codes")
     order = df.columns
     for c in columns:
         lookup = codes.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
         df = lookup_join(df.withColumn("_v", as_text(df, c, null_text)), lookup, ["_v"])
         code = F.coalesce(F.col("_code"), F.lit(null_code)) if null_code is not None else F.col("_code")
-        df = df.withColumn(c, code.cast("int")).drop("_v", "_code")
+        df = df.withColumn(c, code.cast("long")).drop("_v", "_code")
     return df.select(*order)
 
 
@@ -187,7 +189,8 @@ def anova_f(df: DataFrame, features: list[str], label: str) -> DataFrame:
 def chi_square(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, statistic, degrees): Pearson statistic of each categorical feature against the label.
 
-    Works on the contingency counts; empty cells contribute through n*(sum of O^2/(R*C) - 1).
+    Works on the contingency counts; empty cells contribute through n*(sum of O^2/(R*C) - 1). Null is a category of
+    its own on either side.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in features]))
     cells = df.select(pairs.alias("p"), F.col(label).alias("label")).groupBy("p.feature", "p.value", "label").agg(
@@ -195,8 +198,10 @@ def chi_square(df: DataFrame, features: list[str], label: str) -> DataFrame:
     # Margins come from aggregates of the counts, so no window gathers a feature's cells in one task.
     rows = cells.groupBy("feature", "value").agg(F.sum("o").alias("r"))
     columns = cells.groupBy("feature", "label").agg(F.sum("o").alias("c"))
-    terms = cells.join(rows, ["feature", "value"]).join(columns, ["feature", "label"]).select(
-        "feature", (F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("t"), "o")
+    o, r, c = cells.alias("o"), rows.alias("r"), columns.alias("c")
+    same = lambda a, b, name: (F.col(f"{a}.feature") == F.col(f"{b}.feature")) & F.col(f"{a}.{name}").eqNullSafe(F.col(f"{b}.{name}"))
+    terms = o.join(r, same("o", "r", "value")).join(c, same("o", "c", "label")).select(
+        "o.feature", (F.col("o.o") * F.col("o.o") / (F.col("r.r") * F.col("c.c"))).alias("t"), F.col("o.o").alias("o"))
     sums = terms.groupBy("feature").agg(F.sum("t").alias("t"), F.sum("o").alias("n"))
     sizes = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("values")).join(
         columns.groupBy("feature").agg(F.count(F.lit(1)).alias("classes")), "feature")

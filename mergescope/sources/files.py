@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,16 @@ METRICS_COLUMNS = [
     "number_of_line_of_code", "average_number_of_lines_of_code", "average_cyclomatic_complexity_number",
     "average_token_count", "function_count", "warning_count", "function_rate", "number_of_line_of_code_rate",
 ]
+# Column that takes what does not parse.
+BROKEN = "_corrupt"
 CODE_METRICS_SCHEMA = "issue_id long, label string, complexity map<string,int>, methods array<string>"
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, multi_line: bool = False) -> DataFrame:
-    """CSV with a header. A schema saves the pass that infers types; quoted line breaks need ``multi_line``."""
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header. A schema saves the pass that infers types.
+
+    Quoted line breaks are part of a value; ``multi_line=False`` lets one large file be split where there are none.
+    """
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
@@ -39,19 +46,30 @@ def read_documents(spark: SparkSession, root: str, multi_line: bool = True) -> D
 
     Only ``.json`` files count. Broken documents and objects without a number are left out.
     """
-    bad = "_corrupt"
-    reader = (
-        spark.read.schema(f"{DOCUMENT_SCHEMA}, {bad} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", multi_line)
-    )
-    rows = reader.json(root).withColumn("repository_name", first_folder(F.input_file_name(), root))
-    return rows.where(F.col(bad).isNull() & F.col("number").isNotNull()).drop(bad)
+    return sound_documents(document_options(spark.read, multi_line).json(root), root)
+
+
+def document_options(reader, multi_line: bool = True):
+    """Schema and options of landed documents, for a batch or a stream reader."""
+    return (reader.schema(f"{DOCUMENT_SCHEMA}, {BROKEN} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+            .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", multi_line))
 
 
-def first_folder(path: Column, root: str) -> Column:
-    """First folder name below ``root`` in a file's path, URL escapes decoded."""
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    return F.url_decode(F.regexp_extract(path, r"\Q/" + base + r"/\E([^/]+)/", 1))
+def sound_documents(rows: DataFrame, root: str) -> DataFrame:
+    """Documents that parsed and have a number, with the repository their folder names."""
+    rows = rows.withColumn("repository_name", first_folder(F.input_file_name(), root))
+    return rows.where(F.col(BROKEN).isNull() & F.col("number").isNotNull()).drop(BROKEN)
+
+
+def first_folder(path: Column, root: str, escaped: bool = True) -> Column:
+    """First folder name below ``root`` in a file's path; ``escaped`` paths have URL escapes.
+
+    The whole root is matched, so a folder of the same name further up or down does not count.
+    """
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if escaped else path
+    whole = re.sub(r"^[A-Za-z][\w+.-]*:/*", "/", root).rstrip("/") + "/"
+    below = F.substring(plain, F.locate(whole, plain) + len(whole), F.length(plain))
+    return F.when(F.locate(whole, plain) > 0, F.regexp_extract(below, "^([^/]+)/", 1)).otherwise(F.lit(""))
 
 
 def read_code_metrics(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -60,8 +78,11 @@ def read_code_metrics(spark: SparkSession, path: str, multi_line: bool = True) -
 
 def read_source_tree(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
     """(path, repository, ext, bytes) of the files below ``root``; the extension filters before any file is read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = rows.select("path", first_folder(F.col("path"), root).alias("repository"),
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if extensions is not None:
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
+    rows = reader.load(root)
+    rows = rows.select("path", first_folder(F.col("path"), root, escaped=False).alias("repository"),
                        text.extension(F.col("path")).alias("ext"), F.col("content").alias("bytes"))
     return rows if extensions is None else rows.where(F.col("ext").isin(extensions))
 

@@ -3,34 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..plans.pulls import nested_features
-from ..sources.files import DOCUMENT_SCHEMA, first_folder
-from ..sources.sinks import landed, only_new
+from ..sources.files import document_options, sound_documents
+from ..sources.sinks import append_new
 
 KEYS = ["repository_name", "pr_id"]
 
 
-def ingest_documents(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1000) -> None:
+def ingest_documents(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1000,
+                     multi_line: bool = True) -> None:
     """Turn documents that arrived since the last run into feature rows; pulls already there are skipped.
 
-    Every batch writes its own folder and replaces it when repeated, so a batch that was lost half-way and is run
-    again leaves no double rows.
+    Every batch appends the pulls that the target lacks and replaces nothing. A batch that is run again, another source
+    and a lost checkpoint therefore neither double a row nor lose one.
     """
-    stream = (
-        spark.readStream.schema(DOCUMENT_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-        .option("maxFilesPerTrigger", files_per_batch).json(source)
-        .withColumn("repository_name", first_folder(F.input_file_name(), source))
-        .where(F.col("number").isNotNull())
-    )
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    stream = sound_documents(document_options(reader, multi_line).json(source), source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = landed(batch.sparkSession, target)
-        if known is not None:
-            known = known.where(F.col("batch") < batch_id)
-        rows = only_new(nested_features(batch), known, KEYS)
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        append_new(nested_features(batch), target, KEYS)
 
     query = (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

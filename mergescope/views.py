@@ -70,7 +70,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.select(
         F.col("l_orderkey").alias("pr_id"),
-        (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("position"),
+        (F.col("l_linenumber").cast("long") * 1_000_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("position"),
         F.col("l_partkey").alias("file_id"),
         F.col("l_quantity").cast("long").alias("additions"),
         F.round(F.col("l_tax") * 100).cast("long").alias("deletions"),
@@ -210,3 +210,17 @@ def pull_paths(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     bare = F.substring_index(F.substring_index(F.col("url"), "#", 1), "?", 1)
     return p.select("page_id", "url", F.regexp_replace(bare, "^https?://", "").alias("path"))
+
+
+def lint_output(ext: Column, k: Column) -> Column:
+    """Raw output of a linter run in the format of the file's language; ``k`` decides how much it found."""
+    errors, warnings = k % 4, k % 3
+    python = F.concat(F.lit("["), F.array_join(F.concat(
+        F.array_repeat(F.lit('{"type": "error"}'), errors), F.array_repeat(F.lit('{"type": "warning"}'), warnings),
+        F.array(F.lit('{"type": "refactor"}'))), ", "), F.lit("]"))
+    script = F.concat(F.lit('[{"messages": ['), F.array_join(F.concat(
+        F.array_repeat(F.lit('{"severity": 2}'), errors), F.array_repeat(F.lit('{"severity": 1}'), warnings)), ", "), F.lit("]}, {\"messages\": [{\"severity\": 1}]}]"))
+    xml = F.concat(F.lit("<results><file>"), F.repeat(F.lit("<error/>"), errors), F.repeat(F.lit("<warning/>"), warnings), F.lit("</file></results>"))
+    php = F.concat(F.lit('{"totals": {"errors": '), errors.cast("string"), F.lit(', "warnings": '), warnings.cast("string"), F.lit("}}"))
+    return (F.when(ext == "py", python).when(ext.isin("js", "ts"), script).when(ext.isin("java", "cpp"), xml)
+            .when(ext == "go", F.repeat(F.lit("issue\n"), errors)).when(ext == "php", php))
