@@ -178,9 +178,9 @@ def packed(docs: DataFrame) -> DataFrame:
     return arrow(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), run, "doc_id long, row long, packed binary")
 
 
-def unpack(column: pa.ChunkedArray) -> Iterator[bytes]:
+def unpack(column: pa.ChunkedArray | pd.Series) -> Iterator[bytes]:
     """Texts of a packed column in UTF-8, one at a time."""
-    return map(zstandard.ZstdDecompressor().decompress, column.to_pylist())
+    return map(zstandard.ZstdDecompressor().decompress, column.to_pylist() if hasattr(column, "to_pylist") else column)
 
 
 def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:

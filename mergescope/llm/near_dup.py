@@ -27,26 +27,28 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import arrow, by_group, components, mix, rolling
+from .common import arrow, by_group, components, mix, packed, rolling, unpack
 
 SHINGLE = 5
 SYMBOLS, DISTANCE, CHUNKS = 64, 31, 16
 ERRORS = DISTANCE // CHUNKS
 # Rows of a bucket compared at once with as many others.
-BLOCK = 1024
+BLOCK = 2048
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def word_hashes(text: str | bytes | None) -> np.ndarray:
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    w = raw.lower().split()
     return np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
     a = mix(word_hashes(text))
     if len(a) < SHINGLE:
@@ -127,15 +129,15 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose whole sets are alike."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    one = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b"))
 
     def run(t: pa.Table) -> pa.Table:
-        last, kept, keep = None, None, []
+        last, kept, keep, plain = None, None, [], zstandard.ZstdDecompressor().decompress
         for b, x, y in zip(t.column("b").to_pylist(), t.column("text_a").to_pylist(), t.column("text_b").to_pylist()):
             if b != last:
-                last, kept = b, shingle_set(y)
-            keep.append(alike(shingle_set(x), kept, percent))
+                last, kept = b, shingle_set(plain(y))
+            keep.append(alike(shingle_set(plain(x)), kept, percent))
         return t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return arrow(pairs.join(one, "a").join(two, "b"), run, "a long, b long")
@@ -182,7 +184,7 @@ def _flag(part: pd.DataFrame) -> pd.DataFrame:
 
 def _link(percent: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingle_set(t) for t in part["text"]]
+        sets = [shingle_set(t) for t in unpack(part["packed"])]
         rep, comp = part["rep"].to_numpy(), part["comp"].to_numpy().copy()
         out = []
         for k, other in _tried(part, part["i"].iat[0] == part["j"].iat[0]):
@@ -239,8 +241,8 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def _texts(whole: DataFrame, ids: DataFrame) -> DataFrame:
-    """One text of each wanted id."""
-    return whole.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    """One packed text of each wanted id. Both sides grow with the corpus, so the plan is the same at any size."""
+    return packed(whole).join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("packed").alias("packed"))
 
 
 SQL = r"""
