@@ -1,17 +1,22 @@
-"""Queries that train models. They have no SQL; tests check their properties."""
+"""Queries that train models. Tests check the properties of those without SQL."""
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from .. import views
 from ..operators import balance, prep
 from ..plans import cleaning, modelling as m
-from ..session import materialise
+from ..session import materialise, new_path
+from ..sources import sinks
+from ..sources.files import read_csv
 from .preparation import basic
 from .registry import query
 
-FEATURES = ["title_length", "description_length", "num_commits", "num_comments", "num_reviewers", "review_time", "num_approvals"]
+FEATURES = ["title_length", "description_length", "num_commits", "num_reviewers", "review_time", "num_approvals"]
 LINES = ["lines_added", "lines_deleted", "files_changed"]
 
 
@@ -58,7 +63,7 @@ def _(spark, sf):
 
 
 def ml_job(spark, sf):
-    df = model_table(spark, sf).select(F.col("pr_id").alias("id"), "repository_name", "num_commits", "num_comments", "num_reviewers", "num_approvals", "files_changed", "target")
+    df = model_table(spark, sf).select(F.col("pr_id").alias("id"), "repository_name", "num_commits", "num_reviewers", "num_approvals", "files_changed", "target")
     return m.spark_ml_job(spark, df, "target", small_classifiers(4), keep=4, k=3)
 
 
@@ -80,13 +85,13 @@ def folded(spark, sf, label="target"):
 @query("grid_scores", "T8 T9 T11")
 def _(spark, sf):
     forest = small_classifiers(len(FEATURES))[0]
-    tuned = m.grid_search(forest, folded(spark, sf).cache(), "accuracy", 5)
+    tuned = m.grid_search(forest, folded(spark, sf), "accuracy", 5)
     return m.grid_scores(spark, forest, tuned)
 
 
 @query("fold_scores", "T9 A26")
 def _(spark, sf):
-    return m.fold_scores(spark, m.forest_classifier(numTrees=10), folded(spark, sf).cache(), "accuracy")
+    return m.fold_scores(spark, m.forest_classifier(numTrees=10), folded(spark, sf), "accuracy")
 
 
 @query("forest_importances", "T1 T13")
@@ -97,7 +102,7 @@ def _(spark, sf):
 
 @query("stacked_classifier", "T6 T10")
 def _(spark, sf):
-    df = folded(spark, sf).cache()
+    df = folded(spark, sf)
     train, test = balance.random_split(df, "id", salt="stack")
     bases, last = m.stacking_classifier(len(FEATURES), 2, trees=10, iterations=20)
     stack = m.fit_stacks(bases, {"logistic": last}, train)["logistic"]
@@ -107,7 +112,7 @@ def _(spark, sf):
 
 @query("stacked_regressor", "T7")
 def _(spark, sf):
-    df = folded(spark, sf).cache()
+    df = folded(spark, sf)
     train, test = balance.random_split(df, "id", salt="stack")
     bases = [c.estimator for c in small_regressors()]
     rows = []
@@ -120,17 +125,47 @@ def _(spark, sf):
 
 @query("learning_curve", "C3 A26")
 def _(spark, sf):
-    return m.learning_curve(spark, m.forest_classifier(numTrees=5), folded(spark, sf).cache(), "id", "accuracy")
+    return m.learning_curve(spark, m.forest_classifier(numTrees=5), folded(spark, sf), "id", "accuracy")
 
 
 @query("three_class_models", "T2 T3 E4")
 def _(spark, sf):
     identity = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     df = views.scored_multi(spark, sf, [identity.alias("id")])
-    table = m.training_table(m.to_vector(df, ["p0", "p1", "p2"], ["id", F.col("prediction").cast("double").alias("label")]))
+    table = m.training_table(m.to_vector(df, ["p0", "p1", "p2"], ["id", F.col("y").cast("double").alias("label")]))
     train, test = balance.random_split(table, "id")
     rows = []
     for name, estimator in (("LinearSVC", m.svm_classifier(classes=3)), ("MultilayerPerceptronClassifier", m.network_classifier(3, 3, (6,), maxIter=20))):
         scored = materialise(m.predictions(estimator.fit(train), test), "predictions")
         rows.append(m.classification_row(name, scored, 3))
     return spark.createDataFrame(rows, m.CLASSIFICATION_ROW)
+
+
+@query("indexed_priorities", "M9", """
+SELECT o_orderkey, r::DOUBLE priority_index FROM orders JOIN
+ (SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 r FROM orders GROUP BY 1) USING (o_orderpriority)""")
+def _(spark, sf):
+    orders = views.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    indexer = StringIndexer(inputCol="o_orderpriority", outputCol="priority_index", handleInvalid="keep")
+    return indexer.fit(orders).transform(orders).select("o_orderkey", "priority_index")
+
+
+@query("assembled_vectors", "M10", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::DOUBLE first, l_discount::DOUBLE AS last, 3 size FROM lineitem""")
+def _(spark, sf):
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    made = m.to_vector(views.table(spark, sf, "lineitem"), ["l_quantity", "l_tax", "l_discount"], names)
+    made = made.withColumn("v", vector_to_array("features"))
+    return made.select(*names, F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(2)).alias("last"), F.size("v").alias("size"))
+
+
+@query("linear_fit", "E19 T12", """
+SELECT round(regr_slope(l_extendedprice, l_quantity), 4) slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS "intercept" FROM lineitem""")
+def _(spark, sf):
+    """A fitted line, through the comparison table's CSV."""
+    table = m.to_vector(views.table(spark, sf, "lineitem"), ["l_quantity"], [F.col("l_extendedprice").cast("double").alias("label")])
+    model = LinearRegression(solver="normal").fit(table)
+    path = new_path(spark, "comparison")
+    row = [(round(float(model.coefficients[0]), 4), round(float(model.intercept), 2))]
+    sinks.write_csv(spark.createDataFrame(row, "slope double, intercept double"), path)
+    return read_csv(spark, path, "slope double, intercept double")
