@@ -43,6 +43,18 @@ def bag(columns: list[str], rows) -> Counter:
     return Counter(tuple(plain(row[i]) for i in order) for row in rows)
 
 
+def close(left: Counter, right: Counter, tolerance: float = 1e-7) -> bool:
+    """Whether the rows that differ pair off within a relative tolerance of their doubles."""
+    def order(row):
+        return [(type(v).__name__, str(v)) for v in row if not isinstance(v, float)], [v for v in row if isinstance(v, float)]
+
+    x, y = sorted(left.elements(), key=order), sorted(right.elements(), key=order)
+    if len(x) != len(y):
+        return False
+    same = lambda v, w: v == w or isinstance(v, (int, float)) and isinstance(w, (int, float)) and math.isclose(v, w, rel_tol=tolerance, abs_tol=tolerance)
+    return all(all(map(same, v, w)) for v, w in zip(x, y))
+
+
 def compare(spark, con, entry, sf: str) -> tuple[bool, str]:
     start = time.time()
     df = entry.run(spark, sf)
@@ -58,6 +70,8 @@ def compare(spark, con, entry, sf: str) -> tuple[bool, str]:
     a, b = bag(df.columns, got), bag(names, want)
     if a == b:
         return True, f"{took:6.2f}s rows={len(got)}"
+    if close(a - b, b - a):
+        return True, f"{took:6.2f}s rows={len(got)} (by tolerance)"
     extra, missing = list((a - b).items())[:3], list((b - a).items())[:3]
     return False, f"{took:6.2f}s rows={len(got)}/{len(want)} differ={sum((a - b).values())}\n  got  {str(extra)[:900]}\n  want {str(missing)[:900]}"
 
