@@ -6,11 +6,11 @@ another place too, in any document or the same. The steps:
 1. Every window picks the leftmost smallest hash among its runs of ANCHOR bytes. Equal windows pick equal ones, so the
    suffixes to sort are dealt out by this anchor. Neighbouring windows with one anchor form a passage; only anchors met
    twice go on, and equal passages go on once, with the number of their copies.
-2. Each passage becomes a sorted run of its suffixes, cut at WINDOW bytes. Runs are exchanged front-coded: an order of
-   suffixes with each one's common prefix with the one before; the tails are places in the passage, which is sent once.
+2. Anchors are the positions whose suffixes are sorted, forwards and, for what stands before them, backwards. Each task
+   sorts its own into runs and sends them front-coded: the common prefix with the string before, and the tail.
 3. A loser tree merges an anchor's runs. Every loser keeps the length of its common prefix with the last winner: unequal
    lengths decide a match alone, equal ones let it start behind the known prefix, so no prefix is compared twice. Two
-   neighbours of the merged order with a common prefix of WINDOW bytes are equal windows.
+   windows are equal if, around the anchor, they lie in one class of common prefixes forwards and one backwards.
 
 An anchor with very many different passages is divided by the whole window's hash. Null text is empty; rows that repeat
 a doc_id, or are copies, count as places of their own. A null doc_id is a document like any other. Empty tables give no
@@ -19,6 +19,9 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,50 +30,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import arrow, by_group, covered, mix, packed, rolling, sliding_min, unpack
+from .common import arrow, covered, mix, packed, rolling, sliding_min, unpack
 
 WINDOW = 200
 ANCHOR = 32
-# Different passages of an anchor before it is divided.
-HEAVY = 2000
+# Different passages of an anchor before it is divided, and rows that a task merges together.
+HEAVY, CHUNK = 20_000, 50_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def passages(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors, first windows and numbers of windows of a text's passages."""
+def passages(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, first windows, numbers of windows and bytes before the anchor of a text's passages."""
     a = np.frombuffer(text, np.uint8)
     if len(a) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
     h = mix(rolling(mix(np.arange(1, 257, dtype=np.uint64))[a], ANCHOR))
     # The place in the low bits makes the leftmost of equal hashes the smallest.
     place = np.arange(len(h), dtype=np.uint64) & _PLACE
     at = sliding_min((h & ~_PLACE) | place, WINDOW - ANCHOR + 1)
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    back = (at[starts] - starts.astype(np.uint64)) & _PLACE
-    return h[starts + back.astype(np.int64)].view(np.int64), starts, np.diff(np.r_[starts, len(at)])
+    before = ((at[starts] - starts.astype(np.uint64)) & _PLACE).astype(np.int64)
+    return h[starts + before].view(np.int64), starts, np.diff(np.r_[starts, len(at)]), before
 
 
 def found_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, anchor, start, n, content) per passage."""
+    """(doc_id, row, anchor, start, n, before, content) per passage."""
 
     def run(t: pa.Table) -> pa.Table:
-        docs_, rows, anchors, starts, counts, contents = [], [], [], [], [], []
+        docs_, rows, anchors, starts, counts, befores, contents = [], [], [], [], [], [], []
         for doc, row, text in zip(t.column("doc_id").to_pylist(), t.column("row").to_pylist(), t.column("text").to_pylist()):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            a, s, n = passages(raw)
+            a, s, n, before = passages(raw)
             docs_ += [doc] * len(a)
             rows += [row] * len(a)
             anchors.append(a)
             starts.append(s)
             counts.append(n)
+            befores.append(before)
             view = memoryview(raw)
             contents += [xxhash.xxh3_128_digest(view[x:x + k + WINDOW - 1]) for x, k in zip(s.tolist(), n.tolist())]
         return pa.table([pa.array(docs_, pa.int64()), pa.array(rows, pa.int64()), pa.array(np.concatenate(anchors)),
                          pa.array(np.concatenate(starts), pa.int64()).cast(pa.int32()), pa.array(np.concatenate(counts), pa.int64()).cast(pa.int32()),
-                         pa.array(contents, pa.binary())], names=["doc_id", "row", "anchor", "start", "n", "content"])
+                         pa.array(np.concatenate(befores), pa.int64()).cast(pa.int32()), pa.array(contents, pa.binary())],
+                        names=["doc_id", "row", "anchor", "start", "n", "before", "content"])
 
     return arrow(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), run,
-                 "doc_id long, row long, anchor long, start int, n int, content binary")
+                 "doc_id long, row long, anchor long, start int, n int, before int, content binary")
 
 
 def prefix_length(x: bytes, y: bytes, known: int) -> int:
@@ -83,33 +89,30 @@ def prefix_length(x: bytes, y: bytes, known: int) -> int:
     return known + size - (different.bit_length() + 7) // 8
 
 
-def sorted_run(passage: bytes, n: int) -> tuple[list[int], list[int]]:
-    """Order of a passage's n window suffixes and each one's common prefix with the one before it."""
-    suffix = [passage[i:i + WINDOW] for i in range(n)]
-    order = sorted(range(n), key=suffix.__getitem__)
-    return order, [0, *[prefix_length(suffix[x], suffix[y], 0) for x, y in zip(order, order[1:])]]
+def front_coded(strings: list[bytes]) -> tuple[list[int], list[int], list[bytes]]:
+    """A sorted run: the order of the strings, each one's common prefix with the one before it, and its tail."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    common = [0, *[prefix_length(strings[x], strings[y], 0) for x, y in zip(order, order[1:])]]
+    return order, common, [strings[i][c:] for i, c in zip(order, common)]
 
 
-def merge_runs(runs: list[tuple[bytes, list[int], list[int]]]) -> list[tuple[int, int, int]]:
-    """(run, suffix, common prefix with the one before) of all runs' suffixes in sorted order, by a loser tree."""
+def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> list[tuple[int, int, int]]:
+    """(run, place in it, common prefix with the one before) of all runs' strings in sorted order, by a loser tree."""
     size = 1
     while size < len(runs):
         size *= 2
-    text = [r[0] for r in runs]
-    order = [r[1] for r in runs]
-    common = [r[2] for r in runs]
     at = [0] * len(runs)
-    suffix: list[bytes | None] = [t[o[0]:o[0] + WINDOW] if o else None for t, o in zip(text, order)] + [None] * (size - len(runs))
+    head: list[bytes | None] = [r[0][0] for r in runs] + [None] * (size - len(runs))
     loser, known = [-1] * size, [0] * size
 
     def play(run: int, have: int, node: int) -> tuple[int, int, int, int]:
         """Match a run against a node's loser: winner and its prefix, loser and its prefix."""
         other, theirs = loser[node], known[node]
-        if suffix[other] is None or suffix[run] is not None and have > theirs:
+        if head[other] is None or head[run] is not None and have > theirs:
             return run, have, other, theirs
-        if suffix[run] is None or have < theirs:
+        if head[run] is None or have < theirs:
             return other, theirs, run, have
-        x, y = suffix[run], suffix[other]
+        x, y = head[run], head[other]
         both = prefix_length(x, y, have)
         if both >= len(x) or both < len(y) and x[both] < y[both]:
             return run, have, other, both
@@ -125,16 +128,12 @@ def merge_runs(runs: list[tuple[bytes, list[int], list[int]]]) -> list[tuple[int
 
     winner, have = build(1)
     out = []
-    while suffix[winner] is not None:
+    while head[winner] is not None:
         k = at[winner]
-        out.append((winner, order[winner][k], have))
+        out.append((winner, k, have))
         at[winner] = k = k + 1
-        if k < len(order[winner]):
-            start = order[winner][k]
-            suffix[winner] = text[winner][start:start + WINDOW]
-            have = common[winner][k]
-        else:
-            suffix[winner], have = None, 0
+        strings, common = runs[winner]
+        head[winner], have = (strings[k], common[k]) if k < len(strings) else (None, 0)
         node, run = (winner + size) // 2, winner
         while node:
             run, have, loser[node], known[node] = play(run, have, node)
@@ -143,45 +142,142 @@ def merge_runs(runs: list[tuple[bytes, list[int], list[int]]]) -> list[tuple[int
     return out
 
 
-def _contents(wanted: DataFrame) -> DataFrame:
-    """Front-coded sorted runs of the wanted passages; those of a heavy anchor window by window."""
+_RUN = "key long, content binary, offset int, n int, copies long, before int, run long, at_f int, common_f int, tail_f binary, at_b int, common_b int, tail_b binary"
+
+
+def _runs(wanted: DataFrame) -> DataFrame:
+    """Front-coded sorted runs of a batch's passages, by anchor; those of a heavy anchor by window.
+
+    Of a passage the suffix from its anchor on and the reversed prefix up to the anchor are sorted, a run each.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in range(7)]
+        rows, ahead, back, keys = [], [], [], {}
         for text, wants in zip(unpack(t.column("packed")), t.column("wants").to_pylist()):
             for w in wants:
-                whole = text[w["start"]:w["start"] + w["n"] + WINDOW - 1]
-                parts = [(w["anchor"], 0, w["n"], whole)]
+                whole, n = text[w["start"]:w["start"] + w["n"] + WINDOW - 1], w["n"]
+                parts = [(w["anchor"], 0, n, whole, w["before"])]
                 if w["heavy"]:
-                    cut = [whole[k:k + WINDOW] for k in range(w["n"])]
-                    parts = [(xxhash.xxh3_64_intdigest(c) - (1 << 63), k, 1, c) for k, c in enumerate(cut)]
-                for key, offset, n, part in parts:
-                    order, common = sorted_run(part, n) if not w["alone"] else ([], [])
-                    row = (key, w["content"], offset, n, w["copies"], part, np.array([order, common], np.uint8).tobytes())
-                    for c, v in zip(out, row):
-                        c.append(v)
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["key", "content", "offset", "n", "copies", "bytes", "run"])
-
-    return arrow(wanted, run, "key long, content binary, offset int, n int, copies long, bytes binary, run binary")
-
-
-def _merge(part: pd.DataFrame) -> pd.DataFrame:
-    """Windows of each passage that start elsewhere too, as [first, last + 1) runs."""
-    n, copies = part["n"].to_numpy(), part["copies"].to_numpy()
-    again = [np.full(k, c > 1) for k, c in zip(n, copies)]
-    if len(part) > 1:
-        coded = [np.frombuffer(r, np.uint8).reshape(2, -1).tolist() for r in part["run"]]
-        merged = merge_runs([(b, o, c) for b, (o, c) in zip(part["bytes"], coded)])
-        for (r, s, _), (q, u, common) in zip(merged, merged[1:]):
-            if common >= WINDOW:
-                again[r][s] = again[q][u] = True
-    spans = []
-    for a, offset in zip(again, part["offset"]):
-        edge = np.flatnonzero(np.diff(np.r_[False, a, False]))
-        spans.append((edge + offset).tolist())
-    out = pd.DataFrame({"content": part["content"].to_numpy(), "spans": spans})
-    return out[out["spans"].map(len) > 0]
+                    parts = [(xxhash.xxh3_64_intdigest(whole[k:k + WINDOW]) - (1 << 63), k, 1, whole[k:k + WINDOW], w["before"] - k) for k in range(n)]
+                for key, offset, count, part, before in parts:
+                    keys.setdefault(key, []).append(len(rows))
+                    rows.append([key, w["content"], offset, count, w["copies"], before])
+                    # A passage that is its anchor's only one has nothing to be compared with.
+                    ahead.append(b"" if w["alone"] else part[before:])
+                    back.append(b"" if w["alone"] else part[:before][::-1])
+        own = uuid.uuid4().int >> 65
+        for members in keys.values():
+            places = []
+            for strings in (ahead, back):
+                order, common, tails = front_coded([strings[i] for i in members])
+                place = dict(zip(order, zip(range(len(order)), common, tails)))
+                places.append([place[i] for i in range(len(members))])
+            for i, f, b in zip(members, *places):
+                rows[i] += [own, *f, *b]
+        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        names = [c.split() for c in _RUN.split(", ")]
+        cols = list(zip(*rows)) or [()] * len(names)
+        return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, names)], names=[n for n, _ in names])
+
+    return arrow(wanted, run, _RUN)
+
+
+def _merged(part: pd.DataFrame, direction: str, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of the rows within each key's bounds, and the common prefix with the row before (-1 at a key's first)."""
+    order, common = np.arange(len(part)), np.full(len(part), -1)
+    run, at = part["run"].tolist(), part[f"at_{direction}"].tolist()
+    shared, tail = part[f"common_{direction}"].tolist(), part[f"tail_{direction}"].tolist()
+    for s, e in bounds:
+        if e - s == 1:
+            continue
+        rows = sorted(range(s, e), key=lambda i: (run[i], at[i]))
+        runs: list[tuple[list[bytes], list[int]]] = []
+        names: list[list[int]] = []
+        last = None
+        for i in rows:
+            if run[i] != last:
+                runs.append(([], []))
+                names.append([])
+                last, before = run[i], b""
+            before = before[:shared[i]] + tail[i]
+            runs[-1][0].append(before)
+            runs[-1][1].append(shared[i])
+            names[-1].append(i)
+        merged = merge_runs(runs)
+        order[s:e] = [names[r][k] for r, k, _ in merged]
+        common[s:e] = [-1, *[c for _, _, c in merged[1:]]]
+    return order, common
+
+
+def repeated_windows(part: pd.DataFrame) -> np.ndarray:
+    """Flat flags of the windows of all rows (sorted by key): whether another row of the key, or a copy, has an equal one.
+
+    A window with its anchor at place o equals another if their reversed prefixes agree on o bytes and their suffixes on
+    the rest. Rows that agree so far are neighbours in the merged orders, so both classes come from the common prefixes.
+    """
+    key, n = part["key"].to_numpy(), part["n"].to_numpy().astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    bounds = list(zip(starts.tolist(), np.r_[starts[1:], len(key)].tolist()))
+    ahead, common_f = _merged(part, "f", bounds)
+    back, common_b = _merged(part, "b", bounds)
+    most = lambda order, common: np.maximum(common, np.r_[common[1:], -1])[np.argsort(order)]
+    near_f, near_b = most(ahead, common_f), most(back, common_b)
+    before = part["before"].to_numpy().astype(np.int64)
+    first = np.r_[0, np.cumsum(n)]
+    again = np.repeat(part["copies"].to_numpy() > 1, n)
+    rank_f, rank_b = np.argsort(ahead), np.argsort(back)
+    alone = np.repeat(np.diff(np.r_[starts, len(key)]) == 1, np.diff(np.r_[starts, len(key)]))
+    for o in range(WINDOW - ANCHOR + 1):
+        at = before - o
+        rows = np.flatnonzero(~alone & (at >= 0) & (at < n) & (near_f >= WINDOW - o) & (near_b >= o))
+        if len(rows) < 2:
+            continue
+        both = np.cumsum(common_f < WINDOW - o)[rank_f[rows]] * (len(key) + 1) + np.cumsum(common_b < o)[rank_b[rows]]
+        by = np.argsort(both, kind="stable")
+        same = both[by][1:] == both[by][:-1]
+        hit = rows[by[np.r_[same, False] | np.r_[False, same]]]
+        again[first[hit] + at[hit]] = True
+    return again
+
+
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merge whole keys, CHUNK rows and more at a time."""
+    held: list[pd.DataFrame] = []
+
+    def done() -> pd.DataFrame:
+        p = pd.concat(held, ignore_index=True)
+        again = repeated_windows(p)
+        n, offset = p["n"].to_numpy(), p["offset"].to_numpy()
+        # Runs of flags, cut at the rows' ends.
+        first = np.cumsum(n) - n
+        edge = again.copy()
+        edge[1:] &= ~again[:-1]
+        edge[first] = again[first]
+        begin = np.flatnonzero(edge)
+        last = again.copy()
+        last[:-1] &= ~again[1:]
+        ends = first + n - 1
+        last[ends] = again[ends]
+        end = np.flatnonzero(last) + 1
+        row = np.searchsorted(first, begin, side="right") - 1
+        pairs = np.stack([begin - first[row] + offset[row], end - first[row] + offset[row]], axis=1).ravel()
+        each = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+        spans = np.split(pairs, 2 * each[1:]) if len(row) else []
+        return pd.DataFrame({"content": p["content"].to_numpy()[row[each]] if len(row) else [], "spans": spans})
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch["key"].to_numpy()
+        if held and sum(map(len, held)) >= CHUNK:
+            new = np.flatnonzero(key != held[-1]["key"].iat[-1])
+            if len(new):
+                held.append(batch.iloc[:new[0]])
+                yield done()
+                held, batch = [], batch.iloc[new[0]:]
+        held.append(batch)
+    if held:
+        yield done()
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -190,17 +286,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     twice = found.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     shared = materialise(found.join(twice, "anchor"), "shared")
     each = shared.groupBy("anchor", "content").agg(
-        F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "start", "n")).alias("at"))
+        F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "start", "n", "before")).alias("at"))
     each = materialise(each, "contents")
     width = each.groupBy("anchor").agg((F.count("*") > HEAVY).alias("heavy"), (F.count("*") == 1).alias("alone"))
     wants = each.join(width, "anchor").select(
-        "at.doc_id", "at.row", F.struct("anchor", "content", "copies", "heavy", "alone", "at.start", "at.n").alias("want"))
+        "at.doc_id", "at.row", F.struct("anchor", "content", "copies", "heavy", "alone", "at.start", "at.n", "at.before").alias("want"))
     wants = wants.groupBy("doc_id", "row").agg(F.collect_list("want").alias("wants"))
     texts = packed(docs)
     same = texts["doc_id"].eqNullSafe(wants["doc_id"]) & (texts["row"] == wants["row"])
     one = texts.join(wants, same).select(texts["doc_id"], texts["row"], "packed", "wants").dropDuplicates(["doc_id", "row"])
-    merged = by_group(_contents(one.select("packed", "wants")), ["key"], _merge, "content binary, spans array<int>")
-    matches = materialise(merged, "matches")
+    runs = _runs(one.select("packed", "wants")).repartition("key").sortWithinPartitions("key")
+    matches = materialise(runs.mapInPandas(_merge, "content binary, spans array<int>"), "matches")
     hits = shared.select("doc_id", "row", "start", "content").join(matches, "content")
     moved = F.transform("spans", lambda x: x + F.col("start")).alias("spans")
     # Copied rows of one document find the same runs; they are told apart when the text is read again.

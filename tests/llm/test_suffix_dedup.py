@@ -28,21 +28,25 @@ def run(docs, rows):
 
 def test_merge_of_runs():
     rng = random.Random(8)
-    for _ in range(60):
-        passages = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(200, 230))) for _ in range(rng.randrange(1, 9))]
-        passages += passages[:2] + [b"a" * 210]
-        runs = [(p, *suffix_dedup.sorted_run(p, len(p) - 199)) for p in passages]
+    for _ in range(200):
+        parts = [[bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 6))] for _ in range(rng.randrange(1, 9))]
+        runs = []
+        for strings in parts:
+            order, common, tails = suffix_dedup.front_coded(strings)
+            assert [strings[i] for i in order] == sorted(strings) and all(strings[i].endswith(t) for i, t in zip(order, tails))
+            runs.append((sorted(strings), common))
         merged = suffix_dedup.merge_runs(runs)
-        suffixes = [passages[r][s:s + 200] for r, s, _ in merged]
-        assert suffixes == sorted(p[s:s + 200] for p in passages for s in range(len(p) - 199))
-        for (x, y), (_, _, common) in zip(zip(suffixes, suffixes[1:]), merged[1:]):
-            assert x[:common] == y[:common] and (common == 200 or x[common] != y[common])
+        out = [runs[r][0][k] for r, k, _ in merged]
+        assert out == sorted(x for p in parts for x in p)
+        for x, y, (_, _, common) in zip(out, out[1:], merged[1:]):
+            assert x[:common] == y[:common] and (common == min(len(x), len(y)) or x[common] != y[common])
 
 
 @pytest.mark.parametrize("heavy", [2000, 1])
 def test_against_brute_force(spark, docs, monkeypatch, heavy):
     setup(spark)
     monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 20)
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abcé 日") for _ in range(n))
     shared = [text(n) for n in (140, 150, 160, 200, 420)]
