@@ -11,7 +11,8 @@ Collision check: of entities of a type that draw the same replacement, or one th
 the first draw again, until all replacements are distinct and none is an entity of the corpus.
 
 Null and empty texts stay as they are. Repeated rows change alike; rows are matched by doc_id and the text's hash, so
-null ids and ties do no harm. All columns pass through; only the text changes. An empty table stays empty.
+null ids and ties do no harm. All columns pass through, but for one named
+``n_entities``, which is added; only the text changes. An empty table stays empty.
 """
 
 from __future__ import annotations
