@@ -234,8 +234,9 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, row, spans): runs of words to remove, as [start, end) pairs that may overlap."""
     found = materialise(segments(docs), "segments")
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor")
-    shared = materialise(found.join(shared, "anchor"), "shared")
+    several = found.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor")
+    # Written, so that the join below shuffles both sides itself and a hot anchor's rows can be split.
+    shared = materialise(found.join(materialise(several, "anchors"), "anchor"), "shared")
     each = shared.groupBy("anchor", "content").agg(
         F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "row", "start", "n")).alias("at"))
     each = materialise(each, "contents")

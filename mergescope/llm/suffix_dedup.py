@@ -283,7 +283,8 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, row, spans): runs of window starts that occur elsewhere, as a flat list of [first, last + 1) bounds."""
     found = materialise(found_passages(docs), "passages")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    # Written, so that the join below shuffles both sides itself and a hot anchor's rows can be split.
+    twice = materialise(found.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "anchors")
     shared = materialise(found.join(twice, "anchor"), "shared")
     each = shared.groupBy("anchor", "content").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "start", "n", "before")).alias("at"))
