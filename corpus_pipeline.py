@@ -17,8 +17,8 @@ from mergescope.session import materialise
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine scores below one half; it is fitted on the labelled rows of the data set."""
-    scored = toxicity.score(spread_scan(docs.withColumn("_text", F.col("text"))), toxic_model(spark, sf_dir), "_text")
-    return scored.where("score < 0.5").select(*docs.columns)
+    scored = toxicity.score(spread_scan(docs), toxic_model(spark, sf_dir), out="_toxicity")
+    return scored.where("_toxicity < 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,4 +48,5 @@ def test_stages_on_odd_rows(spark, sf, docs):
         table = stage(spark, table, sf)
         assert table.columns == ["doc_id", "text", "sig", "score", "n_chars"]
     got = sorted(((str(r.doc_id), r.text) for r in table.collect()))
+    assert {r.score for r in table.collect()} == {"src0"} and {r.sig for r in table.collect()} == {"en"}
     assert [i for i, _ in got] == ["1", "2", "3", "None"] and "@" in got[-1][1] and got[-1][1] != "x@example.com"
