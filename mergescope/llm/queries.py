@@ -61,7 +61,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def toxic_model(spark: SparkSession, sf: str) -> toxicity.Model | None:
     """The machine of a data set's labels, without the rows kept for judging it."""
     labels = table(spark, sf, "labels").select("doc_id", "toxic").where(~toxicity.held_out())
-    return toxicity.fit(table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit(table(spark, sf, "documents"), labels)
 
 
 @query("op3_toxicity", "toxicity of documents by a subsequence kernel machine")

@@ -17,7 +17,7 @@ length into a probability.
 Bounds: SAMPLE documents of each label, those with the smallest hash of doc_id, and NEGATIVES different words of clean
 documents, again by hash. Scoring reads every word of every text. Null and empty texts have no words and get the curve's
 value for none; ties and repeated rows score alike; without labels of both kinds the score is 0 for all. An input column
-named ``score`` is replaced; others pass through.
+named like the output is replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -108,8 +108,8 @@ def features(words: list[str]) -> Iterable[tuple[np.ndarray, np.ndarray, np.ndar
         places, weights, norm = SHAPES.of(length)
         if not len(weights):
             continue
-        for at in range(0, len(who), 4096):
-            some = who[at:at + 4096]
+        for at in range(0, len(who), 2048):
+            some = who[at:at + 2048]
             codes = np.zeros((len(some), length + 1), np.uint64)
             codes[:, :length] = marked[some].astype(f"U{length}").view(np.uint32).reshape(len(some), length)
             h = codes[:, places[:, 0]]
@@ -184,8 +184,8 @@ def _kernel(words: list[str], lookup: np.ndarray, table: np.ndarray) -> np.ndarr
         who, col = np.nonzero(rows)
         if not len(who):
             continue
-        for at in range(0, len(who), 100_000):
-            w, c = who[at:at + 100_000], col[at:at + 100_000]
+        for at in range(0, len(who), 16_384):
+            w, c = who[at:at + 16_384], col[at:at + 16_384]
             first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
             add = np.add.reduceat(table[rows[w, c]] * (weights[c] / norm)[:, None], first, axis=0)
             out[some[w[first]]] += add
@@ -225,14 +225,19 @@ def _pivots(gram: np.ndarray, count: int) -> list[int]:
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x1.shape[1])
-    reg = np.full(len(w), ridge * weight.sum())
+    size = x.shape[1] + 1
+    w = np.zeros(size)
+    reg = np.full(size, ridge * weight.sum())
     reg[-1] *= 1e-3
     for _ in range(30):
-        inside = y * (x1 @ w) < 1
-        a, b = x1[inside].astype(np.float64), (weight * y)[inside]
-        new = np.linalg.solve((a * weight[inside][:, None]).T @ a + np.diag(reg), a.T @ b)
+        inside = np.flatnonzero(y * (x @ w[:-1].astype(x.dtype) + w[-1]) < 1)
+        square, side = np.diag(reg), np.zeros(size)
+        for at in range(0, len(inside), 2048):
+            some = inside[at:at + 2048]
+            a = np.hstack([x[some], np.ones((len(some), 1), x.dtype)]).astype(np.float64)
+            square += (a * weight[some][:, None]).T @ a
+            side += a.T @ (weight * y)[some]
+        new = np.linalg.solve(square, side)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -286,8 +291,9 @@ def learn(texts: list[str], labels: np.ndarray) -> Model | None:
     if not names or not clean:
         return None
     pool = names[:1500] + clean[:500]
-    lookup, table = _landmarks(pool)
-    marks = [pool[i] for i in _pivots(_kernel(pool, lookup, table), LANDMARKS)]
+    # A few columns at a time, as a table holds every subsequence of its words.
+    gram = np.hstack([_kernel(pool, *_landmarks(pool[i:i + 128])) for i in range(0, len(pool), 128)])
+    marks = [pool[i] for i in _pivots(gram, LANDMARKS)]
     lookup, table = _landmarks(marks)
     value, vector = np.linalg.eigh(_kernel(marks, lookup, table).astype(np.float64))
     root = (vector / np.sqrt(np.maximum(value, 1e-4))) @ vector.T
@@ -330,31 +336,31 @@ def learn(texts: list[str], labels: np.ndarray) -> Model | None:
     return model
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on (doc_id, text, toxic): at most ``sample`` rows of each label, those with the smallest hash of doc_id."""
-    chosen = None
-    for value in (0, 1):
-        some = labelled.where(F.col("toxic") == value).where("text is not null").select("doc_id", "text", "toxic")
-        some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
-        chosen = some if chosen is None else chosen.unionAll(some)
-    rows = chosen.collect()
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """Fit on (doc_id, text) and (doc_id, toxic): at most ``sample`` labels of each value, those with the smallest hash
+    of doc_id. The chosen ids are so few that they are broadcast, and no other text moves."""
+    parts = [labels.where(F.col("toxic") == value).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+             for value in (0, 1)]
+    chosen = parts[0].unionAll(parts[1])
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r.doc_id)), r.doc_id, r.text))
     return learn([r.text for r in rows], np.array([r.toxic for r in rows]))
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Add ``score``: the probability that a text is toxic."""
+def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
+    """Add ``out``: the probability that a text is toxic."""
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(out, F.lit(0.0))
     scorer: list[Scorer] = []
 
     def run(t: pa.Table) -> pa.Table:
         if not scorer:
             scorer.append(Scorer(model))
-        keep = t.select([c for c in t.column_names if c != "score"])
-        return keep.append_column("score", pa.array(scorer[0](t.column(text).to_pylist()), pa.float64()))
+        keep = t.select([c for c in t.column_names if c != out])
+        return keep.append_column(out, pa.array(scorer[0](t.column(text).to_pylist()), pa.float64()))
 
-    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns if c != "score"]
-    return arrow(docs, run, ", ".join([*kept, "score double"]))
+    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns if c != out]
+    return arrow(docs, run, ", ".join([*kept, f"`{out}` double"]))
 
 
 def held_out() -> Column:

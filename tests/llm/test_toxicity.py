@@ -82,5 +82,7 @@ def test_operator_on_odd_rows(spark, docs, model):
 def test_fit_reads_bounded_rows_and_needs_both_labels(spark):
     rows = [(i, "the on ing", 0) for i in range(20)]
     t = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    assert toxicity.fit(t, 5) is None
+    assert toxicity.fit(t, t, 5) is None
+    both = t.unionAll(t.select(t.doc_id + 100, toxicity.F.lit("the grumpf on"), toxicity.F.lit(1)))
+    assert toxicity.fit(both, both, 5) is not None
     assert toxicity.score(t, None).first().score == 0.0
