@@ -55,7 +55,7 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_warc", "WARC archives with revisit records, written and read back", warc.SQL)
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     manifest = warc.write_archives(spread_scan(table(spark, sf, "pages")))
-    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(manifest, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def toxic_model(spark: SparkSession, sf: str) -> toxicity.Model | None:

@@ -7,7 +7,9 @@ manifest of successful tasks lists are read, so a lost or repeated task leaves n
 
 The reader goes through an archive once, member by member: it inflates piece by piece, frames each block by its content
 length, and checks block and payload digests on the way, so memory is bounded by one record (by one piece when payloads
-are not asked for). ``verified`` is false for a record whose digest or framing fails; a cut archive ends there.
+are not asked for). ``verified`` is false for a record whose digest or framing fails; a cut archive ends there. A record's head may have any
+length: it is one record's, like the rest. ``read_archives`` raises when an archive gives another number of records than
+its manifest says, and op2 also when a record is not verified, so no loss stays silent.
 
 Null html is an empty payload, null url has no target header, and control characters in a url are percent-encoded. A
 null page_id is kept; it is never the page that others refer to unless all of its group are null, which are then all
@@ -93,13 +95,24 @@ class Members:
                 return True
         return False
 
-    def line_block(self, mark: bytes, limit: int = 1 << 20) -> bytes | None:
-        """What stands before a mark, which is taken off too."""
-        while (at := self.out.find(mark)) < 0:
-            if len(self.out) > limit or not self.more():
+    def line_block(self, mark: bytes) -> bytes | None:
+        """What stands before a mark, which is taken off too; none if the member ends before it."""
+        held = bytearray(self.out)
+        from_ = 0
+        while (at := held.find(mark, from_)) < 0:
+            from_ = max(len(held) - len(mark) + 1, 0)
+            self.out = b""
+            if not self.more():
                 return None
-        found, self.out = self.out[:at], self.out[at + len(mark):]
-        return found
+            held += self.out
+        self.out = bytes(held[at + len(mark):])
+        return bytes(held[:at])
+
+    def starts(self, mark: bytes) -> bool:
+        """Whether the member begins with a mark."""
+        while len(self.out) < len(mark) and self.more():
+            pass
+        return self.out.startswith(mark)
 
     def take(self, most: int) -> bytes:
         if not self.out:
@@ -119,8 +132,7 @@ def read_records(stream: BinaryIO, payloads: bool = False) -> Iterator[dict]:
     while members.next_member():
         out = dict.fromkeys(["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]) | {"verified": False}
         try:
-            head = members.line_block(b"\r\n\r\n")
-            if head is None or not head.startswith(b"WARC/"):
+            if not members.starts(b"WARC/") or (head := members.line_block(b"\r\n\r\n")) is None:
                 yield out
                 return
             fields = _fields(head)
@@ -206,22 +218,29 @@ _SCHEMA: list[tuple[str, pa.DataType, str]] = [
     ("payload_bytes", pa.int64(), "long"), ("payload_digest", pa.string(), "string"), ("payload", pa.binary(), "binary"), ("verified", pa.bool_(), "boolean")]
 
 
-def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
-    """Records of all archives of a manifest, an archive to a task at a time."""
+def read_archives(manifest: DataFrame, payloads: bool = False, strict: bool = False) -> DataFrame:
+    """Records of all archives of a manifest, an archive to a task at a time.
+
+    Raises when an archive gives another number of records than the manifest says; if strict, also at one not verified.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, k) for n, k, _ in _SCHEMA])
         for batch in batches:
-            for folder, path in zip(batch.column("folder").to_pylist(), batch.column("path").to_pylist()):
+            for folder, path, expected in zip(*(batch.column(c).to_pylist() for c in ("folder", "path", "n_records"))):
                 store, _ = open_folder(folder)
                 with store.open_input_stream(path, compression=None) as stream:
-                    held, size = [], 0
-                    for r in read_records(stream, payloads):
+                    held, size, n = [], 0, 0
+                    for n, r in enumerate(read_records(stream, payloads), 1):
+                        if strict and not r["verified"]:
+                            raise ValueError(f"record {n} of {path} is not verified")
                         held.append(r)
-                        size += 200 + len(r["payload"] or b"")
+                        size += 200 + len(r["url"] or "") + len(r["payload"] or b"")
                         if size > 1 << 22:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, size = [], 0
+                    if n != expected:
+                        raise ValueError(f"{path} gives {n} records, not {expected}")
                     yield pa.RecordBatch.from_pylist(held, schema)
 
     tasks = 4 * manifest.sparkSession.sparkContext.defaultParallelism

@@ -2,6 +2,9 @@ import gzip
 import io
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from mergescope.llm import warc
 
 
@@ -38,3 +41,25 @@ def test_reader_on_damaged_and_foreign_archives():
     changed = list(warc.read_records(io.BytesIO(parts[0] + gzip.compress(bytes(raw)) + parts[2])))
     assert [r["verified"] for r in changed] == [True, False, True]
     assert [r["verified"] for r in warc.read_records(io.BytesIO(parts[0] + b"junk"))] == [True, False]
+
+
+def test_long_heads_lose_no_neighbour():
+    url = "data:text/html;base64," + "".join(random.Random(2).choices("abcdefghijklmnop0123456789", k=3 << 20))
+    parts = [warc.record(1, "u", b"one", None), warc.record(2, url, b"two", None), warc.record(3, "u", b"three", None)]
+    got = list(warc.read_records(io.BytesIO(b"".join(parts)), payloads=True))
+    assert [(r["page_id"], r["payload"], r["verified"]) for r in got] == [(1, b"one", True), (2, b"two", True), (3, b"three", True)]
+    assert got[1]["url"] == url
+
+
+def test_lost_records_raise(spark, tmp_path):
+    rows = [(i, "u", f"page {i}", "x") for i in range(6)]
+    manifest = warc.write_archives(pages(spark, rows).coalesce(1))
+    assert warc.read_archives(manifest, strict=True).count() == 6
+    with pytest.raises(Exception, match="gives"):
+        warc.read_archives(manifest.withColumn("n_records", F.col("n_records") + 1)).collect()
+    bad = warc.record(1, "u", b"one", None), warc.record(2, "u", b"two", None)[:-12]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(bad))
+    damaged = spark.createDataFrame([(f"{tmp_path}/a.warc.gz", 2, f"file://{tmp_path}")], "path string, n_records long, folder string")
+    assert [r.verified for r in warc.read_archives(damaged).collect()] == [True, False]
+    with pytest.raises(Exception, match="not verified"):
+        warc.read_archives(damaged, strict=True).collect()
