@@ -12,8 +12,8 @@ with a smaller doc_id. The steps:
    position whose matching statistic reaches the cap reports the smallest doc_id of its interval.
 3. Each copy of a segment drops the words under windows whose smallest doc_id is less than its own.
 
-An anchor with very many different segments around it is divided by the whole window's hash, so no shard holds more
-than one key of bounded size. Null text has no words; a row with null doc_id neither loses words nor counts as a
+The windows of an anchor with very many different segments around it do not go to a shard: Spark aggregates the smallest
+doc_id by the window's 128-bit hash, so no task holds all rows of a passage that stands in different surroundings. Null text has no words; a row with null doc_id neither loses words nor counts as a
 source. Rows that repeat a doc_id are each judged against smaller ids only. Words are compared by 64-bit hashes.
 Empty tables give no rows; other columns are ignored.
 """
@@ -34,7 +34,7 @@ from .common import arrow, covered, mix, packed, rolling, sliding_min, unpack
 
 WINDOW = 50
 ANCHOR = 8
-# Windows of a segment, words of an index, and different segments of an anchor before it is divided.
+# Windows of a segment, words of an index, and different segments of an anchor before its windows are aggregated.
 SEGMENT, SHARD_WORDS, HEAVY = 64, 1 << 20, 2000
 
 
@@ -157,26 +157,51 @@ def segments(docs: DataFrame) -> DataFrame:
 
 
 def _contents(wanted: DataFrame) -> DataFrame:
-    """Texts of the wanted segments of each document; those of a heavy anchor window by window."""
+    """Texts of the wanted segments of each document, but for those of heavy anchors."""
 
     def run(t: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(5)]
         for text, wants in zip(unpack(t.column("packed")), t.column("wants").to_pylist()):
             words = split_words(text)
             for w in wants:
+                if w["heavy"]:
+                    continue
                 s, n = w["start"], w["n"]
-                parts = [(w["anchor"], 0, n)]
+                for c, v in zip(out, (w["anchor"], w["content"], n, w["first"], b" ".join(words[s:s + n + WINDOW - 1]))):
+                    c.append(v)
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["key", "content", "n", "first", "words"])
+
+    return arrow(wanted, run, "key long, content binary, n int, first long, words binary")
+
+
+def _windows(wanted: DataFrame) -> DataFrame:
+    """The wanted segments of heavy anchors, window by window."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in range(4)]
+        for text, wants in zip(unpack(t.column("packed")), t.column("wants").to_pylist()):
+            if not any(w["heavy"] for w in wants):
+                continue
+            raw = memoryview(mix(hash_words(split_words(text))).tobytes())
+            for w in wants:
                 if w["heavy"]:
-                    h = mix(rolling(mix(hash_words(words[s:s + n + WINDOW - 1])), WINDOW)).view(np.int64).tolist()
-                    parts = [(h[k], k, 1) for k in range(n)]
-                for key, offset, count in parts:
-                    row = (key, w["content"], offset, count, w["first"], b" ".join(words[s + offset:s + offset + count + WINDOW - 1]))
-                    for c, v in zip(out, row):
-                        c.append(v)
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["key", "content", "offset", "n", "first", "words"])
+                    out[0] += [xxhash.xxh3_128_digest(raw[8 * k:8 * (k + WINDOW)]) for k in range(w["start"], w["start"] + w["n"])]
+                    out[1] += [w["content"]] * w["n"]
+                    out[2] += range(w["n"])
+                    out[3] += [w["first"]] * w["n"]
+        kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["window", "content", "offset", "first"])
+
+    return arrow(wanted, run, "window binary, content binary, offset int, first long")
+
 
-    return arrow(wanted, run, "key long, content binary, offset int, n int, first long, words binary")
+def _aggregated(wanted: DataFrame) -> DataFrame:
+    """Matches of the segments of heavy anchors, as of _search."""
+    windows = materialise(_windows(wanted), "windows")
+    # Written, so that Spark can split the rows of a common window in the join.
+    least = materialise(windows.groupBy("window").agg(F.min("first").alias("least")), "least")
+    return windows.join(least, "window").select("content", "offset", F.array("least").alias("firsts"), "least")
 
 
 def shard_matches(words: list[bytes], firsts: np.ndarray) -> list[np.ndarray]:
@@ -207,7 +232,7 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def done(parts: list[pd.DataFrame]) -> pd.DataFrame:
         p = pd.concat(parts)
         found = shard_matches(p["words"].tolist(), p["first"].to_numpy())
-        return pd.DataFrame({"content": p["content"].to_numpy(), "offset": p["offset"].to_numpy(), "firsts": found,
+        return pd.DataFrame({"content": p["content"].to_numpy(), "offset": np.zeros(len(p), np.int32), "firsts": found,
                              "least": [int(f.min()) for f in found]})
 
     for batch in batches:
@@ -240,13 +265,16 @@ def removals(docs: DataFrame) -> DataFrame:
     each = shared.groupBy("anchor", "content").agg(
         F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "row", "start", "n")).alias("at"))
     each = materialise(each, "contents")
-    heavy = each.groupBy("anchor").agg((F.count("*") > HEAVY).alias("heavy"))
-    wants = each.join(heavy, "anchor").select(
+    heavy = materialise(each.groupBy("anchor").count().where(F.col("count") > HEAVY).select("anchor", F.lit(True).alias("heavy")), "heavy")
+    wants = each.join(heavy, "anchor", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))).select(
         "at.doc_id", "at.row", F.struct("anchor", "content", "first", "heavy", "at.start", "at.n").alias("want"))
     wants = wants.groupBy("doc_id", "row").agg(F.collect_list("want").alias("wants"))
     one = packed(docs).join(wants, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("packed", "wants")
+    some = not heavy.isEmpty()
+    one = materialise(one, "wanted") if some else one
     shards = _contents(one).repartition("key").sortWithinPartitions("key")
-    matches = materialise(shards.mapInPandas(_search, "content binary, offset int, firsts array<long>, least long"), "matches")
+    matches = shards.mapInPandas(_search, "content binary, offset int, firsts array<long>, least long")
+    matches = materialise(matches.unionAll(_aggregated(one)) if some else matches, "matches")
     hits = shared.select("doc_id", "row", "start", "content").join(matches, "content").where("least < doc_id")
 
     def run(t: pa.Table) -> pa.Table:

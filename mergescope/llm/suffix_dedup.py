@@ -12,7 +12,8 @@ another place too, in any document or the same. The steps:
    lengths decide a match alone, equal ones let it start behind the known prefix, so no prefix is compared twice. Two
    windows are equal if, around the anchor, they lie in one class of common prefixes forwards and one backwards.
 
-An anchor with very many different passages is divided by the whole window's hash. Null text is empty; rows that repeat
+The windows of an anchor with very many different passages are not sorted: Spark counts them by their 128-bit hash, so no
+task holds all rows of a passage that stands in different surroundings. Null text is empty; rows that repeat
 a doc_id, or are copies, count as places of their own. A null doc_id is a document like any other. Empty tables give no
 rows; other columns are ignored.
 """
@@ -34,7 +35,7 @@ from .common import arrow, covered, mix, packed, rolling, sliding_min, unpack
 
 WINDOW = 200
 ANCHOR = 32
-# Different passages of an anchor before it is divided, and rows that a task merges together.
+# Different passages of an anchor before its windows are counted, and rows that a task merges together.
 HEAVY, CHUNK = 20_000, 50_000
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -146,7 +147,7 @@ _RUN = "key long, content binary, offset int, n int, copies long, before int, ru
 
 
 def _runs(wanted: DataFrame) -> DataFrame:
-    """Front-coded sorted runs of a batch's passages, by anchor; those of a heavy anchor by window.
+    """Front-coded sorted runs of a batch's passages, by anchor, but for those of heavy anchors.
 
     Of a passage the suffix from its anchor on and the reversed prefix up to the anchor are sorted, a run each.
     """
@@ -155,16 +156,14 @@ def _runs(wanted: DataFrame) -> DataFrame:
         rows, ahead, back, keys = [], [], [], {}
         for text, wants in zip(unpack(t.column("packed")), t.column("wants").to_pylist()):
             for w in wants:
-                whole, n = text[w["start"]:w["start"] + w["n"] + WINDOW - 1], w["n"]
-                parts = [(w["anchor"], 0, n, whole, w["before"])]
                 if w["heavy"]:
-                    parts = [(xxhash.xxh3_64_intdigest(whole[k:k + WINDOW]) - (1 << 63), k, 1, whole[k:k + WINDOW], w["before"] - k) for k in range(n)]
-                for key, offset, count, part, before in parts:
-                    keys.setdefault(key, []).append(len(rows))
-                    rows.append([key, w["content"], offset, count, w["copies"], before])
-                    # A passage that is its anchor's only one has nothing to be compared with.
-                    ahead.append(b"" if w["alone"] else part[before:])
-                    back.append(b"" if w["alone"] else part[:before][::-1])
+                    continue
+                part, before = text[w["start"]:w["start"] + w["n"] + WINDOW - 1], w["before"]
+                keys.setdefault(w["anchor"], []).append(len(rows))
+                rows.append([w["anchor"], w["content"], 0, w["n"], w["copies"], before])
+                # A passage that is its anchor's only one has nothing to be compared with.
+                ahead.append(b"" if w["alone"] else part[before:])
+                back.append(b"" if w["alone"] else part[:before][::-1])
         own = uuid.uuid4().int >> 65
         for members in keys.values():
             places = []
@@ -182,6 +181,34 @@ def _runs(wanted: DataFrame) -> DataFrame:
     return arrow(wanted, run, _RUN)
 
 
+def _windows(wanted: DataFrame) -> DataFrame:
+    """The wanted passages of heavy anchors, window by window."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in range(4)]
+        for text, wants in zip(unpack(t.column("packed")), t.column("wants").to_pylist()):
+            view = memoryview(text)
+            for w in wants:
+                if w["heavy"]:
+                    out[0] += [xxhash.xxh3_128_digest(view[k:k + WINDOW]) for k in range(w["start"], w["start"] + w["n"])]
+                    out[1] += [w["content"]] * w["n"]
+                    out[2] += range(w["n"])
+                    out[3] += [w["copies"]] * w["n"]
+        kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["window", "content", "offset", "copies"])
+
+    return arrow(wanted, run, "window binary, content binary, offset int, copies long")
+
+
+def _counted(wanted: DataFrame) -> DataFrame:
+    """Matches of the passages of heavy anchors, as of _merge."""
+    windows = materialise(_windows(wanted), "windows")
+    # Written, so that Spark can split the rows of a common window in the join.
+    again = materialise(windows.groupBy("window").agg(F.sum("copies").alias("k")).where("k > 1").select("window"), "again")
+    offsets = windows.join(again, "window").groupBy("content").agg(F.array_sort(F.collect_list("offset")).alias("at"))
+    return offsets.select("content", F.flatten(F.transform("at", lambda o: F.array(o, o + 1))).alias("spans"))
+
+
 def _merged(part: pd.DataFrame, direction: str, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted order of the rows within each key's bounds, and the common prefix with the row before (-1 at a key's first)."""
     order, common = np.arange(len(part)), np.full(len(part), -1)
@@ -290,14 +317,18 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "start", "n", "before")).alias("at"))
     each = materialise(each, "contents")
     width = each.groupBy("anchor").agg((F.count("*") > HEAVY).alias("heavy"), (F.count("*") == 1).alias("alone"))
+    width = materialise(width, "widths")
+    some = not width.where("heavy").isEmpty()
     wants = each.join(width, "anchor").select(
         "at.doc_id", "at.row", F.struct("anchor", "content", "copies", "heavy", "alone", "at.start", "at.n", "at.before").alias("want"))
     wants = wants.groupBy("doc_id", "row").agg(F.collect_list("want").alias("wants"))
     texts = packed(docs)
     same = texts["doc_id"].eqNullSafe(wants["doc_id"]) & (texts["row"] == wants["row"])
     one = texts.join(wants, same).select(texts["doc_id"], texts["row"], "packed", "wants").dropDuplicates(["doc_id", "row"])
-    runs = _runs(one.select("packed", "wants")).repartition("key").sortWithinPartitions("key")
-    matches = materialise(runs.mapInPandas(_merge, "content binary, spans array<int>"), "matches")
+    one = materialise(one.select("packed", "wants"), "wanted") if some else one.select("packed", "wants")
+    runs = _runs(one).repartition("key").sortWithinPartitions("key")
+    matches = runs.mapInPandas(_merge, "content binary, spans array<int>")
+    matches = materialise(matches.unionAll(_counted(one)) if some else matches, "matches")
     hits = shared.select("doc_id", "row", "start", "content").join(matches, "content")
     moved = F.transform("spans", lambda x: x + F.col("start")).alias("spans")
     # Copied rows of one document find the same runs; they are told apart when the text is read again.

@@ -63,5 +63,28 @@ def test_against_brute_force(spark, docs, monkeypatch, heavy):
     assert run(docs, rows) == brute(rows, 50)
 
 
+def test_no_task_holds_a_passage_in_many_surroundings(spark, docs, monkeypatch):
+    setup(spark)
+    most, whole = 5, fm_dedup._search
+
+    def checked(batches):
+        def counted():
+            seen = {}
+            for b in batches:
+                for k in b["key"]:
+                    seen[k] = seen.get(k, 0) + 1
+                    assert seen[k] <= most, "a key's rows all reach one task"
+                yield b
+        return whole(counted())
+
+    monkeypatch.setattr(fm_dedup, "HEAVY", most)
+    monkeypatch.setattr(fm_dedup, "_search", checked)
+    rng = random.Random(12)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    passage = [word() for _ in range(55)]
+    rows = [(i, " ".join([word() for _ in range(60)] + passage + [word() for _ in range(60)])) for i in range(60)]
+    assert run(docs, rows) == brute(rows, 50)
+
+
 def test_empty_table(docs):
     assert run(docs, []) == []

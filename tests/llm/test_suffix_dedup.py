@@ -56,5 +56,28 @@ def test_against_brute_force(spark, docs, monkeypatch, heavy):
     assert run(docs, rows) == brute(rows, 200)
 
 
+def test_no_task_holds_a_passage_in_many_surroundings(spark, docs, monkeypatch):
+    setup(spark)
+    most, whole = 5, suffix_dedup._merge
+
+    def checked(batches):
+        def counted():
+            seen = {}
+            for b in batches:
+                for k in b["key"]:
+                    seen[k] = seen.get(k, 0) + 1
+                    assert seen[k] <= most, "a key's rows all reach one task"
+                yield b
+        return whole(counted())
+
+    monkeypatch.setattr(suffix_dedup, "HEAVY", most)
+    monkeypatch.setattr(suffix_dedup, "_merge", checked)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passage = text(210)
+    rows = [(i, text(250) + passage + text(250)) for i in range(60)]
+    assert run(docs, rows) == brute(rows, 200)
+
+
 def test_empty_table(docs):
     assert run(docs, []) == []
