@@ -1,11 +1,14 @@
 """Surrogates for personal data, in DataFrame operations only.
 
-Entities are e-mail and IP addresses, phone, card, account and social security numbers, keys, secrets in hexadecimal and
+Entities are e-mail, IPv4 and IPv6 addresses, phone, card, account and social security numbers, keys, secrets in hexadecimal and
 names after a title. Each distinct entity gets a replacement drawn from a keyed hash of its canonical form, so the same
 entity reads alike in every document and spelling (coreference), and the replacement keeps its type: digits stay digits
 and letters letters of the same case, grouping and separators stay, a card number that passes its check digit still
 does, an IP address stays one, a name keeps its title's gender, its script and its number of words. Parts of names are
-replaced part by part, so a later "Mr Smith" still matches "Mr John Smith".
+replaced part by part, so a later "Mr Smith" still matches "Mr John Smith", and wherever
+else they stand as words of the same text. A name is the whole run of capitalised words after a title, with inner
+apostrophes and hyphens, initials and particles such as "von", which stay. Scripts without capitals have no names here;
+cased scripts other than those of SYLLABLES get Latin surrogates.
 
 Collision check: of entities of a type that draw the same replacement, or one that occurs as an entity itself, all but
 the first draw again, until all replacements are distinct and none is an entity of the corpus.
@@ -17,6 +20,7 @@ null ids and ties do no harm. All columns pass through, but for one named
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,24 +35,46 @@ FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа"]
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "pi", "ro", "su", "ta", "ve", "li", "ko", "ru", "sa"],
     "cyrillic": ["ба", "де", "фи", "го", "лу", "ма", "не", "пи", "ро", "су", "та", "ве", "ли", "ко", "ру", "са"],
+    "greek": ["βα", "δε", "φι", "γο", "λυ", "μα", "νε", "πι", "ρο", "συ", "τα", "βε", "λι", "κο", "ρυ", "σα"],
+    "armenian": ["բա", "դե", "ֆի", "գո", "լու", "մա", "նե", "պի", "րո", "սու", "տա", "վե", "լի", "կո", "րու", "սա"],
 }
+ENDS = {"latin": ("n", "na", "r"), "cyrillic": ("н", "на", "р"), "greek": ("ν", "να", "ρ"), "armenian": ("ն", "նա", "ր")}
+INITIALS = {"latin": "ABCDEFGHIJKLMNOPRSTVWZ", "cyrillic": "АБВГДЕЖЗИКЛМНОПРСТУФ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΦ", "armenian": "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄ"}
+PARTICLES = ["van", "von", "vom", "zu", "zum", "zur", "der", "den", "de", "del", "della", "di", "da", "dos", "do", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten"]
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_H, _HEX = "[0-9A-Fa-f]{1,4}", "[0-9A-Fa-f:]"
+_TITLE, _PARTICLE = "(?:" + "|".join(MALE + FEMALE) + ")", "(?:" + "|".join(PARTICLES) + ")"
+# An apostrophe within a word, but for a genitive's.
+_INNER = r"['’](?!s(?![\p{L}\p{M}]))(?=\p{L})"
+# A capitalised word or an initial; not a title, the start of an address or of a key.
+_NAME = (rf"(?!{_TITLE}(?![\p{{L}}\p{{M}}]))(?![\p{{L}}\p{{M}}\p{{N}}._%+'’-]*+@)(?!AKIA[0-9A-Z]{{16}})"
+         rf"\p{{Lu}}(?:\.(?= \p{{Lu}})|(?:[\p{{L}}\p{{M}}]|{_INNER}|-(?=\p{{L}}))*+)")
+# Parts of a name that get a surrogate each.
+PART = rf"(?<![\p{{L}}\p{{M}}'’])(?!{_PARTICLE}(?![\p{{L}}\p{{M}}'’]))(?:[\p{{L}}\p{{M}}]|{_INNER})++"
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}",
-    "phone": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:[ .-]\d{2,4}){3}|\d{7,12})(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    "phone": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:[ .-]\d{2,4}){3}|\d{7,12})(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])(?:1-)?\d{3}-\d{3}-\d{4}(?![\d-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "card": r"(?<![\dA-Za-z.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\dA-Za-z])",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    # Short runs such as a[1::2] or a::b are code; an address has three colons, or a digit and a group of three.
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:._])(?=(?:[0-9A-Fa-f]*+:){{3}}|(?={_HEX}*\d){_HEX}*[0-9A-Fa-f]{{3}})"
+           rf"(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{6}}(?:{_OCTET}\.){{3}}{_OCTET}|(?:{_H}(?::{_H}){{0,6}})?::(?:(?:{_H}:){{0,5}}(?:{_OCTET}\.){{3}}{_OCTET}|{_H}(?::{_H}){{0,6}})?)"
+           r"(?![\p{L}\p{N}:_]|\.\d)",
     "secret": r"(?<![A-Za-z0-9])(?=[0-9a-f]*\d)[0-9a-f]{16,128}(?![A-Za-z0-9])",
-    "name": r"(?<!\p{L})(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?",
+    "name": rf"(?<!\p{{L}}){_TITLE}\.? (?:{_PARTICLE} ){{0,3}}{_NAME}(?:(?: {_PARTICLE}){{0,3}} {_NAME}(?![\p{{N}}_]))*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 # A phone number's country code, which stays.
 PREFIX = r"^\+(\d{1,3})(?=[ .(-])"
-# Cheap sign that every text with an entity has: each pattern needs a digit, an @, the key's first letters or a title.
-SIGN = r"[0-9]|@|AKIA|(?:" + "|".join(MALE + FEMALE) + r")\.? "
+SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "armenian": r"\p{IsArmenian}"}
+# Cheap sign that every text with an entity has: each pattern needs a digit, an @, two colons, the key's first letters or a title.
+SIGN = r"[0-9]|@|:[0-9A-Fa-f]{0,4}:|AKIA|(?:" + "|".join(MALE + FEMALE) + r")\.? "
+
+
+PARTS = "array<struct<at:int,part:string,surrogate:string>>"
 
 
 def matches(text: Column) -> Column:
@@ -61,7 +87,17 @@ def kind(value: Column) -> Column:
     return F.coalesce(*tests, F.lit("secret"))
 
 
+def _expanded(value: Column) -> Column:
+    """An IPv6 address with all its groups, without leading zeros."""
+    halves = F.split(F.lower(value), "::")
+    groups = lambda half: F.transform(F.filter(F.split(half, ":"), lambda g: g != ""), lambda g: F.regexp_replace(g, r"^0+(?=[0-9a-f])", ""))
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    missing = F.lit(8) - F.size(left) - F.size(right) - F.when(value.contains("."), 1).otherwise(0)
+    return F.concat_ws(":", left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+
+
 def canonical(kind_: Column, value: Column) -> Column:
+    value = F.when(kind_ == "phone", F.regexp_replace(value, r"^1-", "+1-")).when(kind_ == "ip6", _expanded(value)).otherwise(value)
     return (F.when(kind_ == "email", F.lower(value))
             .when(kind_ == "phone", F.concat(F.regexp_extract(value, PREFIX, 1), F.lit("|"), F.regexp_replace(F.regexp_replace(value, PREFIX, ""), r"\D", "")))
             .when(kind_.isin("card", "social"), F.regexp_replace(value, r"\D", ""))
@@ -113,11 +149,24 @@ def _word(key: str) -> Column:
         table = F.array(*[F.lit(s) for s in SYLLABLES[script]])
         size = len(SYLLABLES[script])
         parts = F.transform(F.sequence(F.lit(0), F.lit(2) + F.col("attempt")), lambda i: F.get(table, _draw(key, i, size)))
-        ends = {"latin": ("n", "na", "r"), "cyrillic": ("н", "на", "р")}[script]
+        ends = ENDS[script]
         end = F.when(F.col("kind") == "male", ends[0]).when(F.col("kind") == "female", ends[1]).otherwise(ends[2])
         return F.initcap(F.concat(F.array_join(parts, ""), end))
 
-    return F.when(F.col("canon").rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
+    return _by_script(of)
+
+
+def _by_script(of: Callable[[str], Column]) -> Column:
+    return F.coalesce(*[F.when(F.col("canon").rlike(p), of(s)) for s, p in SCRIPTS.items()], of("latin"))
+
+
+def _initial(key: str) -> Column:
+    """Another capital of the script; initials are no entities of their own, so two may get the same."""
+    def of(script: str) -> Column:
+        left = F.replace(F.lit(INITIALS[script]), F.col("canon"), F.lit(""))
+        return F.substring(left, _draw(key, F.lit(0), len(INITIALS[script]) - 1) + 1, F.lit(1))
+
+    return _by_script(of)
 
 
 def drawn(entities: DataFrame, key: str) -> DataFrame:
@@ -128,8 +177,9 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
                             .when(k == "secret", _scrambled(key, F.col("canon"), 0, "abcdef")).otherwise(_scrambled(key, F.col("canon"))))
     local = F.substring_index("scrambled", "@", 1)
     ip = F.concat_ws(".", F.lit("10"), *[_draw(key, F.lit(i), 256).cast("string") for i in range(3)])
+    ip6 = F.concat_ws(":", F.lit("fd00"), *[F.lower(F.hex(_draw(key, F.lit(i), 65536))) for i in range(7)])
     surrogate = (F.when(k == "email", F.concat(local, F.lit("@mail"), _draw(key, F.lit(-1), 1000).cast("string"), F.lit(".example.org")))
-                 .when(k == "ip", ip).when(k == "card", _card(key)).when(k.isin("male", "female", "surname"), _word(key)).otherwise(F.col("scrambled")))
+                 .when(k == "ip", ip).when(k == "ip6", ip6).when(k == "card", _card(key)).when(k.isin("male", "female", "surname"), _word(key)).otherwise(F.col("scrambled")))
     return e.withColumn("surrogate", surrogate).drop("scrambled")
 
 
@@ -158,25 +208,33 @@ def _fitted(raw: Column, digits: Column) -> Column:
 
 
 def replacements(values: DataFrame, key: str) -> DataFrame:
-    """(value, kind, replacement) of distinct matched values."""
+    """(value, kind, replacement, parts) of distinct matched values; parts are those of a name."""
     v = materialise(values.select("value", kind(F.col("value")).alias("kind")), "values")
     plain = v.where("kind <> 'name'").withColumn("canon", canonical(F.col("kind"), F.col("value")))
     title = F.regexp_extract("value", r"^\S+", 0)
     gender = F.when(F.replace(title, F.lit("."), F.lit("")).isin(MALE), "male").otherwise("female")
-    names = v.where("kind = 'name'").select("value", gender.alias("gender"), title.alias("title"), F.expr("slice(split(value, ' '), 2, 2)").alias("parts"))
-    words = names.select("value", "gender", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "canon"))
-    words = words.withColumn("kind", F.when(F.col("at") == F.col("n") - 1, "surname").otherwise(F.col("gender")))
-    entities = materialise(plain.select("kind", "canon").unionAll(words.select("kind", "canon")).distinct(), "entities")
+    names = v.where("kind = 'name'").select("value", gender.alias("gender"), title.alias("title"), F.regexp_replace("value", r"^\S+ ", "").alias("rest"))
+    found = lambda text: F.regexp_extract_all(text, F.lit(PART), F.lit(0))
+    words = names.select("value", "gender", F.size(found(F.col("rest"))).alias("n"), F.size(found(F.substring_index("rest", " ", -1))).alias("n_last"),
+                         F.posexplode(found(F.col("rest"))).alias("at", "part"))
+    kinds = F.when(F.col("at") >= F.col("n") - F.col("n_last"), "surname").when(F.length("part") == 1, "initial").otherwise(F.col("gender"))
+    words = words.select("value", "at", "part", kinds.alias("kind"), F.initcap(F.lower("part")).alias("canon"))
+    entities = materialise(plain.select("kind", "canon").unionAll(words.where("kind <> 'initial'").select("kind", "canon")).distinct(), "entities")
     table = materialise(assign(entities, key), "surrogates")
     p = plain.join(table, ["kind", "canon"])
     text, raw = F.col("surrogate"), F.col("value")
     spaced = F.regexp_replace(text, r"(.{4})(?=.)", "$1 ")
     fitted = (F.when(F.col("kind").isin("phone", "card", "social"), _fitted(raw, F.replace(text, F.lit("|"), F.lit("")))).when((F.col("kind") == "account") & raw.contains(" "), spaced)
               .when((F.col("kind") == "email") & (raw == F.upper(raw)), F.upper(text)).otherwise(text))
-    p = p.select("value", "kind", fitted.alias("replacement"))
-    n = words.join(table, ["kind", "canon"]).groupBy("value").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("parts"))
-    n = n.join(names.select("value", "title"), "value").select(
-        "value", F.lit("name").alias("kind"), F.concat_ws(" ", "title", F.transform("parts", lambda x: x["surrogate"])).alias("replacement"))
+    p = p.select("value", "kind", fitted.alias("replacement"), F.lit(None).cast(PARTS).alias("parts"))
+    w = words.join(table, ["kind", "canon"], "left").withColumn("attempt", F.lit(0))
+    word = F.when(F.col("kind") == "initial", _initial(key)).otherwise(F.col("surrogate"))
+    spelt = (F.when((F.length("part") > 1) & (F.col("part") == F.upper("part")), F.upper(word))
+             .when(F.col("part").rlike(r"^\p{Ll}"), F.lower(word)).otherwise(word))
+    n = w.withColumn("surrogate", spelt).groupBy("value").agg(F.array_sort(F.collect_list(F.struct("at", "part", "surrogate"))).alias("parts"))
+    n = n.join(names.select("value", "title", "rest"), "value")
+    between = F.transform(F.split("rest", PART), lambda x, i: F.concat(x, F.coalesce(F.get("parts", i)["surrogate"], F.lit(""))))
+    n = n.select("value", F.lit("name").alias("kind"), F.concat(F.col("title"), F.lit(" "), F.array_join(between, "")).alias("replacement"), "parts")
     return p.unionAll(n)
 
 
@@ -190,11 +248,21 @@ def mask(docs: DataFrame, key: str = "surrogates", text: str = "text") -> DataFr
     some = docs.where(sign).select(*row, F.array_distinct(matches(body)).alias("found")).where("size(found) > 0")
     found = materialise(some.select("_doc", "_row", F.explode("found").alias("value")).distinct(), "found")
     table = materialise(replacements(found.select("value").distinct(), key), "replacements")
-    each = found.join(table, "value").groupBy("_doc", "_row").agg(
-        F.map_from_entries(F.collect_list(F.struct("value", "replacement"))).alias("_map"))
+    pair = lambda old, new, bare: F.struct(old.alias("old"), new.alias("new"), F.lit(bare).alias("bare"))
+    long = F.filter(F.coalesce("parts", F.array().cast(PARTS)), lambda x: F.length(x["part"]) > 1)
+    spellings = F.concat(F.array(pair(F.col("value"), F.col("replacement"), False)), F.transform(long, lambda x: pair(x["part"], x["surrogate"], True)),
+                         F.transform(long, lambda x: pair(F.upper(x["part"]), F.upper(x["surrogate"]), True)))
+    pairs = found.join(table, "value").select("_doc", "_row", F.explode(spellings).alias("x")).groupBy("_doc", "_row", "x.old").agg(
+        F.min("x.new").alias("new"), F.min("x.bare").alias("bare"))
+    each = pairs.groupBy("_doc", "_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("_map"),
+        F.array_join(F.reverse(F.array_sort(F.collect_list(F.when(F.col("bare"), F.col("old"))))), "|").alias("_bare"))
     may = docs.where(sign).select(*columns, *row).join(each, ["_doc", "_row"], "left")
-    may = may.withColumn("_hits", F.when(F.col("_map").isNotNull(), matches(body)))
-    pieces = F.split(body, PATTERN)
+    # Entities first, then parts of the text's own names where they stand alone.
+    alone = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{M}])(?:"), F.col("_bare"), F.lit(r")(?![\p{L}\p{M}])"))
+    pattern = F.when(F.length("_bare") > 0, alone).otherwise(F.lit(PATTERN))
+    may = may.withColumn("_hits", F.when(F.col("_map").isNotNull(), F.regexp_extract_all(body, pattern, F.lit(0))))
+    pieces = F.split(body, pattern)
     joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at("_map", F.get("_hits", i)), F.lit("")))), "")
     new = F.when(F.col("_map").isNull(), body).otherwise(joined)
     may = may.select(*[new.alias(c) if c == text else F.col(c) for c in columns], F.coalesce(F.size("_hits"), F.lit(0)).alias("n_entities"))

@@ -71,6 +71,27 @@ def test_every_kind_alone_in_a_text(spark, docs):
     assert all(out[i].text == t and out[i].n_entities == 0 for i, t in rows[-2:])
 
 
+def test_whole_names_and_bare_parts(spark, docs):
+    setup(spark)
+    gone = {"Mr McDonald left": ["Donald"], "Frau Anna-Lena Weber ging": ["Anna", "Lena", "Weber"], "Mr John Michael Smith sat": ["John", "Michael", "Smith"],
+            "Mr O'Brien's dog": ["Brien"], "Herr Ludwig van Beethoven kam": ["Ludwig", "Beethoven"], "Mr J. R. Smith ate": ["Smith", "J. R."],
+            "Mr John Smith came. Smith, John SMITH and Smith's hat": ["Smith", "John", "SMITH"], "Mr Παπαδόπουλος ήρθε": ["Παπαδόπουλος"],
+            "at 2001:db8::ff00:42:8329 or 2001:0DB8:0:0:0:ff00:42:8329.": ["2001", "8329"], "at ::ffff:192.0.2.128 now": ["192", "128"],
+            "call 555-123-4567 or (555) 123-4567 now": ["555-123-4567", "123-4567"], "Mr Smith john.doe@x.org": ["Smith", "doe@x"]}
+    kept = ["a[1::2] std::add a::b 12:34:56", "Smith and Brown", "no one"]
+    out = {r.doc_id: r.text for r in pii.mask(docs(list(enumerate([*gone, *kept])))).collect()}
+    for i, (t, words) in enumerate(gone.items()):
+        assert not [w for w in words if w in out[i]], (t, out[i])
+    assert [out[len(gone) + i] for i in range(len(kept))] == kept
+    assert re.fullmatch(r"Mr \w+'s dog", out[3]) and re.fullmatch(r"Herr \w+ van \w+ kam", out[4]) and re.fullmatch(r"Mr [α-ωΑ-Ω]+ ήρθε", out[7])
+    first, last = re.match(r"Mr (\w+) (\w+) came", out[6]).groups()
+    assert out[6] == f"Mr {first} {last} came. {last}, {first} {last.upper()} and {last}'s hat"
+    a, b = re.fullmatch(r"at (\S+) or (\S+)\.", out[8]).groups()
+    assert a == b
+    a, b = re.fullmatch(r"call (\S+) or (.+) now", out[10]).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+
+
 def test_collisions_draw_again(spark, monkeypatch):
     setup(spark)
     # A small space: two-letter hexadecimal secrets draw the same replacements.
