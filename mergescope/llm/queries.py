@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.registry import Entry
 from ..session import materialise
-from . import ann, bpe, chat, decontam, fm_dedup, near_dup, pii, suffix_dedup, toxicity, warc
+from . import ann, bpe, chat, decontam, fm_dedup, mixing, near_dup, pii, suffix_dedup, toxicity, warc
 from .common import spread_scan, table
 
 ENTRIES: dict[str, Entry] = {}
@@ -86,3 +86,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     conversations = table(spark, sf, "conversations")
     lines = materialise(chat.transcripts(conversations), "transcripts")
     return chat.turns(lines.drop("state"), chat.learn(chat.known(lines)))
+
+
+@query("op13_mix", "sources mixed to target weights by prefix sums over hash-random order", mixing.SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents")).drop("source")
