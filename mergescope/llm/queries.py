@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog.registry import Entry
 from ..session import materialise
-from . import ann, bpe, chat, decontam, fm_dedup, mixing, near_dup, pii, suffix_dedup, toxicity, warc
+from . import ann, bpe, chat, decontam, fm_dedup, lexical, mixing, near_dup, pii, runs, suffix_dedup, toxicity, warc
 from .common import spread_scan, table
 
 ENTRIES: dict[str, Entry] = {}
@@ -91,3 +93,33 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_mix", "sources mixed to target weights by prefix sums over hash-random order", mixing.SQL)
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents")).drop("source")
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document, periodic from some place on in one of ten documents, by the checksum of its id."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op11_runs", "periodic runs of words by internal pattern matching")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = runs.collapse(spread_scan(table(spark, sf, "documents").select("doc_id", "text")), planted)
+    line = lambda r: F.concat_ws(",", r.start, r.length, r.period)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("back"), (-r.period).alias("minus"))))
+    digest = F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256)
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"), "best.length",
+        (-F.col("best.minus")).alias("period"), F.expr("1000 * best.length div -best.minus").alias("exponent_milli"),
+        digest.alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+
+
+@query("op12_lexical_search", "ten best documents of each benchmark item by Block-Max MaxScore", lexical.SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    index = lexical.build(spread_scan(table(spark, sf, "documents").select("doc_id", "text")))
+    return lexical.search(index, table(spark, sf, "benchmark"))
