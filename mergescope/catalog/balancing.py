@@ -106,9 +106,14 @@ def _(spark, sf):
     return summarised(balance.smote(views.embeddings(spark, sf), "vec_id", "label", "embedding", minority_only=True))
 
 
+UNDER = HASH % "(key||'under')"
+
+
 @query("over_then_under", "M19", f"""
-WITH sizes AS (SELECT label, CASE WHEN {SMALLEST} THEN (SELECT max(c) FROM (SELECT count(*) c FROM embeddings GROUP BY label)) ELSE count(*) END n FROM embeddings GROUP BY label)
-SELECT label, CASE WHEN label = (SELECT label FROM sizes ORDER BY n DESC, label LIMIT 1) THEN (SELECT min(n) FROM sizes) ELSE n END n FROM sizes""")
+WITH grown AS (SELECT *, coalesce(id::VARCHAR, base_id||'-'||copy) AS key FROM ({smote_sql(SMALLEST)})),
+sizes AS (SELECT label, count(*) n FROM grown GROUP BY label),
+placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {UNDER}, key) - 1 AS place FROM grown)
+SELECT id, label, base_id, neighbour_id, copy, round(list_sum(vec), 5) total, round(vec[1], 6) first, round(vec[64], 6) last FROM placed
+WHERE label <> (SELECT label FROM sizes ORDER BY n DESC, label LIMIT 1) OR place < (SELECT min(n) FROM sizes)""")
 def _(spark, sf):
-    done = balance.over_then_under(views.embeddings(spark, sf), "vec_id", "label", "embedding")
-    return balance.class_distribution(done, "label")
+    return summarised(balance.over_then_under(views.embeddings(spark, sf), "vec_id", "label", "embedding"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .hashing import hash_code, hash_fraction, slice_by_hash
 from .neighbours import class_sizes, nearest
 
@@ -42,11 +43,10 @@ def smallest_class(df: DataFrame, label: str) -> DataFrame:
 def _copies(df: DataFrame, identity: str, label: str, target: Column, salt: str) -> DataFrame:
     """Add ``_copies``: how often a row is to be drawn so that its class gains target - n rows."""
     need = F.greatest(target - F.col("n"), F.lit(0))
-    sizes = class_distribution(df, label)
+    sizes = materialise(class_distribution(df, label), "sizes")
     sliced = slice_by_hash(df, identity, label, [F.pmod(need, F.col("n"))], salt, "_slice", class_sizes=sizes)
     whole = F.floor(need / F.col("n")).cast("int")
-    # One row per class.
-    counted = sliced.join(F.broadcast(sizes.select(label, whole.alias("_whole"))), label)
+    counted = sliced.join(sizes.select(label, whole.alias("_whole")), label)
     return counted.withColumn("_copies", F.col("_whole") + (F.col("_slice") == 0).cast("int")).drop("_slice", "_whole")
 
 
@@ -85,45 +85,40 @@ def smote(
     A synthetic row lies between a row and one of its ``min(k, smallest class - 1)`` nearest neighbours of the
     same class. Columns: (id, label, vec, base_id, neighbour_id, copy); the last three are null for originals.
     """
-    sizes = class_sizes(df, label)
-    smallest, largest = extreme_classes(sizes)
-    k = min(k, sizes[smallest] - 1)
+    sizes = materialise(class_distribution(df, label).withColumnRenamed(label, "label"), "sizes")
+    first = F.min_by("label", F.struct("n", "label"))
+    least, most, smallest = sizes.agg(F.min("n"), F.max("n"), first).first()
+    k = min(k, (least or 0) - 1)
     if k < 1:
         raise ValueError("the smallest class needs two rows at least")
-    grown = [smallest] if minority_only else [c for c, n in sizes.items() if n < sizes[largest]]
     originals = df.select(F.col(identity).alias("id"), F.col(label).alias("label"),
                           F.col(vector).cast("array<double>").alias("vec"))
     none = F.lit(None).cast("long")
     kept = originals.withColumns({"base_id": none, "neighbour_id": none, "copy": F.lit(None).cast("int")})
-    if sizes[smallest] == sizes[largest]:
+    if least == most:
         return kept
-    pool = originals.where(F.col("label").isin(grown))
-    base = _copies(pool, "id", "label", F.lit(sizes[largest]), salt).where(F.col("_copies") > 0)
-    near = nearest(pool, k, "id", "vec", "label", queries=base, sizes={c: sizes[c] for c in grown}, **options)
-    # k rows per id.
-    listed = near.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "neighbour", "neighbour_vec"))).alias("_near"))
-    copies = base.join(listed, "id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    grown = F.col("label") == F.lit(smallest) if minority_only else F.col("n") < most
+    pool = originals.join(sizes.where(grown), "label").drop("n")
+    base = _copies(pool, "id", "label", F.lit(most), salt).where(F.col("_copies") > 0)
+    near = nearest(pool, k, "id", "vec", "label", queries=base, **options)
+    drawn = base.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     draw = F.concat(F.col("id").cast("string"), F.lit("-"), F.col("copy").cast("string"))
-    copies = copies.withColumns({
-        "_to": F.get("_near", F.pmod(hash_code(draw, "neighbour"), F.lit(k)).cast("int")),
-        "_gap": hash_fraction(draw, "gap"),
-    })
-    made = copies.select(
-        none.alias("id"), "label",
-        F.zip_with("vec", F.col("_to.neighbour_vec"), lambda a, b: a + F.col("_gap") * (b - a)).alias("vec"),
-        F.col("id").alias("base_id"), F.col("_to.neighbour").alias("neighbour_id"), "copy",
+    drawn = drawn.withColumns({"rank": F.pmod(hash_code(draw, "neighbour"), F.lit(k)).cast("int") + 1, "_gap": hash_fraction(draw, "gap")})
+    other = originals.select(F.col("id").alias("neighbour"), F.col("vec").alias("_to"))
+    drawn = drawn.join(near.select("id", "rank", "neighbour"), ["id", "rank"]).join(other, "neighbour")
+    made = drawn.select(
+        none.alias("id"), "label", F.zip_with("vec", "_to", lambda a, b: a + F.col("_gap") * (b - a)).alias("vec"),
+        F.col("id").alias("base_id"), F.col("neighbour").alias("neighbour_id"), "copy",
     )
     return kept.unionByName(made)
 
 
-def with_row_ids(df: DataFrame) -> DataFrame:
-    """Give synthetic rows an id of their own: the hash of what they were made from."""
-    made = F.xxhash64("base_id", "copy")
-    return df.withColumn("id", F.coalesce(F.col("id"), made))
-
-
 def over_then_under(df: DataFrame, identity: str, label: str, vector: str, k: int = 5, **options) -> DataFrame:
-    """Grow the smallest class by interpolation, then cut the largest to the smallest."""
-    grown = with_row_ids(smote(df, identity, label, vector, k, minority_only=True, **options))
-    return random_undersample(grown, "id", "label")
+    """Grow the smallest class by interpolation, then cut the largest to the smallest.
+
+    The grown table is written once; which rows of the largest class stay goes by the hash of ``key``, the id of an
+    original row and base and copy of a synthetic one.
+    """
+    grown = smote(df, identity, label, vector, k, minority_only=True, **options)
+    key = F.coalesce(F.col("id").cast("string"), F.concat_ws("-", "base_id", "copy"))
+    return random_undersample(materialise(grown.withColumn("key", key), "grown"), "key", "label")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 HASH_RANGE = 1 << 32
 
 
@@ -46,7 +48,7 @@ def slice_by_hash(
     if class_sizes is None:
         class_sizes = counts.groupBy(by).agg(F.sum("_size").alias("n"))
     running = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    located = counts.withColumn("_end", F.sum("_size").over(running)).join(F.broadcast(class_sizes), by)
+    located = counts.withColumn("_end", F.sum("_size").over(running)).join(class_sizes, by)
     start, end = F.col("_end") - F.col("_size"), F.col("_end")
     first = sum(((cut <= start).cast("int") for cut in cuts), F.lit(0))
     last = sum(((cut < end).cast("int") for cut in cuts), F.lit(0))
@@ -54,7 +56,8 @@ def slice_by_hash(
         by, "_bucket", start.alias("_start"), first.alias("_first"), last.alias("_last"),
         F.array(*[cut.cast("long") for cut in cuts]).alias("_cuts"),
     )
-    placed = hashed.join(F.broadcast(located), [by, "_bucket"])
+    # Written, so that Spark knows how large it is and broadcasts it only below its limit.
+    placed = hashed.join(materialise(located, "located"), [by, "_bucket"])
     whole = placed.where(F.col("_first") == F.col("_last")).select(*df.columns, F.col("_first").alias(out))
     within = Window.partitionBy(by, "_bucket").orderBy("_hash", identity)
     position = F.col("_start") + F.row_number().over(within) - 1

@@ -1,27 +1,41 @@
-"""Exact nearest neighbours within classes, without pairing all rows of a class.
+"""Exact nearest neighbours within classes, over a partitioned index whose cells grow with the class.
 
-Each class is divided into cells around pivot rows. A row first meets its own cell, which bounds how far its k-th
-neighbour can be; then only the cells that the triangle inequality cannot rule out. Cells larger than a block are
-cut into blocks, and so are the rows routed to a cell, so a task holds one block of each however the rows are
-distributed. Only the k best candidates per row and block leave a task.
+Building: each class starts as one cell. While cells hold more than a block, each such cell fits a small tree on a bounded
+sample of its own rows, in one task: up to 64 leaves, cut at medians of the coordinates that vary most. Its rows walk that
+tree in an expression. Every round divides the cells by up to 64, so the rounds grow with the logarithm of the class and
+no tree or table of cells ever reaches the driver. A cell is known by its path, and by the least and greatest value of
+each coordinate, its box. A cell of equal rows cannot be cut and is dealt out in blocks by hash.
+
+Searching: a row first meets its own cell, which bounds how far its k-th neighbour can be. Pairs of cells are then pruned
+from the roots of the trees down: a pair of nodes stays as long as the distance of their boxes is within the largest bound
+below the first. Rows go to the cells that are left if the cell's box is within the row's own bound. A task compares at most
+a block of rows with a block of others, by one matrix product whose shortlist is measured again exactly. What leaves a task
+are ids and distances.
+
+Rows without a vector take no part. Ties go to the smaller id. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import materialise
 from .hashing import hash_code, hash_fraction
 
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 4096
-_SLACK = 1e-9
+LEAF_BITS = 6
+# Rows of a cell that its tree is fitted on.
+SAMPLE_ROWS = 4096
+# Distances are rounded to this many places before ties are broken.
+PLACES = 9
+_SLACK = 2 * 10.0 ** -PLACES
+_PAIRS = 100_000
 
 
 def class_sizes(df: DataFrame, by: str) -> dict:
@@ -29,26 +43,152 @@ def class_sizes(df: DataFrame, by: str) -> dict:
     return {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _pivots(df: DataFrame, sizes: dict, max_pivots: int, block_rows: int) -> dict:
-    """About sqrt(n) rows per class by hash, at least one, and just that one for a class that fits a block."""
-    share = F.lit(0.0)
-    for label, n in sizes.items():
-        wanted = 0 if n <= block_rows else min(max_pivots, math.ceil(math.sqrt(n)))
-        share = F.when(F.col("label") == F.lit(label), F.lit(wanted / n)).otherwise(share)
-    chosen = df.where(hash_fraction(F.col("id"), "pivot") < share).select("label", "vec")
-    first = df.groupBy("label").agg(F.min_by("vec", F.struct(hash_code(F.col("id"), "pivot"), "id")).alias("vec"))
-    result: dict = {}
-    for row in chosen.unionByName(first).distinct().orderBy("label", "vec").collect():
-        result.setdefault(row["label"], []).append(row["vec"])
-    return {label: np.array(rows) for label, rows in result.items()}
-
-
-def _distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Euclidean distances, points x to, by differences (exact for equal rows)."""
-    out = np.empty((len(points), len(to)))
-    for i, point in enumerate(points):
-        out[i] = np.sqrt(((to - point) ** 2).sum(axis=1))
-    return out
+def _cuts(block_rows: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A cell's tree: one coordinate a level and the cuts in heap order; none if its sample is all equal."""
+
+    def fit(sample: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(sample["vec"].to_numpy())
+        bits = min(LEAF_BITS, int(np.ceil(np.log2(sample["n"].iat[0] / block_rows))))
+        varied = np.flatnonzero(x.max(axis=0) > x.min(axis=0))
+        axes = varied[np.argsort(-x[:, varied].var(axis=0), kind="stable")[:bits]]
+        cuts, nodes = [], [x]
+        for axis in axes:
+            below = []
+            for rows in nodes:
+                v = np.sort(rows[:, axis])
+                cut = v[(len(v) - 1) // 2] if len(v) else 0.0
+                if len(v) and cut == v[-1]:
+                    # Ties at the top: cut below them, or nowhere if all are equal.
+                    lower = v[v < cut]
+                    cut = lower[-1] if len(lower) else cut
+                cuts.append(float(cut))
+                below += [rows[rows[:, axis] <= cut], rows[rows[:, axis] > cut]]
+            nodes = below
+        return pd.DataFrame({"label": sample["label"].iloc[:1], "cell": sample["cell"].iloc[:1], "axes": [axes.tolist()], "cuts": [cuts]})
+
+    return fit
+
+
+def place(base: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """Adds ``cell``, the path of a row's cell, to (id, label, vec); and how long a path may be."""
+    placed = materialise(base.withColumn("cell", F.lit("")), "placed")
+    label = dict(base.dtypes)["label"]
+    depth = 0
+    while True:
+        counts = placed.where(F.length("cell") == depth).groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n"))
+        big = materialise(counts.where(F.col("n") > block_rows), "big")
+        if big.isEmpty():
+            return placed, depth
+        sample = placed.join(big, ["label", "cell"]).where(hash_fraction(F.col("id"), f"cell{depth}") < SAMPLE_ROWS / F.col("n"))
+        trees = sample.groupBy("label", "cell").applyInPandas(_cuts(block_rows), f"label {label}, cell string, axes array<int>, cuts array<double>")
+        trees = materialise(trees.where(F.size("axes") > 0), "trees")
+        walk = F.aggregate("axes", F.lit(1), lambda node, axis: node * 2 + (F.get("vec", axis) > F.get("cuts", node - 1)).cast("int"))
+        walked = placed.join(trees, ["label", "cell"], "left").withColumn("node", walk)
+        path = F.expr("if(axes is null, cell, concat(cell, char(48 + node - shiftleft(1, size(axes)))))")
+        placed = materialise(walked.select("id", "label", "vec", path.alias("cell")), "placed")
+        depth += 1
+
+
+def _ends(width: int) -> list[Column]:
+    """The least and greatest value of each coordinate, over boxes or rows named lo and hi."""
+    return [F.expr(f"array({', '.join(f'{end}({c}[{i}])' for i in range(width))})").alias(c) for end, c in (("min", "lo"), ("max", "hi"))]
+
+
+def boxes(placed: DataFrame, width: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(label, cell, n, blocks, lo, hi): the cells, written. With no width they have no boxes."""
+    rows = placed.select("label", "cell", F.col("vec").alias("lo"), F.col("vec").alias("hi"))
+    cells = rows.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n"), *_ends(width))
+    return materialise(cells.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")), "cells")
+
+
+def _gap(width: int, lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:
+    """The distance of two boxes."""
+    apart = lambda i: F.greatest(F.get(lo2, i) - F.get(hi, i), F.get(lo, i) - F.get(hi2, i), F.lit(0.0))
+    return F.sqrt(F.aggregate(F.sequence(F.lit(0), F.lit(width - 1)), F.lit(0.0), lambda s, i: s + apart(i) * apart(i)))
+
+
+def cell_pairs(cells: DataFrame, bounds: DataFrame, width: int, depth: int) -> DataFrame:
+    """(label, cell, target, lo, hi): other cells that can hold neighbours of a cell's rows, with the target's box.
+
+    ``bounds`` has the largest ``radius`` that rows of a (label, cell) ask for; cells without one ask for nothing.
+    """
+    asking = cells.join(bounds, ["label", "cell"], "left")
+    pairs = cells.select("label").distinct().select("label", F.lit("").alias("cell"), F.lit("").alias("target"))
+    for level in range(1, depth + 1):
+        node = F.substring("cell", 1, level)
+        nodes = asking.groupBy("label", node.alias("node")).agg(F.max("radius").alias("radius"), *_ends(width))
+        nodes = materialise(nodes.withColumn("parent", F.substring("node", 1, level - 1)), "nodes")
+        left = nodes.where("radius is not null").select("label", F.col("parent").alias("cell"), F.col("node").alias("a"), "radius", F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+        right = nodes.select("label", F.col("parent").alias("target"), F.col("node").alias("b"), "lo", "hi")
+        near = pairs.join(left, ["label", "cell"]).join(right, ["label", "target"])
+        near = near.where(_gap(width, F.col("lo_a"), F.col("hi_a"), F.col("lo"), F.col("hi")) <= F.col("radius") + _SLACK)
+        pairs = materialise(near.select("label", F.col("a").alias("cell"), F.col("b").alias("target"), "lo", "hi"), "pairs")
+        if level < depth:
+            pairs = pairs.drop("lo", "hi")
+    return pairs.where("cell <> target")
+
+
+def route(asked: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(id, label, vec, target): rows (id, label, vec, cell, radius) with the cells that their own bounds leave."""
+    point = F.col("vec")
+    near = asked.join(pairs, ["label", "cell"]).where(_gap(width, point, point, F.col("lo"), F.col("hi")) <= F.col("radius") + _SLACK)
+    return near.select("id", "label", "vec", "target")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k nearest of a block of rows for each row of another."""
+
+    def shortlist(q: np.ndarray, me: np.ndarray, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mine, theirs = (q * q).sum(axis=1), (x * x).sum(axis=1)
+        square = mine[:, None] + theirs - 2 * (q @ x.T)
+        square[me[:, None] == ids] = np.inf
+        last = min(k, len(ids)) - 1
+        kth = np.partition(square, last, axis=1)[:, last]
+        # Beyond rounding of the product and of the distances.
+        limit = (np.sqrt(np.maximum(kth, 0)) + _SLACK) ** 2 + 1e-11 * (mine + theirs.max())
+        return np.nonzero((square <= limit[:, None]) & np.isfinite(square))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        me, ids = left["id"].to_numpy(), right["id"].to_numpy()
+        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+        if len(me) and len(ids):
+            q, x = _matrix(left["vec"]), _matrix(right["vec"])
+            for start in range(0, len(me), 512):
+                i, j = shortlist(q[start:start + 512], me[start:start + 512], x, ids)
+                i = i + start
+                parts = [np.sqrt(((x[j[s:s + _PAIRS]] - q[i[s:s + _PAIRS]]) ** 2).sum(axis=1)) for s in range(0, len(i), _PAIRS)]
+                distance = np.round(np.concatenate([np.zeros(0), *parts]), PLACES)
+                order = np.lexsort((ids[j], distance, i))
+                i, j, distance = i[order], j[order], distance[order]
+                opens = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
+                rank = np.arange(len(i)) - np.repeat(opens, np.diff(np.append(opens, len(i))))
+                found.append((i[rank < k], ids[j[rank < k]], distance[rank < k]))
+        i, neighbour, distance = map(np.concatenate, zip(*found))
+        return pa.table({"id": pa.array(me[i]), "label": left["label"].take(pa.array(i)), "neighbour": pa.array(neighbour), "distance": pa.array(distance)})
+
+    return best
+
+
+def _probe(asked: DataFrame, placed: DataFrame, cells: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(id, label, neighbour, distance): the k best of every block of its target cells for each asked row."""
+    label = dict(asked.dtypes)["label"]
+    chunks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
+    plan = materialise(asked.groupBy("label", "target").agg(chunks.alias("chunks")), "load")
+    plan = materialise(plan.join(cells.select("label", F.col("cell").alias("target"), "blocks"), ["label", "target"]), "plan")
+    part = lambda salt, n: F.pmod(hash_code(F.col("id"), salt), F.col(n)).cast("int").alias(salt)
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    asking = asked.join(plan, ["label", "target"]).select("label", "target", each("blocks", "block"), part("chunk", "chunks"), "id", "vec")
+    # New names for the columns, as asked rows may be the placed ones.
+    rows = placed.select("id", "label", F.col("cell").alias("target"), "vec").toDF("id", "label", "target", "vec")
+    offered = rows.join(plan, ["label", "target"]).select("label", "target", part("block", "blocks"), each("chunks", "chunk"), "id", "vec")
+    offered = offered.toDF(*asking.columns[:2], "block", "chunk", "id", "vec")
+    keys = ["label", "target", "block", "chunk"]
+    return asking.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(_best(k), f"id long, label {label}, neighbour long, distance double")
 
 
 def nearest(
@@ -59,101 +199,28 @@ def nearest(
     by: str,
     queries: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
-    max_pivots: int = MAX_PIVOTS,
-    sizes: dict | None = None,
 ) -> DataFrame:
-    """(id, label, rank, neighbour, distance, neighbour_vec): the k nearest other rows of the same class.
+    """(id, label, rank, neighbour, distance): the k nearest other rows of the same class.
 
-    Ties go to the smaller id; distances are rounded to nine places. ``queries`` limits whose neighbours are
-    wanted (same columns as ``rows``).
+    ``queries`` limits whose neighbours are wanted (same columns as ``rows``).
     """
-    shared_dir(rows.sparkSession)
-    pick = [F.col(identity).cast("long").alias("id"), F.col(by).alias("label"),
-            F.col(vector).cast("array<double>").alias("vec")]
-    label_type = rows.schema[by].dataType.simpleString()
-    base = rows.select(*pick)
-    sizes = sizes or class_sizes(base, "label")
-    pivots = _pivots(base, sizes, max_pivots, block_rows)
-    pivot_gaps = {label: _distances(points, points) for label, points in pivots.items()}
-
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cell, dist = np.zeros(len(batch), dtype="int32"), np.zeros(len(batch))
-            for label, part in batch.reset_index(drop=True).groupby("label"):
-                found = _distances(np.stack(part["vec"].to_numpy()), pivots[label])
-                cell[part.index] = found.argmin(axis=1)
-                dist[part.index] = found.min(axis=1)
-            yield batch.assign(cell=cell, dist=dist)
-
-    placed_schema = f"id long, label {label_type}, vec array<double>, cell int, dist double"
-    placed = base.mapInPandas(to_cells, placed_schema).checkpoint()
-    # One row per cell.
-    cells = {
-        (r["label"], r["cell"]): (r["n"], r["lo"], r["hi"])
-        for r in placed.groupBy("label", "cell").agg(
-            F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()
-    }
-    blocks = {key: math.ceil(n / block_rows) for key, (n, _, _) in cells.items()}
-    asked = placed if queries is None else placed.join(queries.select(F.col(identity).cast("long").alias("id")), "id", "left_semi")
-
-    found_schema = f"id long, label {label_type}, neighbour long, distance double, neighbour_vec array<double>"
-
-    def probe(routed: DataFrame) -> DataFrame:
-        """The k best candidates of each routed row in each block of its target cells."""
-        load = {(r["label"], r["target"]): r["n"] for r in routed.groupBy("label", "target").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not load:
-            return routed.sparkSession.createDataFrame([], found_schema)
-        plan = [(label, cell, blocks[label, cell], math.ceil(n / block_rows)) for (label, cell), n in load.items()]
-        # One row per cell.
-        plan_df = F.broadcast(routed.sparkSession.createDataFrame(plan, f"label {label_type}, target int, blocks int, chunks int"))
-        spread = F.pmod(hash_code(F.col("id"), "block"), F.col("blocks")).cast("int")
-        chunk = F.pmod(hash_code(F.col("id"), "chunk"), F.col("chunks")).cast("int")
-        asking = routed.join(plan_df, ["label", "target"]).select(
-            "label", "target", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk.alias("chunk"), "id", "vec")
-        offered = placed.withColumnRenamed("cell", "target").join(plan_df, ["label", "target"]).select(
-            *[F.col(c).alias(c) for c in ("label", "target", "id", "vec")], spread.alias("block"),
-            F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-
-        def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(left) and len(right):
-                ids, vectors = right["id"].to_numpy(), np.stack(right["vec"].to_numpy())
-                for me, label, vec in zip(left["id"], left["label"], left["vec"]):
-                    gaps = np.round(np.sqrt(((vectors - vec) ** 2).sum(axis=1)), 9)
-                    others = np.flatnonzero(ids != me)
-                    order = others[np.lexsort((ids[others], gaps[others]))[:k]]
-                    out += [(me, label, ids[j], gaps[j], vectors[j]) for j in order]
-            return pd.DataFrame(out, columns=["id", "label", "neighbour", "distance", "neighbour_vec"])
-
-        keys = ["label", "target", "block", "chunk"]
-        return asking.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(best, found_schema)
-
+    base = rows.where(F.col(vector).isNotNull()).select(
+        F.col(identity).cast("long").alias("id"), F.col(by).alias("label"), F.col(vector).cast("array<double>").alias("vec"))
+    placed, depth = place(base, block_rows)
+    width = placed.select(F.size("vec")).first()[0] if depth else 0
+    cells = boxes(placed, width, block_rows)
+    asked = placed if queries is None else placed.join(queries.select(F.col(identity).cast("long").alias("id")).distinct(), "id", "left_semi")
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
 
     def keep_best(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    own = keep_best(probe(asked.withColumn("target", F.col("cell")))).checkpoint()
+    own = keep_best(_probe(asked.withColumnRenamed("cell", "target"), placed, cells, k, block_rows))
+    if not depth:
+        return own
+    own = materialise(own, "own")
     radius = own.where(F.col("rank") == k).select("id", F.col("distance").alias("radius"))
-
-    def to_targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for label, part in batch.groupby("label"):
-                gaps = _distances(np.stack(part["vec"].to_numpy()), pivots[label])
-                between = pivot_gaps[label]
-                known = [c for c in range(len(pivots[label])) if (label, c) in cells]
-                lo = np.array([cells[label, c][1] for c in known])
-                hi = np.array([cells[label, c][2] for c in known])
-                for row, me, vec, cell, radius_ in zip(gaps, part["id"], part["vec"], part["cell"], part["radius"]):
-                    to = row[known]
-                    apart = between[cell][known]
-                    plane = np.where(apart > 0, (to**2 - row[cell] ** 2) / np.where(apart > 0, 2 * apart, 1.0), 0.0)
-                    bound = np.maximum(np.maximum(plane, to - hi), lo - to)
-                    limit = np.inf if np.isnan(radius_) else radius_ + _SLACK
-                    out += [(me, label, vec, known[j]) for j in np.flatnonzero(bound <= limit) if known[j] != cell]
-            yield pd.DataFrame(out, columns=["id", "label", "vec", "target"])
-
-    routed = asked.join(radius, "id", "left").mapInPandas(
-        to_targets, f"id long, label {label_type}, vec array<double>, target int").checkpoint()
-    return keep_best(own.drop("rank").unionByName(probe(routed)))
+    asked = asked.join(radius, "id", "left").fillna(float("inf"), ["radius"])
+    bounds = asked.groupBy("label", "cell").agg(F.max("radius").alias("radius"))
+    routed = materialise(route(asked, cell_pairs(cells, bounds, width, depth), width), "routed")
+    return keep_best(own.drop("rank").unionByName(_probe(routed, placed, cells, k, block_rows)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import materialise
 
 
 def running_totals(
@@ -26,12 +26,11 @@ def running_totals(
     Only few ``by`` groups are expected (classes, columns): one offset row exists per group and range.
     """
     spark = df.sparkSession
-    shared_dir(spark)
     by = by or []
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in by] + [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     # Range bounds come from a sample, so the assignment is written once and then only read.
-    ranged = df.repartitionByRange(partitions, *keys).withColumn("_range", F.spark_partition_id()).checkpoint()
+    ranged = materialise(df.repartitionByRange(partitions, *keys).withColumn("_range", F.spark_partition_id()), "ranged")
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*by, "_range")
@@ -39,8 +38,8 @@ def running_totals(
         .select(*by, "_range", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in totals])
     )
     inside = Window.partitionBy(*by, "_range").orderBy(*keys[len(by):]).rowsBetween(Window.unboundedPreceding, 0)
-    # At most ranges + groups rows, since ranges are contiguous in (by, order).
-    joined = ranged.join(F.broadcast(offsets), [*by, "_range"])
+    # At most ranges + groups rows, as ranges are contiguous in (by, order); written, so that Spark knows the size.
+    joined = ranged.join(materialise(offsets, "offsets"), [*by, "_range"])
     return joined.select(
         *df.columns,
         *[(F.sum(column).over(inside) + F.col(f"_off_{name}")).alias(name) for name, column in totals.items()],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mergescope.operators import balance, evaluate, prep
 from mergescope.operators.hashing import slice_by_hash
 from mergescope.operators.joins import lookup_join
+from mergescope.operators import neighbours
 from mergescope.operators.neighbours import nearest
 from mergescope.operators.ordered import dense_ranks, running_totals
 from mergescope.operators.quantiles import exact_quantiles
@@ -71,22 +72,63 @@ def test_slices_have_exact_sizes(spark, bits):
     assert rows(got, "c", "slice", "count") == [("cold", 0, 10), ("cold", 1, 40), ("cold", 2, 50), ("hot", 0, 20), ("hot", 1, 80), ("hot", 2, 100)]
 
 
-@pytest.mark.parametrize("block,pivots", [(2048, 4096), (7, 6)])
-def test_neighbours_equal_brute_force(spark, block, pivots):
+def nearest_by_force(points, labels, k):
+    out = {}
+    for i in range(len(points)):
+        gaps = np.round(np.sqrt(((points - points[i]) ** 2).sum(axis=1)), 9)
+        order = [j for j in np.lexsort((np.arange(len(points)), gaps)) if j != i and labels[j] == labels[i]][:k]
+        out[i] = [(r + 1, int(j), float(gaps[j])) for r, j in enumerate(order)]
+    return out
+
+
+def nearest_found(df, k, block, **kw):
+    found = {}
+    for r in nearest(df, k, "id", "vec", "label", block_rows=block, **kw).collect():
+        found.setdefault(r["id"], []).append((r["rank"], r["neighbour"], r["distance"]))
+    return {i: sorted(v) for i, v in found.items()}
+
+
+def vectors(spark, points, labels):
+    return spark.createDataFrame([(i, labels[i], p.tolist()) for i, p in enumerate(points)], "id long, label string, vec array<double>")
+
+
+@pytest.mark.parametrize("block,step", [(2048, 1), (30, 7), (3, 1)])
+def test_neighbours_equal_brute_force(spark, block, step):
     rng = np.random.default_rng(3)
     points = np.round(rng.normal(size=(90, 3)) * np.array([1, 5, 0.1]), 3)
     points[10] = points[11]
     points[60:75] = points[60]
-    labels = ["a" if i < 70 else "b" for i in range(90)]
-    df = spark.createDataFrame([(i, labels[i], points[i].tolist()) for i in range(90)], "id long, label string, vec array<double>")
-    got = nearest(df, 4, "id", "vec", "label", block_rows=block, max_pivots=pivots).collect()
-    found = {}
-    for r in got:
-        found.setdefault(r["id"], []).append((r["rank"], r["neighbour"], r["distance"]))
-    for i in range(90):
-        others = [(round(float(np.sqrt(((points[i] - points[j]) ** 2).sum())), 9), j) for j in range(90) if j != i and labels[j] == labels[i]]
-        want = [(k + 1, j, d) for k, (d, j) in enumerate(sorted(others)[:4])]
-        assert sorted(found[i]) == want
+    labels = ["a" if i < 70 else "b" for i in range(88)] + ["lone", "lone"]
+    df = vectors(spark, points, labels)
+    none = spark.createDataFrame([(500, "a", None)], df.schema)
+    some = df.where(F.col("id") % step == 0) if step > 1 else None
+    want = {i: v for i, v in nearest_by_force(points, labels, 4).items() if i % step == 0}
+    assert nearest_found(df.unionByName(none), 4, block, queries=some) == want
+
+
+def test_neighbours_of_no_rows_and_equal_rows(spark):
+    empty = spark.createDataFrame([], "id long, label string, vec array<double>")
+    assert nearest_found(empty, 3, 5) == {}
+    same = np.ones((40, 2))
+    assert nearest_found(vectors(spark, same, ["a"] * 40), 3, 4) == nearest_by_force(same, ["a"] * 40, 3)
+
+
+def test_rows_go_to_few_cells(spark):
+    """A class of very many blocks: most cells are out of a row's reach, and the answers are those of all pairs."""
+    rng = np.random.default_rng(8)
+    points = np.round(rng.normal(size=(40, 6))[rng.integers(0, 40, 3000)] * 10 + rng.normal(size=(3000, 6)) * 0.3, 4)
+    labels = ["a"] * 3000
+    df = vectors(spark, points, labels)
+    placed, depth = neighbours.place(df, 32)
+    cells = neighbours.boxes(placed, 6, 32)
+    sizes = [r["n"] for r in cells.collect()]
+    assert len(sizes) > 90 and max(sizes) <= 32 and sum(sizes) == 3000
+    want = nearest_by_force(points, labels, 4)
+    asked = placed.join(spark.createDataFrame([(i, v[-1][2]) for i, v in want.items()], "id long, radius double"), "id")
+    bounds = asked.groupBy("label", "cell").agg(F.max("radius").alias("radius"))
+    pairs = neighbours.cell_pairs(cells, bounds, 6, depth)
+    assert neighbours.route(asked, pairs, 6).count() / 3000 < len(sizes) / 20
+    assert nearest_found(df, 4, 32) == want
 
 
 def test_smote_properties(spark):
