@@ -146,12 +146,11 @@ def _best(query: np.ndarray, ids: np.ndarray, v: np.ndarray, seen: np.ndarray |
     near = query @ v.T
     if seen is not None:
         near = np.where(seen, near, -np.inf)
-    spare = min(k + 8, len(v))
-    top = np.argpartition(-near, spare - 1, axis=1)[:, :spare]
-    who = np.repeat(np.arange(len(query)), spare)
-    row = top.ravel()
-    keep = np.isfinite(near[who, row])
-    who, row = who[keep], row[keep]
+    # All rows up to the k-th best less what the product may be off, so that exact ties are settled by id below.
+    nth = min(k, len(v)) - 1
+    kth = -np.partition(-near, nth, axis=1)[:, nth]
+    margin = 1e-12 * np.sqrt((query ** 2).sum(axis=1) * (v ** 2).sum(axis=1).max())
+    who, row = np.nonzero((near >= (kth - margin)[:, None]) & np.isfinite(near))
     score = np.concatenate([(query[who[i:i + 65536]] * v[row[i:i + 65536]]).sum(axis=1) for i in range(0, len(who), 65536)]) if len(who) else np.zeros(0)
     order = np.lexsort((ids[row], -score, who))
     who, row, score = who[order], row[order], score[order]

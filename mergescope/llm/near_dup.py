@@ -14,8 +14,10 @@ bucket's smallest, then each with the nearest signature outside its own componen
 that is still in different components. So groups of copies cost a few pairs a document and no link between components
 is lost. Every pair is confirmed on the whole word sequences before it links.
 
-Null text counts as empty; null doc_id rows take part in nothing and stay their own class. Repeated rows and ties of
-texts fall into one class, whose id is the smallest doc_id. Other columns are ignored; an empty table gives no rows.
+Classes have numbers of their own, so rows that share a doc_id but not the text are different documents, linked only if
+their texts are. A component is called after its smallest doc_id; null ids take part, and a component of null ids alone has
+a null id. Null text counts as empty. Repeated rows and ties of texts fall into one class. Other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ from .common import arrow, by_group, components, mix, packed, rolling, unpack
 SHINGLE = 5
 SYMBOLS, DISTANCE, CHUNKS = 64, 31, 16
 ERRORS = DISTANCE // CHUNKS
-# Rows of a bucket compared at once with as many others.
-BLOCK = 2048
+# Rows of a bucket compared at once with as many others, and the shingles that they have in all on average.
+BLOCK, WEIGHT = 2048, 4_000_000
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -80,7 +82,7 @@ def hash_of(kept: tuple[int, ...]) -> int:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, sig) per row."""
+    """(doc_id, row, n_shingles, set_hash, sig) per row; ``row`` is the text's hash."""
 
     def run(t: pa.Table) -> pa.Table:
         n, digests, sigs = [], [], []
@@ -89,10 +91,11 @@ def profiles(docs: DataFrame) -> DataFrame:
             n.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
             sigs.append(signature(s).tobytes() if len(s) else None)
-        return pa.table({"doc_id": t.column("doc_id"), "n_shingles": pa.array(n, pa.int64()),
+        return pa.table({"doc_id": t.column("doc_id"), "row": t.column("row"), "n_shingles": pa.array(n, pa.int64()),
                          "set_hash": pa.array(digests, pa.binary()), "sig": pa.array(sigs, pa.binary())})
 
-    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_hash binary, sig binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return arrow(rows, run, "doc_id long, row long, n_shingles long, set_hash binary, sig binary")
 
 
 def keyed_classes(classes: DataFrame) -> DataFrame:
@@ -129,8 +132,8 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose whole sets are alike."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b"))
+    one = texts.select(F.col("rep").alias("a"), F.col("packed").alias("text_a"))
+    two = texts.select(F.col("rep").alias("b"), F.col("packed").alias("text_b"))
 
     def run(t: pa.Table) -> pa.Table:
         last, kept, keep, plain = None, None, [], zstandard.ZstdDecompressor().decompress
@@ -198,51 +201,74 @@ def _link(percent: int):
 
 
 def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest linked doc_id)."""
+    """Per row of docs: doc_id, row (the text's hash), n_shingles, component, component_id (the smallest linked doc_id).
+
+    ``component`` numbers the components within this result; it is null for rows without words.
+    """
     spark = docs.sparkSession
     profile = materialise(profiles(docs), "profiles")
-    with_set = profile.where("sig is not null and doc_id is not null")
-    classes = materialise(with_set.groupBy("set_hash").agg(
-        F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
+    with_set = profile.where("sig is not null")
+    # One row of each class stands for its text; the numbers are drawn once, as the table is written.
+    some = F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "row")).alias("some")
+    classes = with_set.groupBy("set_hash").agg(some, F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     keyed = keyed_classes(classes)
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = materialise(keyed.join(buckets, "key"), "members")
     # First round: every class with the smallest of each of its buckets.
     star = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     close = materialise(close_pairs(star, classes, percent), "close")
-    wanted = close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct()
-    whole = docs.select("doc_id", "text").where("doc_id is not null")
-    own = classes.select(F.col("rep").alias("doc_id"), "set_hash")
-    texts = materialise(_texts(whole, wanted), "texts")
+    wanted = close.select(F.col("a").alias("rep")).union(close.select(F.col("b").alias("rep"))).distinct()
+    texts = materialise(_texts(docs, classes, wanted), "texts")
     first = materialise(confirmed(close, texts, percent), "links")
     comp = components(spark, first)
     # Second round: buckets that still hold several components, every pair within the distance.
-    several = members.where("n > 2").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    several = several.withColumn("comp", F.coalesce("component", "rep")).drop("component", "hub")
-    mixed = several.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = several.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "slot", "rep", "comp")
-    with_sig = rows.join(classes.select("rep", "sig"), "rep")
-    schema = "key long, i int, j int, block int, slot int, rep long, comp long, sig binary"
-    flagged = by_group(with_sig.select("key", "i", "j", "block", "slot", "rep", "comp", "sig"), ["key", "i", "j"], _flag, schema)
-    flagged = materialise(flagged, "flagged")
-    more = flagged.select(F.col("rep").alias("doc_id")).distinct()
-    later = materialise(_texts(whole, more), "texts")
-    second = by_group(flagged.join(later.withColumnRenamed("doc_id", "rep"), "rep"), ["key", "i", "j"], _link(percent), "a long, b long")
-    second = materialise(second, "links")
+    flagged = materialise(by_group(mixed_blocks(members, classes, comp), ["key", "i", "j"], _flag, BLOCKS), "flagged")
+    later = materialise(_texts(docs, classes, flagged.select("rep").distinct()), "texts")
+    second = materialise(by_group(flagged.join(later, "rep"), ["key", "i", "j"], _link(percent), "a long, b long"), "links")
     comp = components(spark, first.unionAll(second))
-    linked = own.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "set_hash", F.coalesce("component", "doc_id").alias("component_id"))
-    out = with_set.drop("sig").join(linked, "set_hash").select("doc_id", "n_shingles", "component_id")
-    alone = profile.where("sig is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionAll(alone)
+    linked = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", "low", F.coalesce("component", "rep").alias("component"))
+    linked = materialise(linked, "linked")
+    names = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = linked.join(names, "component").select("set_hash", "component", "component_id")
+    out = with_set.drop("sig").join(named, "set_hash").select("doc_id", "row", "n_shingles", "component", "component_id")
+    none = F.lit(None).cast("long").alias("component")
+    return out.unionAll(profile.where("sig is null").select("doc_id", "row", "n_shingles", none, F.col("doc_id").alias("component_id")))
+
+
+def survivors(found: DataFrame) -> DataFrame:
+    """(doc_id, row) of one document of each component of ``groups``: the smallest id, null last, then the smallest text hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    return found.where("component is not null").groupBy("component").agg(first).select("first.doc_id", "first.row")
 
 
-def _texts(whole: DataFrame, ids: DataFrame) -> DataFrame:
-    """One packed text of each wanted id. Both sides grow with the corpus, so the plan is the same at any size."""
-    return packed(whole).join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("packed").alias("packed"))
+BLOCKS = "key long, i int, j int, block int, slot int, rep long, comp long, sig binary"
+
+
+def mixed_blocks(members: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (i, j) of blocks of buckets that hold several components, with the rows of both.
+
+    Blocks are bounded in rows and in shingles. Two blocks that are of one component alone are not paired.
+    """
+    several = members.where("n > 2").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    several = several.withColumn("comp", F.coalesce("component", "rep")).drop("component", "hub", "n")
+    mixed = several.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    rows = materialise(several.join(mixed, "key").join(classes.select("rep", "sig", "n"), "rep"), "mixed")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / WEIGHT)).cast("int").alias("parts")
+    rows = rows.join(rows.groupBy("key").agg(parts), "key").withColumn("block", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    rows = materialise(rows.select("key", "block", "slot", "rep", "comp", "sig"), "blocks")
+    blocks = materialise(rows.groupBy("key", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "spans")
+    left, right = (blocks.select("key", F.col("block").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ij")
+    pairs = left.join(right, "key").where("i <= j and not (low_i = high_i and low_j = high_j and low_i = low_j)").select("key", "i", "j")
+    sides = pairs.select("*", F.col("i").alias("block")).unionAll(pairs.where("i < j").select("*", F.col("j").alias("block")))
+    return rows.join(sides, ["key", "block"]).select("key", "i", "j", "block", "slot", "rep", "comp", "sig")
+
+
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, packed): the text of each wanted class. Both sides grow with the corpus, so the plan is the same at any size."""
+    whole = packed(docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text"))
+    places = classes.join(wanted, "rep").select("rep", "some.doc_id", "some.row")
+    return whole.join(places.hint("merge"), ["doc_id", "row"]).groupBy("rep").agg(F.min("packed").alias("packed"))
 
 
 SQL = r"""

@@ -39,7 +39,7 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_minhash_near_dedup", "near-duplicate documents by a multi-index Hamming join of MinHash signatures", near_dup.SQL)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     found = near_dup.groups(spread_scan(table(spark, sf, "documents").select("doc_id", "text")))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 @query("op4_fm_substring_dedup", "repeated 50-word passages by FM-index shards", fm_dedup.SQL)

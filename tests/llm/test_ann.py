@@ -55,6 +55,20 @@ def test_ties_copies_and_bad_vectors(spark, monkeypatch):
     assert same == [201, 202, 203, 204, 205][:len(same)]
 
 
+def test_more_tied_rows_than_asked_for(spark):
+    """Different vectors of equal products: the smallest ids win, in one block and over all."""
+    rng = np.random.default_rng(6)
+    x = np.unique(rng.integers(0, 2, (900, 12)), axis=0).astype(float)
+    x = rng.permutation(x[x.any(axis=1)])
+    ids = list(range(len(x)))
+    want = brute(ids, x, ids[:30], 5)
+    who, found, _ = ann._best(x[:30], np.arange(len(x)), x, ~np.eye(30, len(x), dtype=bool), 5)
+    assert all(found[who == q].tolist() == [i for i, _ in want[q]] for q in range(30))
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = rows_of(ann.search(t, ann.F.col("vec_id") < 30, 5, 1.0))
+    assert got == want
+
+
 def test_few_rows(spark):
     t = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 1.0]), (20, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert rows_of(ann.search(t, ann.F.col("vec_id") % 20 == 0)) == {0: [(20, 5.0), (1, 2.5)], 20: [(0, 5.0), (1, 2.5)]}

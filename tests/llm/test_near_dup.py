@@ -72,7 +72,37 @@ def test_large_bucket_in_blocks(spark, docs, monkeypatch):
     assert run(docs, rows) == brute(rows)
 
 
+def test_blocks_by_weight_and_only_where_components_differ(spark, docs, monkeypatch):
+    """Long texts make blocks of their own, and blocks of one component alone are not paired."""
+    setup(spark)
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "WEIGHT", 300)
+    rng = random.Random(9)
+    base = [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice([1, 2, 3])))) for i in range(50)]
+    assert run(docs, rows) == brute(rows)
+    schema = "rep long, slot int, key long, hub long, n long"
+    members = spark.createDataFrame([(i, 0, 7, 0, 64) for i in range(64)], schema)
+    classes = spark.createDataFrame([(i, bytes(128), 1) for i in range(64)], "rep long, sig binary, n long")
+    comp = spark.createDataFrame([(i, 0) for i in range(63)], "id long, component long")
+    got = near_dup.mixed_blocks(members, classes, comp).collect()
+    odd = {r.block for r in got if r.rep == 63}
+    assert all(odd & {r.i, r.j} for r in got) and len({r.rep for r in got}) == 64
+
+
+def test_one_id_with_different_texts(docs):
+    """Texts under one id are judged apart, and each is confirmed on itself."""
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    got = near_dup.groups(docs([(1, x), (1, y), (2, y + " end"), (3, x + " end"), (1, y)])).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.component, []).append((r.doc_id, r.component_id))
+    assert sorted(map(sorted, by.values())) == [[(1, 1), (1, 1), (2, 1)], [(1, 1), (3, 1)]]
+    assert len(near_dup.survivors(near_dup.groups(docs([(1, x), (1, y), (2, y)]))).collect()) == 2
+
+
 def test_empty_table_and_null_id(docs):
     assert run(docs, []) == {}
-    got = near_dup.groups(docs([(None, "a b c d e f"), (None, "a b c d e f"), (4, None)])).collect()
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [("4", 0, "4"), ("None", 2, "None"), ("None", 2, "None")]
+    got = near_dup.groups(docs([(None, "a b c d e f"), (None, "a b c d e f"), (4, None), (5, "g h"), (None, "G h")])).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [
+        ("4", 0, "4"), ("5", 1, "5"), ("None", 1, "5"), ("None", 2, "None"), ("None", 2, "None")]
