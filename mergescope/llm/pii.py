@@ -11,7 +11,12 @@ apostrophes and hyphens, initials and particles such as "von", which stay. Scrip
 cased scripts other than those of SYLLABLES get Latin surrogates.
 
 Collision check: of entities of a type that draw the same replacement, or one that occurs as an entity itself, all but
-the first draw again, until all replacements are distinct and none is an entity of the corpus.
+the first draw again, until all replacements are distinct and none is an entity of the corpus. Where a format allows it,
+later draws have more to choose from: longer invented words, larger numbers in the mail domain, reserved and then all IPv4
+addresses behind 10.0.0.0/8. A type whose format has no replacement left after ROUNDS draws is an error that names it.
+Initials change by a keyed permutation of their alphabet, so different ones stay different; capitals of no alphabet stay.
+
+The key is the caller's secret: whoever knows it can look a replacement up.
 
 Null and empty texts stay as they are. Repeated rows change alike; rows are matched by doc_id and the text's hash, so
 null ids and ties do no harm. All columns pass through, but for one named
@@ -20,6 +25,7 @@ null ids and ties do no harm. All columns pass through, but for one named
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -39,7 +45,11 @@ SYLLABLES = {
     "armenian": ["բա", "դե", "ֆի", "գո", "լու", "մա", "նե", "պի", "րո", "սու", "տա", "վե", "լի", "կո", "րու", "սա"],
 }
 ENDS = {"latin": ("n", "na", "r"), "cyrillic": ("н", "на", "р"), "greek": ("ν", "να", "ρ"), "armenian": ("ն", "նա", "ր")}
-INITIALS = {"latin": "ABCDEFGHIJKLMNOPRSTVWZ", "cyrillic": "АБВГДЕЖЗИКЛМНОПРСТУФ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΦ", "armenian": "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄ"}
+# First and last code point of alphabets whose capitals are permuted among themselves: Latin, with marks, extended, Greek,
+# Cyrillic, Armenian.
+ALPHABETS = [(0x41, 0x5A), (0xC0, 0xDE), (0x100, 0x17F), (0x391, 0x3A9), (0x400, 0x42F), (0x531, 0x556)]
+# Draws before a type counts as used up.
+ROUNDS = 300
 PARTICLES = ["van", "von", "vom", "zu", "zum", "zur", "der", "den", "de", "del", "della", "di", "da", "dos", "do", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten"]
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _H, _HEX = "[0-9A-Fa-f]{1,4}", "[0-9A-Fa-f:]"
@@ -104,10 +114,14 @@ def canonical(kind_: Column, value: Column) -> Column:
             .when(kind_ == "account", F.replace(value, F.lit(" "), F.lit(""))).otherwise(value))
 
 
-def _draw(key: str, i: Column, size: int) -> Column:
+def _number(key: str, i: Column, size: Column) -> Column:
     """A number below ``size`` from the keyed hash of type, canonical form, attempt and place."""
     seed = F.concat_ws("|", F.lit(key), "kind", "canon", F.col("attempt").cast("string"), i.cast("string"))
-    return F.pmod(F.conv(F.substring(F.sha2(seed, 256), 1, 12), 16, 10).cast("long"), F.lit(size)).cast("int")
+    return F.pmod(F.conv(F.substring(F.sha2(seed, 256), 1, 12), 16, 10).cast("long"), size)
+
+
+def _draw(key: str, i: Column, size: int) -> Column:
+    return _number(key, i, F.lit(size)).cast("int")
 
 
 def _pick(alphabet: str, place: Column) -> Column:
@@ -161,12 +175,14 @@ def _by_script(of: Callable[[str], Column]) -> Column:
 
 
 def _initial(key: str) -> Column:
-    """Another capital of the script; initials are no entities of their own, so two may get the same."""
-    def of(script: str) -> Column:
-        left = F.replace(F.lit(INITIALS[script]), F.col("canon"), F.lit(""))
-        return F.substring(left, _draw(key, F.lit(0), len(INITIALS[script]) - 1) + 1, F.lit(1))
-
-    return _by_script(of)
+    """Another capital of the alphabet, by a keyed round through all of it; so no two initials get the same."""
+    old, new = "", ""
+    for first, last in ALPHABETS:
+        capitals = [chr(c) for c in range(first, last + 1) if chr(c).isupper()]
+        turn = sorted(capitals, key=lambda c: hashlib.sha256(f"{key}|initial|{c}".encode()).digest())
+        old += "".join(turn)
+        new += "".join(turn[1:] + turn[:1])
+    return F.translate("canon", old, new)
 
 
 def drawn(entities: DataFrame, key: str) -> DataFrame:
@@ -176,9 +192,12 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
         k == "phone", _scrambled(key, F.col("canon"), F.locate("|", "canon"))).when(k == "account", _scrambled(key, F.col("canon"), 2))
                             .when(k == "secret", _scrambled(key, F.col("canon"), 0, "abcdef")).otherwise(_scrambled(key, F.col("canon"))))
     local = F.substring_index("scrambled", "@", 1)
-    ip = F.concat_ws(".", F.lit("10"), *[_draw(key, F.lit(i), 256).cast("string") for i in range(3)])
+    domains = F.pow(F.lit(10), 3 + F.least("attempt", F.lit(11))).cast("long")
+    tries = F.col("attempt")
+    first = F.when(tries < 4, 10).when(tries < 16, 240 + _draw(key, F.lit(3), 15)).otherwise(1 + _draw(key, F.lit(3), 254))
+    ip = F.concat_ws(".", first.cast("string"), *[_draw(key, F.lit(i), 256).cast("string") for i in range(3)])
     ip6 = F.concat_ws(":", F.lit("fd00"), *[F.lower(F.hex(_draw(key, F.lit(i), 65536))) for i in range(7)])
-    surrogate = (F.when(k == "email", F.concat(local, F.lit("@mail"), _draw(key, F.lit(-1), 1000).cast("string"), F.lit(".example.org")))
+    surrogate = (F.when(k == "email", F.concat(local, F.lit("@mail"), _number(key, F.lit(-1), domains).cast("string"), F.lit(".example.org")))
                  .when(k == "ip", ip).when(k == "ip6", ip6).when(k == "card", _card(key)).when(k.isin("male", "female", "surname"), _word(key)).otherwise(F.col("scrambled")))
     return e.withColumn("surrogate", surrogate).drop("scrambled")
 
@@ -188,16 +207,20 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     waiting = entities.select("kind", "canon").withColumn("attempt", F.lit(0))
     originals = entities.select("kind", F.col("canon").alias("surrogate"))
     done: list[DataFrame] = []
-    while True:
+    for _ in range(ROUNDS):
         tried = materialise(drawn(waiting, key), "drawn")
         fresh = tried.join(originals, ["kind", "surrogate"], "left_anti")
         if done:
             fresh = fresh.join(reduce(DataFrame.unionAll, done).select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         first = materialise(fresh.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")), "assigned")
         done.append(first.select("kind", "canon", "surrogate"))
+        if len(done) > 8:
+            done = [materialise(reduce(DataFrame.unionAll, done), "assigned")]
         waiting = tried.join(first, ["kind", "canon"], "left_anti").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
         if waiting.isEmpty():
             return reduce(DataFrame.unionAll, done)
+    kinds = [r["kind"] for r in waiting.select("kind").distinct().orderBy("kind").limit(len(KINDS) + 4).collect()]
+    raise RuntimeError(f"no replacements left for entities of {', '.join(kinds)} after {ROUNDS} draws")
 
 
 def _fitted(raw: Column, digits: Column) -> Column:
@@ -238,8 +261,10 @@ def replacements(values: DataFrame, key: str) -> DataFrame:
     return p.unionAll(n)
 
 
-def mask(docs: DataFrame, key: str = "surrogates", text: str = "text") -> DataFrame:
+def mask(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All rows and columns, with entities of the text replaced, and ``n_entities``."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
     columns = [c for c in docs.columns if c != "n_entities"]
     body = F.col(text)
     # The whole pattern decides; the sign spares it most texts.

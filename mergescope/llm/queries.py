@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,9 +74,24 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+KEY = "spark.mergescope.surrogates.key"
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of surrogates: the session's setting, or else one drawn for this session and kept in it.
+
+    Set it where surrogates must agree between sessions.
+    """
+    key = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY, key)
+    return key
+
+
 @query("op9_pii_surrogates", "keyed, type-consistent replacements of personal data in documents")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.mask(table(spark, sf, "documents").select("doc_id", "text"))
+    return pii.mask(table(spark, sf, "documents").select("doc_id", "text"), surrogate_key(spark))
 
 
 @query("op1_ann", "twenty nearest vectors by a hierarchical k-means tree with best-bin-first search")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from mergescope.llm import pii
 from mergescope.llm.common import setup
 
@@ -28,7 +30,7 @@ def test_surrogates(spark, docs):
     rows = [(i, " ".join(rng.choice(["the", "version 3.0,", "in 2019", "é", "1.2.3.4.5", "\n"]) if rng.random() < 0.7 else rng.choice(entity)()
                          for _ in range(rng.randrange(60)))) for i in range(80)]
     rows += [(90, None), (91, ""), (5, rows[5][1]), (None, rows[6][1]), (92, "user@x.org " * 3000)]
-    out = pii.mask(docs(rows)).collect()
+    out = pii.mask(docs(rows), "secret").collect()
     assert len(out) == len(rows)
     source = {}
     for i, t in rows:
@@ -63,7 +65,7 @@ def test_every_kind_alone_in_a_text(spark, docs):
              "(415) 555-2671", "DE89370400440532013000", "4539148803436467", "078-05-1120", "Mr Smith", "Frau. Weber"]
     rows = [(i, f"see {t} there") for i, t in enumerate(alone)] + [(i + 100, f"see {t} there in 2019") for i, t in enumerate(alone)]
     rows += [(200, "see 7 of a1 there"), (201, "no sign")]
-    out = {r.doc_id: r for r in pii.mask(docs(rows)).collect()}
+    out = {r.doc_id: r for r in pii.mask(docs(rows), "secret").collect()}
     assert len(out) == len(rows)
     for i, t in enumerate(alone):
         assert out[i].n_entities == 1 and t not in out[i].text, t
@@ -79,7 +81,7 @@ def test_whole_names_and_bare_parts(spark, docs):
             "at 2001:db8::ff00:42:8329 or 2001:0DB8:0:0:0:ff00:42:8329.": ["2001", "8329"], "at ::ffff:192.0.2.128 now": ["192", "128"],
             "call 555-123-4567 or (555) 123-4567 now": ["555-123-4567", "123-4567"], "Mr Smith john.doe@x.org": ["Smith", "doe@x"]}
     kept = ["a[1::2] std::add a::b 12:34:56", "Smith and Brown", "no one"]
-    out = {r.doc_id: r.text for r in pii.mask(docs(list(enumerate([*gone, *kept])))).collect()}
+    out = {r.doc_id: r.text for r in pii.mask(docs(list(enumerate([*gone, *kept]))), "secret").collect()}
     for i, (t, words) in enumerate(gone.items()):
         assert not [w for w in words if w in out[i]], (t, out[i])
     assert [out[len(gone) + i] for i in range(len(kept))] == kept
@@ -101,4 +103,32 @@ def test_collisions_draw_again(spark, monkeypatch):
 
 
 def test_empty_table(docs):
-    assert pii.mask(docs([])).collect() == []
+    assert pii.mask(docs([]), "secret").collect() == []
+
+
+def test_assignment_ends_where_a_format_is_short_of_replacements(spark, docs, monkeypatch):
+    """More addresses of one short form than one draw has replacements for; and a form without any left is an error."""
+    rows = [(i, f"write to _@d{i}.org") for i in range(1300)]
+    out = pii.mask(docs(rows), "secret").collect()
+    found = {r.text.split()[-1] for r in out}
+    assert len(found) == 1300 and not found & {f"_@d{i}.org" for i in range(1300)}
+    monkeypatch.setattr(pii, "ROUNDS", 3)
+    digits = spark.createDataFrame([("social", str(i)) for i in range(10)], "kind string, canon string")
+    with pytest.raises(RuntimeError, match="social"):
+        pii.assign(digits, "secret")
+
+
+def test_initials_keep_people_apart(docs):
+    names = [f"Mr {chr(c)}. Smith" for c in range(65, 91)] + ["Mr É. Smith", "Mr Ж. Smith", "Mr Ω. Smith"]
+    out = [r.text for r in pii.mask(docs(list(enumerate(names))), "secret").orderBy("doc_id").collect()]
+    assert len(set(out)) == len(names) and not any(a.split()[1] == b.split()[1] for a, b in zip(names, out))
+    other = [r.text for r in pii.mask(docs(list(enumerate(names))), "another").orderBy("doc_id").collect()]
+    assert other != out
+    with pytest.raises(ValueError):
+        pii.mask(docs([(1, "x")]), "")
+
+
+def test_column_of_the_name_that_is_added(docs):
+    table = docs([(1, "a@b.org"), (2, "plain")]).withColumnRenamed("n_chars", "n_entities")
+    got = pii.mask(table, "secret").orderBy("doc_id").collect()
+    assert [r.n_entities for r in got] == [1, 0] and got[1].text == "plain"

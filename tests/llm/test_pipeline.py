@@ -50,3 +50,12 @@ def test_stages_on_odd_rows(spark, sf, docs):
     got = sorted(((str(r.doc_id), r.text) for r in table.collect()))
     assert {r.score for r in table.collect()} == {"src0"} and {r.sig for r in table.collect()} == {"en"}
     assert [i for i, _ in got] == ["1", "2", "3", "None"] and "@" in got[-1][1] and got[-1][1] != "x@example.com"
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark, sf, docs):
+    setup(spark)
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    rows = [(1, x), (1, y), (2, y + " end"), (None, x + " end"), (None, "some other words in a line"), (None, "some other words in a line"), (None, "")]
+    table = docs(rows).withColumnRenamed("lang", "_row").withColumnRenamed("source", "row")
+    got = corpus_pipeline.drop_near_duplicates(spark, table, sf).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("1", x), ("1", y), ("None", "some other words in a line"), ("None", "")])
