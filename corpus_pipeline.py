@@ -1,7 +1,7 @@
 """A training corpus from documents: each stage works on what the one before it kept.
 
-Rows with a null doc_id stay through the stages, as no other row can be told to be the same document. Empty tables stay
-empty. All stages but the last return the columns they are given.
+Rows are known by doc_id and text, so rows with a null doc_id, or one that other texts share, are treated like others. Empty
+tables stay empty. All stages but the last return the columns they are given.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mergescope.llm import bpe, decontam, near_dup, pii, toxicity
 from mergescope.llm.common import setup, spread_scan, table
-from mergescope.llm.queries import toxic_model
+from mergescope.llm.queries import surrogate_key, toxic_model
 from mergescope.session import materialise
 
 
@@ -22,11 +22,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id, once."""
-    groups = near_dup.groups(spread_scan(docs.select("doc_id", "text")))
-    kept = materialise(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    """One document of each group of near duplicates: the smallest doc_id, null last, then the smallest text hash.
+
+    Rows are known by id and text, so texts that share an id are judged apart. Rows without words all stay.
+    """
+    kept = near_dup.survivors(near_dup.groups(spread_scan(docs.select("doc_id", "text"))))
+    place = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id")]
+    kept = materialise(kept.select(*place, F.col("row").alias("_row")), "kept")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # The row as one value, so that its columns may have any name.
+    named = docs.where(worded).select(F.struct(*docs.columns).alias("_all"), *place, F.xxhash64("text").alias("_row"))
+    named = named.join(kept.hint("merge"), ["_none", "_id", "_row"], "left_semi").dropDuplicates(["_none", "_id", "_row"])
+    return named.select("_all.*").unionAll(docs.where(~worded))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data and the length brought up to date."""
-    masked = pii.mask(docs).select(*docs.columns)
+    masked = pii.mask(docs, surrogate_key(spark)).select(*docs.columns)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
