@@ -1,8 +1,8 @@
 """Training, tuning, stacking and comparing models with Spark ML.
 
 Support vector machines are linear (one against the rest beyond two classes); where a probability is asked of one, it
-is the logistic function of its margin. Kernel machines and neural regressors have no distributed counterpart; the
-nearest models here are a robust linear regression and boosted trees, reported under their own names.
+is the logistic function of its margin. Kernel machines and neural regressors have no distributed counterpart; boosted
+trees stand in for the latter, under their own name.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import tables
-from ..operators import balance, evaluate, prep
+from ..operators import balance, binning, evaluate, indexing, prep
 from ..operators.hashing import hash_fraction
+from ..operators.linear import LeastSquares, LinearSVR
 from ..session import materialise
 
 SEED = 42
@@ -66,9 +67,10 @@ def classifier_candidates(inputs: int, classes: int, features="features", label=
     forest = forest_classifier(features, label)
     forest_grid = (ParamGridBuilder().addGrid(forest.numTrees, list(trees)).addGrid(forest.maxDepth, list(depths))
                    .addGrid(forest.minInstancesPerNode, list(leaves)).build())
-    svm = svm_classifier(features, label, classes, maxIter=iterations) if classes == 2 else svm_classifier(features, label, classes)
+    svm = svm_classifier(features, label, classes, maxIter=iterations)
+    # A map of the inner machine's parameters reaches it when one-against-the-rest is copied with that map.
     inner = svm if classes == 2 else svm.getClassifier()
-    svm_grid = ParamGridBuilder().addGrid(inner.regParam, list(penalties)).build() if classes == 2 else [{}]
+    svm_grid = ParamGridBuilder().addGrid(inner.regParam, list(penalties)).build()
     network = network_classifier(inputs, classes, hidden[0], features, label, maxIter=iterations)
     shapes = [[inputs, *h, classes] for h in hidden]
     network_grid = ParamGridBuilder().addGrid(network.layers, shapes).build()
@@ -77,14 +79,14 @@ def classifier_candidates(inputs: int, classes: int, features="features", label=
 
 
 def regressor_candidates(features="features", label="label", trees=(10, 50, 100), depths=(10, 20, 30), leaves=(1, 2, 5),
-                         penalties=(0.01, 0.1, 1.0), rounds=(10, 20)) -> list[Candidate]:
+                         costs=(0.1, 1.0, 10.0), rounds=(10, 20)) -> list[Candidate]:
     forest = RandomForestRegressor(featuresCol=features, labelCol=label, seed=SEED)
     forest_grid = (ParamGridBuilder().addGrid(forest.numTrees, list(trees)).addGrid(forest.maxDepth, list(depths))
                    .addGrid(forest.minInstancesPerNode, list(leaves)).build())
-    robust = LinearRegression(featuresCol=features, labelCol=label, loss="huber", maxIter=100)
+    svr = LinearSVR(featuresCol=features, labelCol=label)
     boosted = GBTRegressor(featuresCol=features, labelCol=label, seed=SEED)
     return [Candidate("RandomForestRegressor", forest, forest_grid),
-            Candidate("HuberLinearRegression", robust, ParamGridBuilder().addGrid(robust.regParam, list(penalties)).build()),
+            Candidate("LinearSVR", svr, ParamGridBuilder().addGrid(svr.cost, list(costs)).build()),
             Candidate("GBTRegressor", boosted, ParamGridBuilder().addGrid(boosted.maxIter, list(rounds)).build())]
 
 
@@ -103,26 +105,6 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
-def feature_stages(df: DataFrame, label: str, keep: int | None = 20, select: str = "categorical", scale: bool = True) -> tuple[list, str]:
-    """Stages that index strings, assemble a vector, select the best features and scale them by their deviation.
-
-    ``select`` tests features as categories (chi-square) or as numbers (F).
-    """
-    names = string_columns(df.drop(label))
-    columns = [c for c in df.columns if c not in (label, "id")]
-    stages: list = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in names]
-    stages.append(VectorAssembler(inputCols=[f"{c}_index" if c in names else c for c in columns], outputCol="assembled"))
-    last = "assembled"
-    if keep is not None and keep < len(columns):
-        selector = UnivariateFeatureSelector(featuresCol=last, labelCol=label, outputCol="selected", selectionMode="numTopFeatures")
-        stages.append(selector.setFeatureType("categorical" if select == "categorical" else "continuous").setLabelType("categorical").setSelectionThreshold(keep))
-        last = "selected"
-    if scale:
-        stages.append(StandardScaler(inputCol=last, outputCol="features", withStd=True, withMean=False))
-        last = "features"
-    return stages, last
-
-
 def training_table(df: DataFrame, name: str = "model", identity: str = "id") -> DataFrame:
     """Write a table that models are trained on, evenly spread by id: training is bound by processors, so even a small
     table should keep all of them busy."""
@@ -325,17 +307,22 @@ def fit_stacks(bases: list[Estimator], lasts: dict[str, Estimator], train: DataF
 
 def stacking_classifier(inputs: int, classes: int, label: str = "label", trees: int = 100, iterations: int = 100, hidden=(10,)):
     """(bases, last): forest, support vector machine and network under a logistic regression."""
-    bases = [forest_classifier("features", label, numTrees=trees), svm_classifier("features", label, classes, **({"maxIter": iterations} if classes == 2 else {})),
+    bases = [forest_classifier("features", label, numTrees=trees), svm_classifier("features", label, classes, maxIter=iterations),
              network_classifier(inputs, classes, hidden, "features", label, maxIter=iterations)]
     return bases, LogisticRegression(featuresCol="_stack", labelCol=label)
 
 
+def stacking_bases(label: str = "label", trees: int = 100) -> list[Estimator]:
+    """Base models of stacked regressors: forest, linear support vector regression, boosted trees."""
+    return [RandomForestRegressor(labelCol=label, seed=SEED, numTrees=trees), LinearSVR(labelCol=label), GBTRegressor(labelCol=label, seed=SEED)]
+
+
 def stacking_regressors(label: str = "label") -> dict[str, Estimator]:
     """Last models to try on top of stacked regressors."""
     common = {"featuresCol": "_stack", "labelCol": label}
     return {
-        "LinearRegression": LinearRegression(**common),
-        "Ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0, **common),
+        "LinearRegression": LeastSquares(**common),
+        "Ridge": LeastSquares(penalty=1.0, **common),
         "ElasticNet": LinearRegression(regParam=1.0, elasticNetParam=0.5, **common),
         "GBTRegressor": GBTRegressor(seed=SEED, **common),
     }
@@ -358,17 +345,23 @@ def regression_job(spark: SparkSession, df: DataFrame, identity: str, features:
 
 
 def spark_ml_job(spark: SparkSession, df: DataFrame, label: str, candidates=None, keep: int = 20, k: int = 5, classes: int = 2):
-    """Fill by zero, index, assemble, select, scale (all fitted on the training rows only), tune, compare.
+    """Fill by zero, index, select by chi-square over quantile bins, assemble, scale (all fitted on the training rows only),
+    tune, compare.
 
     ``df`` has an ``id``; returns the comparison and (model, prediction, n).
     """
     filled = materialise(prep.fill_zero(df), "model")
     train, test = balance.random_split(filled, "id")
-    stages, last = feature_stages(filled, label, keep)
-    fitted = Pipeline(stages=stages).fit(train)
-    shape = [F.col("id"), F.col(label).cast("double").alias("label"), F.col(last).alias("features")]
-    train, test = (training_table(fitted.transform(part).select(*shape), "vectors") for part in (train, test))
-    width = min(keep, len(filled.columns) - 2)
+    names, columns = string_columns(df.drop(label)), [c for c in df.columns if c not in (label, "id")]
+    dictionary = indexing.fit_dictionary(train, names) if names else None
+    train, test = (indexing.encode(part, dictionary, names) if names else part for part in (train, test))
+    train = materialise(train, "indexed")
+    chosen = binning.select_features(train, columns, label, keep) if keep < len(columns) else columns
+    shape = [F.col("id"), F.col(label).cast("double").alias("label")]
+    train, test = (training_table(to_vector(part, chosen, shape, "chosen"), "vectors") for part in (train, test))
+    scaler = StandardScaler(inputCol="chosen", outputCol="features", withStd=True, withMean=False).fit(train)
+    train, test = (scaler.transform(part).drop("chosen") for part in (train, test))
+    width = len(chosen)
     candidates = candidates or classifier_candidates(width, classes, trees=(100, 200, 300), leaves=(1,), hidden=((10, 5), (15, 10)), iterations=300)
     table, scored = compare_classifiers(spark, candidates, with_folds(train, "id", "label", k), test, classes, "accuracy", k)
     counts = [s.groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("model"), "prediction", "n") for name, s in scored.items()]
