@@ -10,7 +10,8 @@ from ..operators import prep
 from ..operators.joins import lookup_join
 from ..operators.unions import preview, union_tables
 from ..plans import cleaning, issues as issue_plans, pulls as plans
-from .pulls import BASIC
+from ..session import materialise
+from .pulls import BASIC, FEATURE_VIEWS, FEATURES as FEATURE_SQL, pull_features
 from .registry import query
 from .texts import TOKEN_COUNTS, label_sql
 
@@ -204,30 +205,29 @@ def _(spark, sf):
 
 
 # --- targets -------------------------------------------------------------------------------------
-TARGET = """3.0::DOUBLE * (num_commits > 10)::INT + 2.0::DOUBLE * merge_status::INT + 4.0::DOUBLE * (num_reviewers % 8) + 4.0::DOUBLE * (num_comments % 5)"""
+# The full table's columns, as they are scored: ratings and issue lists as codes in order, the rest as numbers.
+CODED = f"""SELECT *, dense_rank() OVER (ORDER BY coalesce(code_quality_rate, 'nan')) - 1 rate_code, dense_rank() OVER (ORDER BY code_quality_issues) - 1 issue_code
+  FROM ({FEATURE_SQL})"""
 
 
 @query("classification_target", "P9 P11", f"""
-SELECT pr_id, score, (score >= median(score) OVER ())::INT target FROM (SELECT pr_id, {TARGET} score FROM ({BASIC}))""", "pulls reviews")
+SELECT pr_id, score, (score >= median(score) OVER ())::INT target FROM (SELECT pr_id,
+  3.0::DOUBLE * is_bug_fix::INT + 2.0::DOUBLE * merge_status::INT + 4.0::DOUBLE * rate_code + 4.0::DOUBLE * issue_code score FROM ({CODED}))""", FEATURE_VIEWS)
 def _(spark, sf):
-    df = basic(spark, sf).select(
-        "pr_id", (F.col("num_commits") > 10).alias("is_bug_fix"), "merge_status",
-        (F.col("num_reviewers") % 8).alias("code_quality_rate"), (F.col("num_comments") % 5).alias("code_quality_issues"))
-    return cleaning.binarise_at_median(df.select("pr_id", cleaning.classification_score().alias("score")), "score", "target")
+    df = materialise(pull_features(spark, sf).select("pr_id", "is_bug_fix", "merge_status", "code_quality_rate", "code_quality_issues"), "features")
+    coded = prep.ordinal_encode(df, ["code_quality_rate", "code_quality_issues"])
+    return cleaning.binarise_at_median(coded.select("pr_id", cleaning.classification_score().alias("score")), "score", "target")
 
 
 @query("regression_target", "P10 P11", f"""
 SELECT pr_id, score, (score >= median(score) OVER ())::INT target FROM (SELECT pr_id, round(2.0::DOUBLE * files_changed
-  + 2.0::DOUBLE * title_length + 2.0::DOUBLE * description_length + 2.0::DOUBLE * coalesce(time_to_merge, 0) + 2.0::DOUBLE * num_commits
-  + 3.0::DOUBLE * num_comments + 3.0::DOUBLE * num_reviewers + 2.0::DOUBLE * num_commits + 3.0::DOUBLE * review_time
-  + 3.0::DOUBLE * num_approvals, 4) score FROM (SELECT *, num_reviewers files_changed FROM ({BASIC})))""", "pulls reviews")
+  + 2.0::DOUBLE * lines_added + 2.0::DOUBLE * lines_deleted + 2.0::DOUBLE * coalesce(time_to_merge, 0) + 2.0::DOUBLE * num_commits
+  + 3.0::DOUBLE * num_comments + 3.0::DOUBLE * num_reviewers + 2.0::DOUBLE * author_experience + 3.0::DOUBLE * review_time
+  + 3.0::DOUBLE * num_approvals + 3.0::DOUBLE * review_sentiment_score, 4) score FROM ({FEATURE_SQL}))""", FEATURE_VIEWS)
 def _(spark, sf):
-    b = prep.fill_zero(basic(spark, sf))
-    df = b.select(
-        "pr_id", F.col("num_reviewers").alias("files_changed"), F.col("title_length").alias("lines_added"),
-        F.col("description_length").alias("lines_deleted"), "time_to_merge", "num_commits", "num_comments", "num_reviewers",
-        F.col("num_commits").alias("author_experience"), "review_time", "num_approvals", F.lit(0.0).alias("review_sentiment_score"))
-    return cleaning.binarise_at_median(df.select("pr_id", F.round(cleaning.regression_score(), 4).alias("score")), "score", "target")
+    df = materialise(pull_features(spark, sf).select("pr_id", *tables.REGRESSION_WEIGHTS), "features")
+    scored = prep.fill_zero(df).select("pr_id", F.round(cleaning.regression_score(), 4).alias("score"))
+    return cleaning.binarise_at_median(scored, "score", "target")
 
 
 # --- feature tests -------------------------------------------------------------------------------
@@ -266,14 +266,23 @@ def _(spark, sf):
 
 
 # --- composite jobs ------------------------------------------------------------------------------
+FULL_NUMBERS = ["title_length", "description_length", "files_changed", "lines_added", "lines_deleted", "time_to_merge", "num_commits", "num_comments",
+                "num_reviewers", "author_experience", "author_tenure", "review_time", "num_approvals", "review_sentiment_score"]
+# Columns that the tables of the two halves of the pulls lack.
+LACKING = [["author_tenure", "code_quality_rate"], ["review_sentiment_score", "lines_deleted"]]
+DRIFTED = ", ".join(f"CASE WHEN pr_id % 2 <> {half} THEN {c} END AS {c}" for half, columns in enumerate(LACKING) for c in columns)
+FLAGS = "CASE WHEN {c} THEN 'True' ELSE 'False' END"
+
+
 @query("standardised_table", "Q7", f"""
-SELECT {code('repository_name', 'repository_name')}, {code('merge_status', "CASE WHEN merge_status THEN 'True' ELSE 'False' END")},
-  {each(STANDARD, NUMBERS)} FROM (SELECT * REPLACE (coalesce(time_to_merge, median(time_to_merge) OVER ()) AS time_to_merge) FROM ({BASIC}))""", "pulls reviews")
+SELECT {code('repository_name', 'repository_name')}, {', '.join(code(c, FLAGS.format(c=c)) for c in ('is_bug_fix', 'merge_status'))},
+  {code('code_quality_issues', 'code_quality_issues')}, {code('code_quality_rate', "coalesce(code_quality_rate, 'nan')")}, {each(STANDARD, FULL_NUMBERS)}
+FROM (SELECT * REPLACE ({each("coalesce({c}, median({c}) OVER ()) AS {c}", FULL_NUMBERS)}) FROM (SELECT * REPLACE ({DRIFTED}) FROM ({FEATURE_SQL})))""", FEATURE_VIEWS)
 def _(spark, sf):
-    whole = basic(spark, sf)
-    # Two tables with different columns, as collected repositories come.
-    merged = union_tables([whole.where(F.col("pr_id") % 2 == 0), whole.where(F.col("pr_id") % 2 == 1)])
-    return cleaning.standardise(merged, ["pr_id"]).withColumns({c: F.round(c, 6) for c in NUMBERS})
+    """Tables of two collections with different columns, merged, cleaned, coded and scaled."""
+    whole = materialise(pull_features(spark, sf), "features")
+    merged = union_tables([whole.where(F.col("pr_id") % 2 == half).drop(*columns) for half, columns in enumerate(LACKING)])
+    return cleaning.standardise(merged).withColumns({c: F.round(c, 6) for c in FULL_NUMBERS})
 
 
 @query("robust_scaled_table", "Q8", f"""

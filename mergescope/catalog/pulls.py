@@ -135,7 +135,7 @@ SELECT pr_id, string_agg(security, chr(10) ORDER BY position) security, string_a
 FROM files JOIN ({FACTS}) USING (file_id) GROUP BY pr_id""", "files " + FACT_VIEWS)
 def _(spark, sf):
     touched = lookup_join(views.files(spark, sf), _facts(spark, sf), ["file_id"], how="inner")
-    lines = plans.joined_lines(touched, ["pr_id"], "position", ["security", "issues"], 1_000_000_000_000_000)
+    lines = plans.joined_lines(touched, ["pr_id"], "position", ["security", "issues"])
     return lines.withColumns({c: F.nullif(c, F.lit("")) for c in ("security", "issues")})
 
 
@@ -158,8 +158,7 @@ def _(spark, sf):
     return views.pulls(spark, sf).select("pr_id").join(means, "pr_id", "left").select("pr_id", F.round(F.coalesce("c", F.lit(0.0)), 8).alias("complexity_score"))
 
 
-@query("pull_features", "Q1 P13 J1 J2 J3 J4 J5 J6", f"""
-SELECT pr_id, repository_name, title_length, description_length, coalesce(n, 0) files_changed, coalesce(a, 0) lines_added,
+FEATURES = f"""SELECT pr_id, repository_name, title_length, description_length, coalesce(n, 0) files_changed, coalesce(a, 0) lines_added,
   coalesce(d, 0) lines_deleted, time_to_merge, num_commits, is_bug_fix, num_comments, num_reviewers, merge_status,
   coalesce(e, 0) author_experience, round({TENURE}, 6) author_tenure, contributions author_contributions, review_time,
   num_approvals, round(coalesce(s, 0), 8) review_sentiment_score, coalesce(security, '') security_issues,
@@ -170,13 +169,16 @@ LEFT JOIN (SELECT repository_name, author, count(*) e FROM commits GROUP BY ALL)
 LEFT JOIN (SELECT pr_id, count(*) n, sum(additions)::BIGINT a, sum(deletions)::BIGINT d FROM files GROUP BY pr_id) USING (pr_id)
 LEFT JOIN (SELECT pr_id, sum(polarity) s FROM ({POLARITY}) GROUP BY pr_id) USING (pr_id)
 LEFT JOIN (SELECT pr_id, string_agg(security, chr(10) ORDER BY position) security, string_agg(issues, chr(10) ORDER BY position) issues,
-  arg_max(rating, position) rating FROM files JOIN ({FACTS}) USING (file_id) GROUP BY pr_id) USING (pr_id)""",
-       "pulls reviews files commits authors pull_labels comments lexicon " + FACT_VIEWS)
+  arg_max(rating, position) rating FROM files JOIN ({FACTS}) USING (file_id) GROUP BY pr_id) USING (pr_id)"""
+FEATURE_VIEWS = "pulls reviews files commits authors pull_labels comments lexicon " + FACT_VIEWS
+
+
+@query("pull_features", "Q1 P13 J1 J2 J3 J4 J5 J6", FEATURES, FEATURE_VIEWS)
 def pull_features(spark, sf):
     df = plans.pull_features(
         views.pulls(spark, sf), views.reviews(spark, sf), views.files(spark, sf), views.commits(spark, sf),
         views.authors(spark, sf), views.pull_labels(spark, sf), views.comments(spark, sf), views.lexicon(spark, sf),
-        _facts(spark, sf), block_width=1_000_000_000_000_000)
+        _facts(spark, sf))
     rounded = {c: F.round(c, 6) for c in ("time_to_merge", "review_time", "author_tenure")}
     return df.withColumns({**rounded, "review_sentiment_score": F.round("review_sentiment_score", 8)})
 

@@ -72,7 +72,7 @@ VIEWS = {
     "reviews": """SELECT l_orderkey pr_id, l_suppkey reviewer, CASE WHEN l_tax > 0 THEN l_shipdate END submitted_at,
         CASE l_returnflag WHEN 'A' THEN 'APPROVED' WHEN 'N' THEN 'COMMENTED' WHEN 'R' THEN 'CHANGES_REQUESTED' END state
         FROM lineitem""",
-    "files": """SELECT l_orderkey pr_id, l_linenumber::BIGINT * 1000000000000000 + l_partkey * 1000000 + l_suppkey AS position,
+    "files": """SELECT l_orderkey pr_id, struct_pack(line := l_linenumber, part := l_partkey, supplier := l_suppkey) AS position,
         l_partkey file_id, l_quantity::BIGINT additions, round(l_tax * 100)::BIGINT deletions FROM lineitem""",
     "authors": """SELECT c_custkey author, floor(c_acctbal)::BIGINT contributions,
         TIMESTAMP '1995-01-01' - to_seconds((c_custkey % 1825) * 86400 + c_custkey % 7 * 3600) joined_at FROM customer""",

@@ -352,7 +352,7 @@ PULL_LABELS = f"SELECT pr_id, {LABEL} AS label FROM (SELECT pr_id, {COUNT_COLUMN
 
 
 @query("pull_file_features", "Q5", rf"""
-SELECT pr_id, position, loc, comments, functions, language_keywords_count, label FROM files JOIN
+SELECT pr_id, position.line, position.part, position.supplier, loc, comments, functions, language_keywords_count, label FROM files JOIN
  (SELECT file_id, {matches(BREAKS)} + (content <> '' AND NOT regexp_matches(right(content, 1), '{BREAKS}'))::INT loc,
   CASE WHEN ext = 'py' THEN len(regexp_extract_all(content, '(^|\n)[ \t]*("{{3}}[\s\S]*?"{{3}}|''{{3}}[\s\S]*?''{{3}})')) ELSE {matches(r'//[^\n]*|/[*][\s\S]*?[*]/')} END AS comments,
   CASE WHEN ext = 'py' THEN len(list_filter({LINES}, lambda l: regexp_matches(l, '^[ \t]*def[ \t]+\w+'))) ELSE {matches(SHORT_WORDS)} END functions,
@@ -360,4 +360,5 @@ SELECT pr_id, position, loc, comments, functions, language_keywords_count, label
   FROM code_files WHERE ext IN ({', '.join(repr(e) for e in tables.LANGUAGE_KEYWORDS)})) USING (file_id)
  JOIN ({PULL_LABELS}) USING (pr_id)""", "code_files files pulls")
 def _(spark, sf):
-    return file_plans.pull_file_features(views.files(spark, sf), views.code_files(spark, sf), views.pulls(spark, sf))
+    df = file_plans.pull_file_features(views.files(spark, sf), views.code_files(spark, sf), views.pulls(spark, sf))
+    return df.select("pr_id", "position.*", *df.columns[2:])

@@ -39,8 +39,9 @@ def summed(df: DataFrame, features: Column, label: Column, summand: Summand) ->
         if total is not None:
             yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total.ravel().astype(float))], ["place", "part"])
 
-    sums = rows.mapInArrow(run, "place long, part double").groupBy("place").agg(F.sum("part").alias("total")).collect()
-    return np.array([r["total"] for r in sorted(sums, key=lambda r: r["place"])])
+    parts = rows.mapInArrow(run, "place long, part double")
+    sums = parts.groupBy("place").agg(F.sum("part").alias("total")).toPandas().sort_values("place")
+    return sums["total"].to_numpy()
 
 
 def least_squares(df: DataFrame, features: Column, label: Column, penalty: float = 0.0) -> tuple[np.ndarray, float]:
@@ -98,6 +99,15 @@ class LeastSquares(Estimator, HasFeaturesCol, HasLabelCol):
         return LinearPredictor(*found, features)
 
 
+def _equations(x: np.ndarray, y: np.ndarray, theta: np.ndarray, width: float, cost: float, epsilon: float) -> np.ndarray:
+    """A Newton step's equations: the matrix of errors within the rounded kinks, and the pull of all errors."""
+    error = y - x @ theta
+    over = np.maximum(np.abs(error) - epsilon, 0)
+    curved = (over > 0) & (over < width)
+    pull = np.sign(error) * np.minimum(over / width, 1)
+    return cost * np.append((x[curved].T @ x[curved] / width).ravel(), x.T @ pull)
+
+
 class LinearSVR(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter):
     """Linear support vector regression: cost times what errors exceed epsilon, plus half the coefficients' squares.
 
@@ -113,7 +123,7 @@ class LinearSVR(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter):
 
     #: Widths of the rounded kinks, in deviations of the least squares' errors, and lengths of a step that are tried.
     WIDTHS = (0.3, 0.03, 0.003)
-    LENGTHS = 2.0 ** -np.arange(12)
+    LENGTHS = np.append(0.0, 2.0 ** -np.arange(12))
 
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", cost=1.0, epsilon=0.1, maxIter=6, tol=1e-4):
@@ -126,38 +136,28 @@ class LinearSVR(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter):
         cost, epsilon = self.getOrDefault(self.cost), self.getOrDefault(self.epsilon)
         start = least_squares(df, features, label, 1.0 / cost)
         theta = np.append(start[0], start[1])
-        size = len(theta)
+        size, lengths = len(theta), self.LENGTHS
         count, square = summed(df, features, label, lambda x, y: np.array([len(y), ((y - x @ theta) ** 2).sum()]))
         # The intercept is free; a trace of weight keeps its equation solvable when no error is on a parabola.
         ridge = np.append(np.ones(size - 1), 1e-9)
         for width in np.array(self.WIDTHS) * max(np.sqrt(square / count), epsilon, 1e-6):
+            sums = summed(df, features, label, lambda x, y: _equations(x, y, theta, width, cost, epsilon))
             for _ in range(self.getMaxIter()):
-                step = self._step(df, features, label, theta, width, ridge)
+                slope = sums[size * size:] - np.append(theta[:-1], 0.0)
+                step = np.linalg.solve(sums[:size * size].reshape(size, size) + np.diag(ridge), slope)
 
                 def along(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-                    errors = (y - x @ theta)[:, None] - (x @ step)[:, None] * np.append(0.0, self.LENGTHS)
+                    """The objective along the step, and the equations at its end, where most steps go."""
+                    errors = (y - x @ theta)[:, None] - (x @ step)[:, None] * lengths
                     over = np.maximum(np.abs(errors) - epsilon, 0)
-                    return cost * np.where(over < width, over ** 2 / (2 * width), over - width / 2).sum(axis=0)
+                    loss = cost * np.where(over < width, over ** 2 / (2 * width), over - width / 2).sum(axis=0)
+                    return np.append(loss, _equations(x, y, theta + step, width, cost, epsilon))
 
-                tried = theta[:-1, None] + step[:-1, None] * np.append(0.0, self.LENGTHS)
-                total = summed(df, features, label, along) + 0.5 * (tried ** 2).sum(axis=0)
+                found = summed(df, features, label, along)
+                total = found[:len(lengths)] + 0.5 * ((theta[:-1, None] + step[:-1, None] * lengths) ** 2).sum(axis=0)
                 best = int(total.argmin())
-                if best:
-                    theta = theta + step * self.LENGTHS[best - 1]
+                theta = theta + step * lengths[best]
                 if total[0] - total[best] <= self.getOrDefault(self.tol) * total[0]:
                     break
+                sums = found[len(lengths):] if lengths[best] == 1 else summed(df, features, label, lambda x, y: _equations(x, y, theta, width, cost, epsilon))
         return LinearPredictor(theta[:-1], float(theta[-1]), self.getFeaturesCol())
-
-    def _step(self, df: DataFrame, features: Column, label: Column, theta: np.ndarray, width: float, ridge: np.ndarray) -> np.ndarray:
-        cost, epsilon, size = self.getOrDefault(self.cost), self.getOrDefault(self.epsilon), len(theta)
-
-        def equations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            error = y - x @ theta
-            over = np.maximum(np.abs(error) - epsilon, 0)
-            curved = (over > 0) & (over < width)
-            pull = np.sign(error) * np.minimum(over / width, 1)
-            return cost * np.append((x[curved].T @ x[curved] / width).ravel(), x.T @ pull)
-
-        sums = summed(df, features, label, equations)
-        slope = sums[size * size:] - np.append(theta[:-1], 0.0)
-        return np.linalg.solve(sums[:size * size].reshape(size, size) + np.diag(ridge), slope)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality, scalar, sentiment, tables, text
 from ..operators.joins import lookup_join
+from ..session import materialise
 
 PULL_COLUMNS = [
     "pr_id", "repository_name", "title_length", "description_length", "files_changed", "lines_added", "lines_deleted",
@@ -54,12 +55,11 @@ def file_totals(files: DataFrame) -> DataFrame:
         F.sum("deletions").alias("lines_deleted"))
 
 
-def joined_lines(rows: DataFrame, keys: list[str], position: str, texts: list[str], block_width: int = 1000,
-                 last: list[str] | None = None) -> DataFrame:
+def joined_lines(rows: DataFrame, keys: list[str], position: str, texts: list[str], last: list[str] | None = None) -> DataFrame:
     """Newline-join texts per key in position order, nulls skipped; of the ``last`` columns keep the last value.
 
-    Blocks of positions are joined first, so that sorting a long list is spread over tasks; the last step only
-    strings blocks together.
+    Rows are range-sorted by key and position, so a key with very many rows is several partitions. Each partition strings
+    its run of a key together; the last step only strings a key's runs together, one a partition.
     """
     last = last or []
 
@@ -69,11 +69,13 @@ def joined_lines(rows: DataFrame, keys: list[str], position: str, texts: list[st
     def string(text: str) -> Column:
         return F.array_join(F.transform(text, lambda s: s["t"]), "\n")
 
+    # Written before the ranges are sampled, so that nothing upstream runs twice; and after, so that the cut stays.
+    rows = materialise(rows.select(*keys, position, *texts, *last), "lines")
+    ranged = materialise(rows.repartitionByRange(*keys, position).withColumn("_run", F.spark_partition_id()), "runs")
     latest = {c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(position).alias("p"), F.col(c).alias("v")))) for c in last}
-    blocks = rows.groupBy(*keys, F.floor(F.col(position) / block_width).alias("_block")).agg(
-        *[gather(t, position).alias(t) for t in texts], *[value.alias(c) for c, value in latest.items()])
-    joined = blocks.select(*keys, "_block", *[F.when(F.size(t) > 0, string(t)).alias(t) for t in texts], *last)
-    final = joined.groupBy(*keys).agg(*[gather(t, "_block").alias(t) for t in texts], *[F.max(c).alias(c) for c in last])
+    runs = ranged.groupBy(*keys, "_run").agg(*[gather(t, position).alias(t) for t in texts], *[value.alias(c) for c, value in latest.items()])
+    joined = runs.select(*keys, "_run", *[F.when(F.size(t) > 0, string(t)).alias(t) for t in texts], *last)
+    final = joined.groupBy(*keys).agg(*[gather(t, "_run").alias(t) for t in texts], *[F.max(c).alias(c) for c in last])
     return final.select(*keys, *[string(t).alias(t) for t in texts], *[F.col(c)["v"].alias(c) for c in last])
 
 
@@ -137,7 +139,7 @@ def basic_features(pulls: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def pull_features(
     pulls: DataFrame, reviews: DataFrame, files: DataFrame, commits: DataFrame, authors: DataFrame, labels: DataFrame,
-    comments: DataFrame, lexicon: DataFrame, facts: DataFrame, state: str = "all", block_width: int = 1000,
+    comments: DataFrame, lexicon: DataFrame, facts: DataFrame, state: str = "all",
 ) -> DataFrame:
     """One row per pull with all feature columns.
 
@@ -147,7 +149,7 @@ def pull_features(
     # Without a filter on state a pull's children are all wanted, so they are aggregated as they are.
     pulls = by_state(pulls, state)
     touched = lookup_join(files.select("pr_id", "position", "file_id"), facts, ["file_id"], how="inner")
-    lines = joined_lines(touched, ["pr_id"], "position", ["security", "issues"], block_width, last=["rating"])
+    lines = joined_lines(touched, ["pr_id"], "position", ["security", "issues"], last=["rating"])
     moods = sentiment.pull_sentiment(comments, lexicon, ["pr_id"], ["position"])
     joined = pulls
     for child in (review_totals(reviews), file_totals(files), bug_flags(labels), moods, lines):

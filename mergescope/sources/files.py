@@ -21,6 +21,8 @@ METRICS_COLUMNS = [
     "number_of_line_of_code", "average_number_of_lines_of_code", "average_cyclomatic_complexity_number",
     "average_token_count", "function_count", "warning_count", "function_rate", "number_of_line_of_code_rate",
 ]
+# What the parser puts where nothing stands; no text, so that an empty string is not taken for it.
+NO_VALUE = "\u0001"
 # Column that takes what does not parse.
 BROKEN = "_corrupt"
 CODE_METRICS_SCHEMA = "issue_id long, label string, complexity map<string,int>, methods array<string>"
@@ -29,9 +31,9 @@ CODE_METRICS_SCHEMA = "issue_id long, label string, complexity map<string,int>,
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with a header. A schema saves the pass that infers types.
 
-    Quoted line breaks are part of a value; ``multi_line=False`` lets one large file be split where there are none.
+    Nothing between two commas is null, a quoted empty string is one. Quoted line breaks are part of a value; ``multi_line=False`` lets one large file be split where there are none.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("nullValue", NO_VALUE)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 

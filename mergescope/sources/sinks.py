@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.unions import union_tables
 
@@ -42,9 +43,17 @@ def landed(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the smallest by its other columns in order, whatever order the rows come in."""
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")).select(*[c if c in keys else f"_row.{c}" for c in df.columns])
+
+
 def only_new(df: DataFrame, known: DataFrame | None, keys: list[str]) -> DataFrame:
     """Rows whose key has not landed, one per key."""
-    fresh = df.dropDuplicates(keys)
+    fresh = one_per_key(df, keys)
     return fresh if known is None else fresh.join(known.select(*keys), keys, "left_anti")
 
 

@@ -1,30 +1,63 @@
-"""Incremental ingest of landed pull-request documents."""
+"""Incremental ingest of landed pull-request documents.
+
+Two streams. The first, one for each source and checkpoint, turns documents that arrived since its last run into feature
+rows and puts them into the target's inbox. The second belongs to the target: it reads what is new in the inbox, keeps the
+rows whose key it has not let through before, and appends them to the target. The keys are its state, kept on disk in its
+checkpoint beside the target, so no batch reads the target or the keys of earlier batches again, however much has landed.
+As every source passes the same state, a lost checkpoint or another source neither doubles a pull nor loses one.
+"""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.pulls import nested_features
 from ..sources.files import document_options, sound_documents
-from ..sources.sinks import append_new
+from ..sources.sinks import landed, one_per_key
 
 KEYS = ["repository_name", "pr_id"]
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Keep the keys of streams started meanwhile on disk, not in memory."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 def ingest_documents(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1000,
-                     multi_line: bool = True) -> None:
+                     multi_line: bool = True) -> list[int]:
     """Turn documents that arrived since the last run into feature rows; pulls already there are skipped.
 
-    Every batch appends the pulls that the target lacks and replaces nothing. A batch that is run again, another source
-    and a lost checkpoint therefore neither double a row nor lose one.
+    Of several documents of one pull the first to land stays, of those that land in one batch the one with the smallest
+    row. A batch that is run again changes nothing. Returns the rows that each batch of the target's stream read.
     """
+    inbox = f"{target}/_inbox"
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
     stream = sound_documents(document_options(reader, multi_line).json(source), source)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        append_new(nested_features(batch), target, KEYS)
+    def put(batch: DataFrame, batch_id: int) -> None:
+        one_per_key(nested_features(batch), KEYS).write.mode("append").parquet(inbox)
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    waiting = landed(spark, inbox)
+    return [] if waiting is None else _admit(spark, inbox, waiting.schema, target, files_per_batch)
+
 
-    query = (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def _admit(spark: SparkSession, inbox: str, schema, target: str, files_per_batch: int) -> list[int]:
+    """Append the inbox's rows of new keys; files of the inbox go once their batch is done."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("cleanSource", "delete").parquet(inbox)
+    with _state_on_disk(spark):
+        query = (rows.dropDuplicates(KEYS).writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}/_ledger")
+                 .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
+    return [p["numInputRows"] for p in query.recentProgress]

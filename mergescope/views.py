@@ -70,7 +70,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.select(
         F.col("l_orderkey").alias("pr_id"),
-        (F.col("l_linenumber").cast("long") * 1_000_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("position"),
+        F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).alias("position"),
         F.col("l_partkey").alias("file_id"),
         F.col("l_quantity").cast("long").alias("additions"),
         F.round(F.col("l_tax") * 100).cast("long").alias("deletions"),
