@@ -8,8 +8,8 @@ with a smaller doc_id. The steps:
    least two documents go on, and equal segments go on once, with their smallest doc_id.
 2. A shard's segments are indexed: the suffix order to the depth of a window, its Burrows-Wheeler transform in a wavelet
    matrix of packed bits, and the smallest doc_id of every interval of equal windows. The segments stream through the
-   index from the right: backward search widens the match word by word, capped at the window's length, and each
-   position whose matching statistic reaches the cap reports the smallest doc_id of its interval.
+   index from the right: backward search adds word by word, a mismatch falls back to the next shorter match, and each
+   position whose matching statistic reaches the window's length reports the smallest doc_id of its interval.
 3. Each copy of a segment drops the words under windows whose smallest doc_id is less than its own.
 
 The windows of an anchor with very many different segments around it do not go to a shard: Spark aggregates the smallest
@@ -66,6 +66,15 @@ class FMIndex:
         self.starts = starts
         self.group = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
         self.low, self.high = starts, np.r_[starts[1:], n]
+        # Words that neighbours in the order share, up to the depth; less than none at both ends.
+        shared = np.full(n + 1, depth, np.int8)
+        shared[starts] = self._agree(tokens, self.order[starts], self.order[starts - 1])
+        shared[0] = shared[n] = -1
+        self.shared, self._least = shared, None
+        # Intervals of one word less than the depth: what is left of a full match when it goes on.
+        wide = np.flatnonzero(shared[:n] < depth - 1)
+        self.wide = np.cumsum(shared[:n] < depth - 1) - 1
+        self.wide_low, self.wide_high = wide, np.r_[wide[1:], n]
         symbols = tokens[self.order - 1]
         size = int(tokens.max(initial=0)) + 1
         counts = np.bincount(tokens, minlength=size)
@@ -98,10 +107,43 @@ class FMIndex:
         """Bound of the interval after one more symbol to the left."""
         return self.before[symbol] + self._walk(symbol, at) - self.offset[symbol]
 
+    def _agree(self, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """How many words two suffixes share, up to the depth."""
+        out, still = np.zeros(len(one), np.int8), np.arange(len(one))
+        for k in range(self.depth):
+            x, y = one[still] + k, two[still] + k
+            inside = (x < self.n) & (y < self.n)
+            still, x, y = still[inside], x[inside], y[inside]
+            same = tokens[x] == tokens[y]
+            still = still[same]
+            if not len(still):
+                break
+            out[still] = k + 1
+        return out
+
+    def widen(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals round [low, high) of all suffixes that share ``length`` words with them."""
+        if self._least is None:
+            # Minima of 1, 2, 4, ... neighbours; only a mismatch needs them.
+            self._least = [self.shared]
+            while 2 ** len(self._least) <= self.n + 1:
+                last, half = self._least[-1], 2 ** (len(self._least) - 1)
+                self._least.append(np.minimum(last[:-half], last[half:]))
+        low, high = low.copy(), high.copy()
+        for k in range(len(self._least) - 1, -1, -1):
+            least, size = self._least[k], 2 ** k
+            down = low - size + 1
+            low = np.where((down >= 0) & (least[np.maximum(down, 0)] >= length), low - size, low)
+            up = high < len(least)
+            high = np.where(up & (least[np.where(up, high, 0)] >= length), high + size, high)
+        return low, high
+
     def match(self, tokens: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Stream passages tokens[end - length:end] through the index, all at once and each from its right end.
 
-        Yields (passage, start within it, group) where the matching statistic, capped at the depth, reaches it.
+        The matching statistic of a place is the longest run of words from there that the index holds, up to the depth.
+        Backward search adds a word on the left; where no such match goes on, it gives up words on the right, by the next
+        wider interval, until one does. Yields (passage, start within it, group) where the statistic reaches the depth.
         """
         who = np.arange(len(ends))
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
@@ -110,20 +152,29 @@ class FMIndex:
             going = lengths[who] >= step
             who, low, high, statistic = who[going], low[going], high[going], statistic[going]
             symbol = tokens[ends[who] - step]
-            capped = statistic == self.depth
-            low = self.extend(symbol, low)
-            if not capped.all():
-                high = self.extend(symbol, high)
-            found = low < high if not capped.any() else np.where(capped, low < self.n, low < high)
-            statistic = np.where(found, np.minimum(statistic + 1, self.depth), 0)
             full = statistic == self.depth
             if full.any():
-                # The part of a match beyond the depth is let go: its interval widens to all equal windows.
-                group = self.group[low[full]]
-                low[full], high[full] = self.low[group], self.high[group]
-                yield who[full], lengths[who[full]] - step, group
-            low = np.where(found, low, 0)
-            high = np.where(found, high, self.n)
+                # The order says nothing beyond the depth, so a full match gives up its last word before it goes on.
+                wide = self.wide[low[full]]
+                low[full], high[full], statistic[full] = self.wide_low[wide], self.wide_high[wide], self.depth - 1
+            foreign = symbol >= len(self.before)
+            low[foreign], high[foreign], statistic[foreign] = 0, self.n, 0
+            left = np.flatnonzero(~foreign)
+            while len(left):
+                a, b = self.extend(symbol[left], low[left]), self.extend(symbol[left], high[left])
+                met = a < b
+                at = left[met]
+                low[at], high[at] = a[met], b[met]
+                statistic[at] += 1
+                left = left[~met]
+                left = left[statistic[left] > 0]
+                if len(left):
+                    less = np.maximum(np.maximum(self.shared[low[left]], self.shared[high[left]]), 0)
+                    low[left], high[left] = self.widen(low[left], high[left], less)
+                    statistic[left] = less
+            full = statistic == self.depth
+            if full.any():
+                yield who[full], lengths[who[full]] - step, self.group[low[full]]
 
 
 def segments(docs: DataFrame) -> DataFrame:

@@ -42,6 +42,30 @@ def test_index_finds_all_windows():
         assert got[at] == [k for k in range(len(text) - 5) if text[k:k + 6] == text[at:at + 6]]
 
 
+@pytest.mark.parametrize("depth", [1, 2, 6, 20])
+def test_foreign_passages_against_brute_force(depth):
+    """Passages that the index does not hold, with words it has never seen: every true window is met, and none else."""
+    rng = np.random.default_rng(depth)
+    for kinds, n in ((2, 300), (4, 300), (30, 600), (1, 50)):
+        inside = rng.integers(1, kinds + 1, n)
+        tokens = np.r_[inside[:n // 2], 0, inside[n // 2:], 0]
+        index = fm_dedup.FMIndex(tokens, depth)
+        parts = [rng.integers(1, kinds + 3, 400), np.r_[inside[20:90], kinds + 2, inside[5:200]], inside[:0], inside[n // 3:n // 3 + depth]]
+        stream = np.concatenate(parts)
+        lengths = np.array([len(p) for p in parts])
+        got = {}
+        for who, start, group in index.match(stream, np.cumsum(lengths), lengths):
+            got.update({(int(w), int(s)): sorted(index.order[index.low[g]:index.high[g]].tolist()) for w, s, g in zip(who, start, group)})
+        text = tokens.tolist()
+        want = {}
+        for w, part in enumerate(parts):
+            for s in range(len(part) - depth + 1):
+                places = [k for k in range(len(text) - depth + 1) if text[k:k + depth] == part[s:s + depth].tolist()]
+                if places:
+                    want[w, s] = places
+        assert got == want
+
+
 @pytest.mark.parametrize("heavy", [2000, 1])
 def test_against_brute_force(spark, docs, monkeypatch, heavy):
     setup(spark)
