@@ -37,7 +37,8 @@ WINDOW = 200
 ANCHOR = 32
 # Different passages of an anchor before its windows are counted, and rows that a task merges together.
 HEAVY, CHUNK = 20_000, 50_000
-_PLACE = np.uint64((1 << 24) - 1)
+# The low half of a position's value is its place, enough for texts of 4 GiB; the high half is its hash.
+_PLACE = np.uint64((1 << 32) - 1)
 
 
 def passages(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

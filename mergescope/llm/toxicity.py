@@ -14,8 +14,8 @@ as the kernel is linear in the subsequences, its landmark expansion folds into o
 A logistic curve, fitted on labelled documents kept from the machine, turns a document's two highest word scores and its
 length into a probability.
 
-Bounds: SAMPLE documents of each label, those with the smallest hash of doc_id, and NEGATIVES different words of clean
-documents, again by hash. Scoring reads every word of every text. Null and empty texts have no words and get the curve's
+Bounds: SAMPLE documents of each label, those with the smallest hash of doc_id, NEGATIVES different words of clean
+documents, again by hash, and a POOL of words that landmarks are chosen from. Scoring reads every word of every text. Null and empty texts have no words and get the curve's
 value for none; ties and repeated rows score alike; without labels of both kinds the score is 0 for all. An input column
 named like the output is replaced; others pass through.
 """
@@ -35,6 +35,8 @@ from .common import arrow
 
 DECAY, GAPS, BITS, PART = 0.6, 2, 22, 24
 SAMPLE, NEGATIVES, LANDMARKS, ROUNDS = 2500, 150_000, 384, 5
+# Words that landmarks are chosen from: those that most toxic documents have, and clean ones by hash.
+POOL = (1500, 500)
 # Clean words that join the negatives in a round, because they score highest.
 HARD = 5000
 # Share of toxic documents whose common word is positive without being the highest of one.
@@ -290,7 +292,7 @@ def learn(texts: list[str], labels: np.ndarray) -> Model | None:
     names = sorted(may, key=lambda w: (-counts[w][1], w))
     if not names or not clean:
         return None
-    pool = names[:1500] + clean[:500]
+    pool = names[:POOL[0]] + clean[:POOL[1]]
     # A few columns at a time, as a table holds every subsequence of its words.
     gram = np.hstack([_kernel(pool, *_landmarks(pool[i:i + 128])) for i in range(0, len(pool), 128)])
     marks = [pool[i] for i in _pivots(gram, LANDMARKS)]
