@@ -12,7 +12,7 @@ from ..session import materialise, new_path
 from ..sources import sinks
 from ..sources.files import read_csv
 from .preparation import basic
-from .registry import query
+from .registry import HASH, query
 
 FEATURES = ["title_length", "description_length", "num_commits", "num_reviewers", "review_time", "num_approvals"]
 LINES = ["lines_added", "lines_deleted", "files_changed"]
@@ -87,6 +87,37 @@ def folded(spark, sf, label="target"):
     return m.training_table(m.with_folds(table, "id", "label", 5), "folds")
 
 
+EFFORT = """SELECT pr_id id, (effort >= median(effort) OVER ())::DOUBLE AS label FROM
+  (SELECT pr_id, 2.0::DOUBLE * coalesce(a, 0) + 2.0::DOUBLE * coalesce(d, 0) + 3.0::DOUBLE * (comments + review_comments) effort
+   FROM pulls LEFT JOIN (SELECT pr_id, sum(additions) a, sum(deletions) d FROM files GROUP BY pr_id) USING (pr_id))"""
+FIFTH = HASH % "id::VARCHAR"
+PLACE = HASH % "(id::VARCHAR||'fold')"
+
+
+@query("tuning_folds", "T8 T9 T10 M13 Q9", f"""
+SELECT * FROM (WITH split AS (SELECT *, {FIFTH} % 100 < 20 AS is_test FROM ({EFFORT})),
+placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {PLACE}, id) - 1 AS place, count(*) OVER (PARTITION BY label) n FROM split WHERE NOT is_test)
+SELECT id, label, is_test, NULL::INT fold FROM split WHERE is_test UNION ALL
+SELECT id, label, is_test, ({' + '.join(f'(place >= floor(n * {i} / 5::DOUBLE))::INT' for i in range(1, 5))})::INT FROM placed)""", "pulls files")
+def _(spark, sf):
+    """The rows that models are tuned and tested on, with the folds of the former."""
+    table = m.to_vector(model_table(spark, sf), FEATURES, [F.col("pr_id").alias("id"), F.col("target").cast("double").alias("label")])
+    train, test = balance.random_split(m.training_table(table), "id")
+    folds = m.with_folds(train, "id", "label", 5).select("id", "label", F.lit(False).alias("is_test"), F.col("fold").cast("int").alias("fold"))
+    return folds.unionByName(test.select("id", "label", F.lit(True).alias("is_test"), F.lit(None).cast("int").alias("fold")))
+
+
+@query("linear_predictions", "E6 K4", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(s * l_quantity + i, 3) prediction, round(l_extendedprice - s * l_quantity - i, 3) error FROM lineitem,
+ (SELECT regr_slope(l_extendedprice, l_quantity) s, regr_intercept(l_extendedprice, l_quantity) i FROM lineitem)""")
+def _(spark, sf):
+    """What a fitted model says of each row."""
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    table = m.to_vector(views.table(spark, sf, "lineitem"), ["l_quantity"], [*names, F.col("l_extendedprice").cast("double").alias("label")])
+    made = linear.LeastSquares().fit(table).transform(table)
+    return made.select(*names, F.round("prediction", 3).alias("prediction"), F.round(F.col("label") - F.col("prediction"), 3).alias("error"))
+
+
 @query("grid_scores", "T8 T9 T11")
 def _(spark, sf):
     forest = small_classifiers(len(FEATURES))[0]

@@ -198,3 +198,20 @@ def test_append_new_twice(spark, tmp_path):
     for ids in ([1, 2, 2], [2, 3]):
         sinks.append_new(spark.createDataFrame([(i,) for i in ids], "id long"), path, ["id"])
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_texts_of_a_pull_in_order_over_many_runs(spark):
+    """A pull with most rows is cut into several runs; order is by a struct, ties and nulls included."""
+    import random
+
+    from mergescope.plans.pulls import joined_lines
+
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3]), rng.randrange(40), rng.randrange(10 ** 7), rng.choice(["a", "b", "", None]), i) for i in range(400)] + [(4, 0, 0, None, 500)]
+    df = spark.createDataFrame(rows, "k int, x int, y long, t string, n int").selectExpr("k", "struct(x, y) p", "t", "n")
+    got = {r.k: (r.t, r.n) for r in joined_lines(df, ["k"], "p", ["t"], last=["n"]).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        mine = sorted((x, y, n, t) for q, x, y, t, n in rows if q == k)
+        want[k] = ("\n".join(t for *_, t in mine if t is not None), mine[-1][2])
+    assert got == want
