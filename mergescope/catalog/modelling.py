@@ -170,9 +170,9 @@ def _(spark, sf):
     df = views.scored_multi(spark, sf, [identity.alias("id")])
     table = m.training_table(m.to_vector(df, ["p0", "p1", "p2"], ["id", F.col("y").cast("double").alias("label")]))
     train, test = balance.random_split(table, "id")
-    folds = m.training_table(m.with_folds(train, "id", "label", 3), "folds")
-    tuned = [c for c in m.classifier_candidates(3, 3, hidden=((6,), (4, 4)), iterations=20) if not c.name.startswith("Random")]
-    table, _ = m.compare_classifiers(spark, tuned, folds, test, 3, "f1", 3)
+    folds = m.training_table(m.with_folds(train, "id", "label", 2), "folds")
+    tuned = [c for c in m.classifier_candidates(3, 3, hidden=((6,),), iterations=20) if not c.name.startswith("Random")]
+    table, _ = m.compare_classifiers(spark, tuned, folds, test, 3, "f1", 2)
     return table
 
 
