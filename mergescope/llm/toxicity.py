@@ -261,7 +261,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 def _folded(lookup: np.ndarray, table: np.ndarray, alpha: np.ndarray, bias: float) -> Model:
     """The landmark expansion as one weight per subsequence."""
-    beta = table[1:].astype(np.float64) @ alpha
+    # Some rows at a time, as a copy of the whole table in doubles is the driver's peak.
+    beta = np.concatenate([np.zeros(0), *(table[i:i + 8192].astype(np.float64) @ alpha for i in range(1, len(table), 8192))])
     return Model(np.flatnonzero(lookup), beta[lookup[lookup > 0] - 1].astype(np.float32), bias, np.eye(4)[1])
 
 
