@@ -377,8 +377,9 @@ def balanced_job(spark: SparkSession, df: DataFrame, identity: str, features: li
     chosen = [r["feature"] for r in prep.top_features(prep.anova_f(filled, features, label), keep).collect()]
     train, test = balance.random_split(filled, "id")
     rows = train.select("id", F.col(label).alias("label"), F.array(*[F.col(c).cast("double") for c in chosen]).alias("vec"))
-    even = training_table(balance.over_then_under(rows, "id", "label", "vec"), "balanced")
-    vectors = even.select("id", F.col("label").cast("double").alias("label"), array_to_vector("vec").alias("features"))
+    # Synthetic rows have a key but no id.
+    even = training_table(balance.over_then_under(rows, "id", "label", "vec"), "balanced", "key")
+    vectors = even.select(F.col("key").alias("id"), F.col("label").cast("double").alias("label"), array_to_vector("vec").alias("features"))
     held = to_vector(test, chosen, [F.col("id"), F.col(label).cast("double").alias("label")])
     candidates = candidates or classifier_candidates(len(chosen), classes)
     return compare_classifiers(spark, candidates, with_folds(vectors, "id", "label", k), held, classes, "accuracy", k)

@@ -193,3 +193,15 @@ def test_anova_of_a_constant_feature_comes_last(spark):
     df = spark.createDataFrame([(0, 1.0, 3.0), (0, 2.0, 3.0), (1, 5.0, 3.0), (1, 6.5, 3.0)], "y int, a double, flat double")
     best = prep.top_features(prep.anova_f(df, ["flat", "a"], "y"), None).collect()
     assert [r["feature"] for r in best] == ["a", "flat"] and best[1]["f_score"] is None
+
+
+def test_grown_and_cut_rows_all_have_a_key_and_a_fold(spark):
+    from mergescope.plans.modelling import with_folds
+
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, i % 5 == 0, rng.normal(size=2).tolist()) for i in range(80)], "id long, label boolean, vec array<double>")
+    even = balance.over_then_under(df, "id", "label", "vec", k=3)
+    assert rows(balance.class_distribution(even, "label"), "label", "n") == [(False, 64), (True, 64)]
+    assert even.select("key").distinct().count() == 128 and even.where("key is null").count() == 0
+    folds = with_folds(even.select(F.col("key").alias("id"), "label"), "id", "label", 4)
+    assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [32, 32, 32, 32]
