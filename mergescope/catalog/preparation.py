@@ -69,10 +69,9 @@ SELECT c AS column_name, {each("{c}", ["lower_quartile", "middle", "upper_quarti
   round(quantile_cont({c}, 0.75), 6) upper_quartile, round(avg({c}), 5) mean, round(stddev_pop({c}), 5) deviation FROM basic''', NUMBERS, " UNION ALL ")})""".replace(
     "FROM basic", f"FROM ({BASIC})"), "pulls reviews")
 def _(spark, sf):
-    df = basic(spark, sf).cache()
+    df = materialise(basic(spark, sf).select(*NUMBERS), "features")
     quartiles = prep.exact_quantiles(df, NUMBERS, [0.25, 0.5, 0.75])
     scale = prep.fit_standard(df, NUMBERS)
-    df.unpersist()
     rows = [(c, *[float(v) for v in quartiles[c]], scale.centre[c], scale.width[c]) for c in NUMBERS]
     out = spark.createDataFrame(rows, "column_name string, lower_quartile double, middle double, upper_quartile double, mean double, deviation double")
     return out.withColumns({**{c: F.round(c, 6) for c in out.columns[1:4]}, **{c: F.round(c, 5) for c in out.columns[4:]}})
@@ -81,7 +80,7 @@ def _(spark, sf):
 @query("median_filled", "M1", f"""
 SELECT pr_id, coalesce(time_to_merge, median(time_to_merge) OVER ()) time_to_merge FROM ({BASIC})""", "pulls reviews")
 def _(spark, sf):
-    df = basic(spark, sf).select("pr_id", "time_to_merge")
+    df = materialise(basic(spark, sf).select("pr_id", "time_to_merge"), "features")
     return prep.fill(df, prep.medians(df, ["time_to_merge"]))
 
 
@@ -137,7 +136,7 @@ ROBUST_SCALED = ["num_commits", "num_reviewers", "review_time"]
 
 @query("robust_scaled", "M7 A21", f"SELECT pr_id, {each(ROBUST, ROBUST_SCALED)} FROM ({BASIC})", "pulls reviews")
 def _(spark, sf):
-    df = basic(spark, sf).select("pr_id", *ROBUST_SCALED)
+    df = materialise(basic(spark, sf).select("pr_id", *ROBUST_SCALED), "features")
     return prep.fit_robust(df, ROBUST_SCALED).transform(df).withColumns({c: F.round(c, 6) for c in ROBUST_SCALED})
 
 

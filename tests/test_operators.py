@@ -205,3 +205,24 @@ def test_grown_and_cut_rows_all_have_a_key_and_a_fold(spark):
     assert even.select("key").distinct().count() == 128 and even.where("key is null").count() == 0
     folds = with_folds(even.select(F.col("key").alias("id"), "label"), "id", "label", 4)
     assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [32, 32, 32, 32]
+
+
+def test_many_quantiles_cost_no_more_passes(spark):
+    """However many ranks are wanted, a column has one sketch and all columns share three passes after the count."""
+    df = spark.range(0, 4000, 1, 3).select(
+        (F.col("id") * 7919 % 4001).cast("double").alias("a"), F.when(F.col("id") % 7 == 0, float("nan")).otherwise(F.col("id") % 5).alias("b"),
+        F.when(F.col("id") % 2 == 0, -F.col("id")).cast("double").alias("c"), F.lit(None).cast("double").alias("none"))
+    probs = [i / 32 for i in range(1, 32)]
+    sc = spark.sparkContext
+    sc.setJobGroup("quantiles", "")
+    try:
+        got = exact_quantiles(df, ["a", "b", "c", "none"], probs, direct_rows=600, accuracy=100)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("quantiles"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    table = df.toPandas()
+    assert got["a"] == pytest.approx(list(np.quantile(table["a"], probs)), rel=1e-12)
+    assert got["c"] == pytest.approx(list(np.quantile(table["c"].dropna(), probs)), rel=1e-12)
+    nan = sorted(float(v) for v in table["b"].dropna()) + [float("nan")] * int(table["b"].isna().sum())
+    assert [repr(v) for v in got["b"]][:20] == [repr(float(np.interp(p * 3999, range(4000), nan))) for p in probs][:20] and np.isnan(got["b"][-1])
+    assert got["none"] == [None] * 31 and jobs <= 16
