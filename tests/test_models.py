@@ -133,3 +133,44 @@ def test_stacked_scores_come_from_models_that_did_not_see_the_row(spark):
     scores = stack.last.scores.select(vector_to_array("_stack").alias("s")).collect()
     assert len(scores) == 20 and {tuple(r.s) for r in scores} == {(0.0, 0.0)}
     assert all(sorted(b.folds) == [0, 1, 2, 3] for b in stack.bases)
+
+
+class Watching(Keeping):
+    """Notes how the rows of each fit are dealt out, and by which plan."""
+
+    def __init__(self):
+        super().__init__()
+        self.seen = []
+
+    def copy(self, extra=None):
+        return self
+
+    def _fit(self, df):
+        sizes = [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+        self.seen.append((sizes, df._jdf.queryExecution().executedPlan().toString()))
+        return Remembered([0])
+
+
+@pytest.mark.parametrize("job", ["grid", "folds", "curve", "stack"])
+def test_training_tables_are_dealt_evenly_and_kept(spark, job):
+    """Hundreds of passes meet neither hundreds of tasks of a few rows nor one with most of them, and no Python."""
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(4000).select("id", F.col("id").cast("double").alias("label"), array_to_vector(F.array(F.col("id").cast("double"))).alias("features"))
+    df = df.withColumn("fold", (F.col("id") % 2).cast("int")).repartition(150, F.col("id") % 3)
+    watch = Watching()
+    if job == "grid":
+        modelling.grid_search(modelling.Candidate("w", watch, [{}, {}]), df, "mse", 2)
+    elif job == "folds":
+        modelling.fold_scores(spark, watch, df, "mse", 2)
+    elif job == "curve":
+        modelling.learning_curve(spark, watch, df, "id", "mse", 2, 2)
+    else:
+        modelling.fit_stacks([watch], {"last": Keeping()}, df, k=2)
+    assert len(watch.seen) == {"grid": 5, "folds": 2, "curve": 4, "stack": 3}[job]
+    for sizes, plan in watch.seen:
+        assert len(sizes) == cores and max(sizes) < 3 * sum(sizes) / cores
+        assert "InMemoryTableScan" in plan and "EvalPython" not in plan.split("InMemoryRelation")[0]
+
+
+def test_few_models_are_fitted_at_a_time_on_many_rows():
+    assert [modelling.workers(n, 4) for n in (0, 10 ** 6, 10 ** 7, 10 ** 9)] == [4, 4, 2, 1]
