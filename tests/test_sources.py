@@ -99,3 +99,16 @@ def test_ratios_over_nothing_are_null(spark):
         evaluate.pr_auc(steps).collect()
     r = evaluate.regression_metrics(spark.createDataFrame([(1.0, 2.0), (1.0, 1.0)], "y double, prediction double")).first()
     assert r["r2"] is None and r["adjusted_r2"] is None and r["mae"] == 0.5
+
+
+def test_batches_are_bounded_by_bytes_not_files(spark, tmp_path):
+    """Many small files are one batch; a bound in bytes or in files divides them."""
+    root = tmp_path / "cache"
+    for number in range(1100):
+        land(root, "repo", number)
+    read = {}
+    for name, options in {"all": {}, "bytes": {"batch_bytes": 60_000}, "files": {"files_per_batch": 600}}.items():
+        read[name] = len(ingest_documents(spark, str(root), str(tmp_path / name), str(tmp_path / f"state-{name}"), **options))
+        batches = [n for n in (tmp_path / f"state-{name}" / "commits").iterdir() if not n.name.startswith(".")]
+        assert (len(batches) == 1) == (name == "all")
+        assert sorted(r.pr_id for r in spark.read.parquet(str(tmp_path / name)).collect()) == list(range(1100))
