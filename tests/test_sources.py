@@ -112,3 +112,14 @@ def test_batches_are_bounded_by_bytes_not_files(spark, tmp_path):
         batches = [n for n in (tmp_path / f"state-{name}" / "commits").iterdir() if not n.name.startswith(".")]
         assert (len(batches) == 1) == (name == "all")
         assert sorted(r.pr_id for r in spark.read.parquet(str(tmp_path / name)).collect()) == list(range(1100))
+
+
+def test_one_row_a_file_is_written_by_many_tasks(spark, tmp_path):
+    """Exact copies of one partition too; the files are where they belong, and every row is one."""
+    from mergescope.catalog.storage import one_a_file
+
+    df = spark.range(0, 200, 1, 1).select(F.lit("a").alias("lang"), F.lit("same").alias("text"))
+    one_a_file(df, "lang").text(str(tmp_path / "tree"))
+    written = [f.name for f in (tmp_path / "tree" / "lang=a").glob("part-*.txt")]
+    assert len(written) == 200 and len({n.split("-")[1] for n in written}) == 4 * spark.sparkContext.defaultParallelism
+    assert spark.read.text(str(tmp_path / "tree")).count() == 200
