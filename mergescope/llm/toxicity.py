@@ -189,8 +189,12 @@ def _kernel(words: list[str], lookup: np.ndarray, table: np.ndarray) -> np.ndarr
         for at in range(0, len(who), 16_384):
             w, c = who[at:at + 16_384], col[at:at + 16_384]
             first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            add = np.add.reduceat(table[rows[w, c]] * (weights[c] / norm)[:, None], first, axis=0)
-            out[some[w[first]]] += add
+            at_row, scale = rows[w, c], (weights[c] / norm)[:, None]
+            # Some landmarks at a time, as all their weights together are many times the result.
+            for k in range(0, table.shape[1], 64):
+                part = table[at_row, k:k + 64]
+                part *= scale
+                out[some[w[first]], k:k + 64] += np.add.reduceat(part, first, axis=0)
     return out
 
 
@@ -280,12 +284,15 @@ def learn(texts: list[str], labels: np.ndarray) -> Model | None:
     if not (held & (labels == 1)).any():
         held[:] = True
     fit = ~held | held.all()
-    bags = [sorted({p for t in tokens(texts[i]) for p in parts(unit(t)) if p}) for i in np.flatnonzero(fit)]
     toxic = labels[fit] == 1
     counts: dict[str, list[int]] = {}
-    for bag, t in zip(bags, toxic):
+    bags = []
+    for i, t in zip(np.flatnonzero(fit), toxic):
+        bag = {p for u in tokens(texts[i]) for p in parts(unit(u)) if p}
         for w in bag:
             counts.setdefault(w, [0, 0])[int(t)] += 1
+        if t:
+            bags.append(sorted(bag))
     n_toxic, n_clean = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     # A word may be a witness if clean documents have it far more seldom; a few wrong labels do no harm.
     may = {w for w, (c, t) in counts.items() if t and (not c or t * n_clean > 10 * c * n_toxic)}
@@ -297,45 +304,56 @@ def learn(texts: list[str], labels: np.ndarray) -> Model | None:
     # A few columns at a time, as a table holds every subsequence of its words.
     gram = np.hstack([_kernel(pool, *_landmarks(pool[i:i + 128])) for i in range(0, len(pool), 128)])
     marks = [pool[i] for i in _pivots(gram, LANDMARKS)]
+    del gram
     lookup, table = _landmarks(marks)
     value, vector = np.linalg.eigh(_kernel(marks, lookup, table).astype(np.float64))
     root = (vector / np.sqrt(np.maximum(value, 1e-4))) @ vector.T
-    space = lambda words: _kernel(words, lookup, table) @ root.astype(np.float32)
     at = {w: i for i, w in enumerate(names)}
-    mine = [[at[w] for w in bag if w in at] for bag, t in zip(bags, toxic) if t]
+    mine = [[at[w] for w in bag if w in at] for bag in bags]
+    common = {at[w]: counts[w][1] for w in names if counts[w][1] >= max(5, COMMON * n_toxic)}
     score = np.array([counts[w][1] for w in names], np.float64)
+    del bags, counts, may
     used = np.arange(min(HARD * 3, len(clean)))
-    negative = space([clean[i] for i in used])
-    for _ in range(ROUNDS):
+    # One array holds the rows of all rounds: the negatives from row ``most`` on, the positives of a round before them.
+    most = len(common) + len(mine)
+    rows = np.empty((most + min(len(used) + HARD * (ROUNDS - 1), len(clean)), len(marks)), np.float32)
+
+    def place(words: list[str], row: int) -> None:
+        np.matmul(_kernel(words, lookup, table), root.astype(np.float32), out=rows[row:row + len(words)])
+
+    place([clean[i] for i in used], most)
+    for step in range(ROUNDS):
         # Words that a good part of all toxic documents have are positive in any case.
-        chosen = {at[w]: counts[w][1] for w in names if counts[w][1] >= max(5, COMMON * n_toxic)}
+        chosen = dict(common)
         for bag in mine:
             if bag:
                 k = max(bag, key=lambda i: (score[i], -i))
                 chosen[k] = chosen.get(k, 0) + 1
         pos = np.array(sorted(chosen))
         mass = np.sqrt([chosen[k] for k in pos])
-        x = np.vstack([space([names[k] for k in pos]), negative])
-        y = np.r_[np.ones(len(pos)), -np.ones(len(negative))]
-        w, bias = _machine(x, y, np.r_[mass / mass.sum(), np.full(len(negative), 2 / len(negative))] * 1000)
+        place([names[k] for k in pos], most - len(pos))
+        x = rows[most - len(pos):most + len(used)]
+        y = np.r_[np.ones(len(pos)), -np.ones(len(used))]
+        w, bias = _machine(x, y, np.r_[mass / mass.sum(), np.full(len(used), 2 / len(used))] * 1000)
         model = _folded(lookup, table, root @ w, bias)
         beta = model.dense()
         score = model.words(names, beta)
-        # The clean words that score highest join the negatives.
-        hard = np.setdiff1d(np.argsort(-model.words(clean, beta), kind="stable")[:HARD], used)
+        # The clean words that score highest join the negatives, which the last round needs no more.
+        hard = np.setdiff1d(np.argsort(-model.words(clean, beta), kind="stable")[:HARD], used) if step < ROUNDS - 1 else []
         if len(hard):
+            place([clean[i] for i in hard], most + len(used))
             used = np.r_[used, hard]
-            negative = np.vstack([negative, space([clean[i] for i in hard])])
-    rows = np.flatnonzero(held)
+    del rows, x
+    kept = np.flatnonzero(held)
     probe = Scorer(model)
     best = []
-    for i in rows:
+    for i in kept:
         # The curve's own evidence of each document, before it is known.
         bag = tokens(texts[i])
         s = np.sort(probe.model.words([p for t in bag for p in parts(unit(t))], probe.beta)) if bag else np.zeros(0)
         best.append((s[-1] if len(s) else -3.0, s[-2] if len(s) > 1 else -3.0, len(bag)))
     b = np.array(best)
-    model.curve = _logistic(evidence(b[:, 0], b[:, 1], b[:, 2]), (labels[rows] == 1).astype(float))
+    model.curve = _logistic(evidence(b[:, 0], b[:, 1], b[:, 2]), (labels[kept] == 1).astype(float))
     return model
 
 

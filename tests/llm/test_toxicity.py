@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -37,6 +38,20 @@ def test_held_out_accuracy_and_gaps(model):
     assert bad.tolist()[0] > 0.5 and bad[1] > 0.5 and bad[2] > 0.5 and bad[3] > 0.5 and bad[4] < 0.5
 
 
+def test_fit_holds_its_rows_once(monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"murkel{i % 7} " * (i % 3 == 0) + " ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(60)), int(i % 3 == 0)) for i in range(900)]
+    made = []
+    step = toxicity._machine
+    monkeypatch.setattr(toxicity, "_machine", lambda x, *rest: made.append(x.nbytes) or step(x, *rest))
+    tracemalloc.start()
+    toxicity.learn([t for t, _ in rows], np.array([y for _, y in rows]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == toxicity.ROUNDS and max(made) > 20e6
+    assert peak < max(made) + 120e6
+
+
 def test_folded_weights_equal_the_landmark_kernel():
     words = ["idiot", "id.iot", "clown", "the", "ab"]
     marks = ["idiot", "clowns", "other"]
