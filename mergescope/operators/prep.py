@@ -195,6 +195,8 @@ def chi_square(df: DataFrame, features: list[str], label: str) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in features]))
     cells = df.select(pairs.alias("p"), F.col(label).alias("label")).groupBy("p.feature", "p.value", "label").agg(
         F.count(F.lit(1)).alias("o"))
+    # Written, as the counts serve three times and are few beside the rows.
+    cells = materialise(cells, "cells")
     # Margins come from aggregates of the counts, so no window gathers a feature's cells in one task.
     rows = cells.groupBy("feature", "value").agg(F.sum("o").alias("r"))
     columns = cells.groupBy("feature", "label").agg(F.sum("o").alias("c"))

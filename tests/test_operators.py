@@ -226,3 +226,8 @@ def test_many_quantiles_cost_no_more_passes(spark):
     nan = sorted(float(v) for v in table["b"].dropna()) + [float("nan")] * int(table["b"].isna().sum())
     assert [repr(v) for v in got["b"]][:20] == [repr(float(np.interp(p * 3999, range(4000), nan))) for p in probs][:20] and np.isnan(got["b"][-1])
     assert got["none"] == [None] * 31 and jobs <= 16
+
+
+def test_chi_square_counts_its_rows_once(spark):
+    scores = prep.chi_square(spark.range(8).selectExpr("id % 2 v", "id % 2 y"), ["v"], "y")
+    assert scores.inputFiles() and rows(scores, "feature", "statistic", "degrees") == [("v", 8.0, 1)]
