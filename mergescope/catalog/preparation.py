@@ -213,7 +213,7 @@ CODED = f"""SELECT *, dense_rank() OVER (ORDER BY coalesce(code_quality_rate, 'n
 SELECT pr_id, score, (score >= median(score) OVER ())::INT target FROM (SELECT pr_id,
   3.0::DOUBLE * is_bug_fix::INT + 2.0::DOUBLE * merge_status::INT + 4.0::DOUBLE * rate_code + 4.0::DOUBLE * issue_code score FROM ({CODED}))""", FEATURE_VIEWS)
 def _(spark, sf):
-    df = materialise(pull_features(spark, sf).select("pr_id", "is_bug_fix", "merge_status", "code_quality_rate", "code_quality_issues"), "features")
+    df = materialise(pull_features(spark, sf).select("pr_id", "is_bug_fix", "merge_status", "code_quality_rate", "code_quality_issues"), "features", views.files(spark, sf).count())
     coded = prep.ordinal_encode(df, ["code_quality_rate", "code_quality_issues"])
     return cleaning.binarise_at_median(coded.select("pr_id", cleaning.classification_score().alias("score")), "score", "target")
 
@@ -224,7 +224,7 @@ SELECT pr_id, score, (score >= median(score) OVER ())::INT target FROM (SELECT p
   + 3.0::DOUBLE * num_comments + 3.0::DOUBLE * num_reviewers + 2.0::DOUBLE * author_experience + 3.0::DOUBLE * review_time
   + 3.0::DOUBLE * num_approvals + 3.0::DOUBLE * review_sentiment_score, 4) score FROM ({FEATURE_SQL}))""", FEATURE_VIEWS)
 def _(spark, sf):
-    df = materialise(pull_features(spark, sf).select("pr_id", *tables.REGRESSION_WEIGHTS), "features")
+    df = materialise(pull_features(spark, sf).select("pr_id", *tables.REGRESSION_WEIGHTS), "features", views.files(spark, sf).count())
     scored = prep.fill_zero(df).select("pr_id", F.round(cleaning.regression_score(), 4).alias("score"))
     return cleaning.binarise_at_median(scored, "score", "target")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, task_count
 
 
 def running_totals(
@@ -47,8 +47,9 @@ def running_totals(
 
 
 def dense_ranks(values: DataFrame, value: str, by: list[str], out: str = "code", max_rows: int = 100_000) -> DataFrame:
-    """Rank from 0 of distinct values within ``by``. ``values`` holds one row per distinct value."""
-    if values.limit(max_rows + 1).count() <= max_rows:
+    """Rank from 0 of distinct values within ``by``. ``values``, a written table, holds one row per distinct value."""
+    rows = values.count()
+    if rows <= max_rows:
         return values.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(value)).cast("long") - 1)
-    counted = running_totals(values.withColumn("_one", F.lit(1)), [value], {out: "_one"}, by)
+    counted = running_totals(values.withColumn("_one", F.lit(1)), [value], {out: "_one"}, by, partitions=task_count(values.sparkSession, rows))
     return counted.select(*values.columns, (F.col(out) - 1).cast("long").alias(out))

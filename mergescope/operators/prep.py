@@ -7,16 +7,20 @@ matching ``transform`` puts them into the plan as literals, so it costs no join
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
-from .joins import lookup_join
+from ..session import materialise, task_count
 from .ordered import dense_ranks
 from .quantiles import exact_quantiles
 
+# Values of a column that are matched without a shuffle, if they are short. Each of the others has less than this part of the rows.
+COMMON_VALUES = 1024
+COMMON_LENGTH = 16_384
+
 
 # --- columns -------------------------------------------------------------------------------------
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -123,25 +127,49 @@ def as_text(df: DataFrame, column: str, null_text: str | None = "nan") -> Column
 
 
 def ordinal_codes(df: DataFrame, columns: list[str], null_text: str | None = "nan") -> DataFrame:
-    """(column, value, code): rank from 0 of each column's sorted distinct values.
+    """(column, value, n, code): rows with each distinct value of a column, and its rank from 0 among them, sorted.
 
     Only distinct values are ranked. All columns share one pass and one shuffle.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), as_text(df, c, null_text).alias("value")) for c in columns]))
-    values = df.select(pairs.alias("_p")).select("_p.column", "_p.value").where(F.col("value").isNotNull()).distinct()
+    counts = df.select(pairs.alias("_p")).select("_p.column", "_p.value").where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = materialise(counts, "values", rows=df.count() * len(columns))
     return dense_ranks(values, "value", ["column"], "code")
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, columns: list[str], null_text: str | None = "nan",
                 null_code: int | None = None) -> DataFrame:
-    """Replace each column by its code, by one join a column to the code table, which is computed once."""
+    """Replace each column by its code from the code table, which is computed once and tells how many rows a value has.
+
+    The commonest values, a bounded number, are matched in place. So only rows with a rare value are shuffled, dealt by
+    their number, and no task gets all rows of a hot value.
+    """
     codes = materialise(codes, "codes")
-    order = df.columns
-    for c in columns:
-        lookup = codes.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
-        df = lookup_join(df.withColumn("_v", as_text(df, c, null_text)), lookup, ["_v"])
+    small = codes.groupBy("column").agg(F.count(F.lit(1)).alias("_values"), F.sum("n").alias("_rows"))
+    codes = codes.join(F.broadcast(small), "column").withColumn("_common", (F.length("value") <= COMMON_LENGTH) & (
+        (F.col("_values") <= COMMON_VALUES) | (F.col("n") * COMMON_VALUES >= F.col("_rows"))))
+    found = codes.groupBy("column").agg(F.coalesce(F.sum(F.when(~F.col("_common"), F.col("n"))), F.lit(0)).alias("rare")).collect()
+    rare = {r["column"]: r["rare"] for r in found}
+    order, split = df.columns, False
+    # Columns of common values alone come first, so that the rows are divided once they are narrow.
+    for c in sorted(columns, key=lambda c: rare.get(c, 0)):
+        rows = rare.get(c, 0)
+        if rows and split:
+            df = materialise(df, "coded")
+        own = codes.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"), "_common")
+        # The text takes the place of the value, so that it is moved once.
+        named = df.withColumn(c, as_text(df, c, null_text))
+        near = named.join(F.broadcast(own.where("_common").drop("_common")), F.col(c) == F.col("_v"), "left").drop("_v")
+        parts = [near]
+        if rows:
+            split = True
+            rest = near.where(F.col("_code").isNull() & F.col(c).isNotNull()).drop("_code")
+            tasks = task_count(df.sparkSession, rows)
+            rest = rest.repartition(tasks, c) if tasks else rest
+            rest = rest.join(own.where(~F.col("_common")).drop("_common"), F.col(c) == F.col("_v"), "left").drop("_v")
+            parts = [near.where(F.col("_code").isNotNull() | F.col(c).isNull()), rest]
         code = F.coalesce(F.col("_code"), F.lit(null_code)) if null_code is not None else F.col("_code")
-        df = df.withColumn(c, code.cast("long")).drop("_v", "_code")
+        df = reduce(DataFrame.unionByName, parts).withColumn(c, code.cast("long")).drop("_code")
     return df.select(*order)
 
 

@@ -53,5 +53,7 @@ def regression_score(weights: dict[str, float] | None = None) -> Column:
 
 def binarise_at_median(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """1 from the median up, else 0; null is not at or above it."""
+    # Written, as the median takes several passes.
+    df = materialise(df, "scored")
     middle = exact_quantiles(df, [column], [0.5])[column][0]
     return df.withColumn(out or column, F.coalesce(F.col(column) >= F.lit(middle), F.lit(False)).cast("int"))

@@ -231,3 +231,24 @@ def test_many_quantiles_cost_no_more_passes(spark):
 def test_chi_square_counts_its_rows_once(spark):
     scores = prep.chi_square(spark.range(8).selectExpr("id % 2 v", "id % 2 y"), ["v"], "y")
     assert scores.inputFiles() and rows(scores, "feature", "statistic", "degrees") == [("v", 8.0, 1)]
+
+
+def test_coding_leaves_the_rows_of_a_hot_value_where_they_are(spark, monkeypatch):
+    """Codes are ranks whatever a value's frequency, and no task gets all the rows of a hot value or of null."""
+    monkeypatch.setattr(prep, "COMMON_VALUES", 16)
+    rows = [(i, "hot" if i % 2 else f"v{i % 97}x" if i % 8 else None, i % 3 == 0, f"w{i % 50}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, a string, b boolean, c string").repartition(8, "id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        coded = prep.category_codes(df, ["a", "b", "c"])
+        got = coded.collect()
+        dealt = prep.category_codes(df, ["a", "b"]).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert coded.columns == df.columns
+    ranks = [{v: n for n, v in enumerate(sorted({r[k] for r in rows} - {None}))} | {None: -1} for k in (1, 2, 3)]
+    assert sorted((r.id, r.a, r.b, r.c) for r in got) == [(i, ranks[0][a], ranks[1][b], ranks[2][c]) for i, a, b, c in rows]
+    for value in ("hot", None):
+        places = [r["at"] for r in dealt if r.a == ranks[0][value]]
+        assert max(places.count(p) for p in set(places)) < len(places) / 3

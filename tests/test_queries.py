@@ -37,3 +37,28 @@ def test_entry(spark):
 
 def test_contract_names_agree():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", ["classification_target"])
+def test_tasks_follow_the_rows(spark, sf, name, monkeypatch):
+    """The tables that a query writes are cut by rows, as shuffle partitions are few and joined up by compressed size."""
+    from mergescope import session
+    from mergescope.catalog import preparation
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    written, write = {}, preparation.materialise
+
+    def noted(df, name="table", *args, **kwargs):
+        written[name] = write(df, name, *args, **kwargs)
+        return written[name]
+
+    monkeypatch.setattr(preparation, "materialise", noted)
+    settings = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ENTRIES[name].run(spark, sf)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert len(written["features"].inputFiles()) >= 50
+    assert settings == {k: spark.conf.get(k) for k in settings}
