@@ -279,7 +279,7 @@ SELECT {code('repository_name', 'repository_name')}, {', '.join(code(c, FLAGS.fo
 FROM (SELECT * REPLACE ({each("coalesce({c}, median({c}) OVER ()) AS {c}", FULL_NUMBERS)}) FROM (SELECT * REPLACE ({DRIFTED}) FROM ({FEATURE_SQL})))""", FEATURE_VIEWS)
 def _(spark, sf):
     """Tables of two collections with different columns, merged, cleaned, coded and scaled."""
-    whole = materialise(pull_features(spark, sf), "features")
+    whole = materialise(pull_features(spark, sf), "features", views.files(spark, sf).count())
     merged = union_tables([whole.where(F.col("pr_id") % 2 == half).drop(*columns) for half, columns in enumerate(LACKING)])
     return cleaning.standardise(merged).withColumns({c: F.round(c, 6) for c in FULL_NUMBERS})
 

@@ -26,6 +26,8 @@ def exact_quantiles(
     Every pass but the last moves a few rows per task, and their number does not depend on how many ranks are wanted.
     ``df`` is read in each pass, so it should be a written table. Results are exact.
     """
+    if not columns:
+        return {}
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
     if sum(counts.values()) <= direct_rows:
         wanted = F.array(*[F.lit(p) for p in probabilities])

@@ -18,7 +18,9 @@ def standardise(df: DataFrame, drop: list[str] = UNUSED_COLUMNS) -> DataFrame:
     df = materialise(df.drop(*drop), "features")
     numbers, names = prep.numeric_columns(df), prep.categorical_columns(df)
     codes = prep.ordinal_codes(df, names)
-    filled = prep.fill(df, prep.medians(df, numbers))
+    # A median takes several passes and serves columns with nulls only.
+    rows, counts = df.count(), prep.non_null_counts(df.select(*numbers))
+    filled = prep.fill(df, prep.medians(df, [c for c in numbers if counts[c] < rows]))
     scaled = prep.fit_standard(filled, numbers).transform(filled)
     return prep.apply_codes(scaled, codes, names)
 

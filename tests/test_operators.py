@@ -252,3 +252,15 @@ def test_coding_leaves_the_rows_of_a_hot_value_where_they_are(spark, monkeypatch
     for value in ("hot", None):
         places = [r["at"] for r in dealt if r.a == ranks[0][value]]
         assert max(places.count(p) for p in set(places)) < len(places) / 3
+
+
+def test_standardise_takes_medians_of_columns_with_nulls_only(spark, monkeypatch):
+    from mergescope.plans import cleaning
+
+    asked, medians = [], prep.medians
+    monkeypatch.setattr(prep, "medians", lambda df, columns: asked.append(list(columns)) or medians(df, columns))
+    df = spark.createDataFrame([(1.0, 4.0, "b"), (3.0, None, "a"), (5.0, 8.0, None)], "x double, y double, z string")
+    got = sorted((round(r.x, 4), round(r.y, 4), r.z) for r in cleaning.standardise(df, []).collect())
+    assert got == [(-1.2247, -1.2247, 1), (0.0, 0.0, 0), (1.2247, 1.2247, 2)]
+    cleaning.standardise(df.select("x", "z"), [])
+    assert asked == [["y"], []]
