@@ -136,7 +136,7 @@ ROBUST_SCALED = ["num_commits", "num_reviewers", "review_time"]
 
 @query("robust_scaled", "M7 A21", f"SELECT pr_id, {each(ROBUST, ROBUST_SCALED)} FROM ({BASIC})", "pulls reviews")
 def _(spark, sf):
-    df = materialise(basic(spark, sf).select("pr_id", *ROBUST_SCALED), "features")
+    df = materialise(basic(spark, sf).select("pr_id", *ROBUST_SCALED), "features", views.reviews(spark, sf).count())
     return prep.fit_robust(df, ROBUST_SCALED).transform(df).withColumns({c: F.round(c, 6) for c in ROBUST_SCALED})
 
 

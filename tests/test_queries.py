@@ -39,7 +39,7 @@ def test_contract_names_agree():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", ["classification_target", "standardised_table"])
+@pytest.mark.parametrize("name", ["classification_target", "standardised_table", "robust_scaled"])
 def test_tasks_follow_the_rows(spark, sf, name, monkeypatch):
     """The tables that a query writes are cut by rows, as shuffle partitions are few and joined up by compressed size."""
     from mergescope import session
