@@ -5,7 +5,8 @@ another place too, in any document or the same. The steps:
 
 1. Every window picks the leftmost smallest hash among its runs of ANCHOR bytes. Equal windows pick equal ones, so the
    suffixes to sort are dealt out by this anchor. Neighbouring windows with one anchor form a passage; only anchors met
-   twice go on, and equal passages go on once, with the number of their copies.
+   twice go on, and equal passages go on once, with the number of their copies. As most passages end there, they are never
+   written: one pass over the texts counts the anchors, another finds the passages again.
 2. Anchors are the positions whose suffixes are sorted, forwards and, for what stands before them, backwards. Each task
    sorts its own into runs and sends them front-coded: the common prefix with the string before, and the tail.
 3. A loser tree merges an anchor's runs. Every loser keeps the length of its common prefix with the last winner: unequal
@@ -13,7 +14,8 @@ another place too, in any document or the same. The steps:
    windows are equal if, around the anchor, they lie in one class of common prefixes forwards and one backwards.
 
 The windows of an anchor with very many different passages are not sorted: Spark counts them by their 128-bit hash, so no
-task holds all rows of a passage that stands in different surroundings. Null text is empty; rows that repeat
+task holds all rows of a passage that stands in different surroundings. Such anchors, at most one for HEAVY passages, are
+known to the tasks, which find their windows in the texts where these stand. Null text is empty; rows that repeat
 a doc_id, or are copies, count as places of their own. A null doc_id is a document like any other. Empty tables give no
 rows; other columns are ignored.
 """
@@ -27,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -56,12 +58,27 @@ def passages(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return h[starts + before].view(np.int64), starts, np.diff(np.r_[starts, len(at)]), before
 
 
+def _key(text: Column) -> list[Column]:
+    """(id, row), which are never null: a doc_id, and the hash of a text's hash that also tells a null doc_id from 0."""
+    return [F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64(text, F.isnull("doc_id")).alias("row")]
+
+
+def found_anchors(docs: DataFrame) -> DataFrame:
+    """(anchor) per passage."""
+
+    def run(t: pa.Table) -> pa.Table:
+        found = [passages((x or "").encode("utf-8", "surrogatepass"))[0] for x in t.column("text").to_pylist()]
+        return pa.table([pa.array(np.concatenate(found))], names=["anchor"])
+
+    return arrow(docs.select("text"), run, "anchor long")
+
+
 def found_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, anchor, start, n, before, content) per passage."""
+    """(id, row, anchor, start, n, before, content) per passage."""
 
     def run(t: pa.Table) -> pa.Table:
         docs_, rows, anchors, starts, counts, befores, contents = [], [], [], [], [], [], []
-        for doc, row, text in zip(t.column("doc_id").to_pylist(), t.column("row").to_pylist(), t.column("text").to_pylist()):
+        for doc, row, text in zip(t.column("id").to_pylist(), t.column("row").to_pylist(), t.column("text").to_pylist()):
             raw = (text or "").encode("utf-8", "surrogatepass")
             a, s, n, before = passages(raw)
             docs_ += [doc] * len(a)
@@ -75,10 +92,10 @@ def found_passages(docs: DataFrame) -> DataFrame:
         return pa.table([pa.array(docs_, pa.int64()), pa.array(rows, pa.int64()), pa.array(np.concatenate(anchors)),
                          pa.array(np.concatenate(starts), pa.int64()).cast(pa.int32()), pa.array(np.concatenate(counts), pa.int64()).cast(pa.int32()),
                          pa.array(np.concatenate(befores), pa.int64()).cast(pa.int32()), pa.array(contents, pa.binary())],
-                        names=["doc_id", "row", "anchor", "start", "n", "before", "content"])
+                        names=["id", "row", "anchor", "start", "n", "before", "content"])
 
-    return arrow(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), run,
-                 "doc_id long, row long, anchor long, start int, n int, before int, content binary")
+    return arrow(docs.select(*_key(F.xxhash64("text")), "text"), run,
+                 "id long, row long, anchor long, start int, n int, before int, content binary")
 
 
 def prefix_length(x: bytes, y: bytes, known: int) -> int:
@@ -148,7 +165,7 @@ _RUN = "key long, content binary, offset int, n int, copies long, before int, ru
 
 
 def _runs(wanted: DataFrame) -> DataFrame:
-    """Front-coded sorted runs of a batch's passages, by anchor, but for those of heavy anchors.
+    """Front-coded sorted runs of a batch's passages, by anchor.
 
     Of a passage the suffix from its anchor on and the reversed prefix up to the anchor are sorted, a run each.
     """
@@ -157,8 +174,6 @@ def _runs(wanted: DataFrame) -> DataFrame:
         rows, ahead, back, keys = [], [], [], {}
         for text, wants in zip(unpack(t.column("packed")), t.column("wants").to_pylist()):
             for w in wants:
-                if w["heavy"]:
-                    continue
                 part, before = text[w["start"]:w["start"] + w["n"] + WINDOW - 1], w["before"]
                 keys.setdefault(w["anchor"], []).append(len(rows))
                 rows.append([w["anchor"], w["content"], 0, w["n"], w["copies"], before])
@@ -182,31 +197,39 @@ def _runs(wanted: DataFrame) -> DataFrame:
     return arrow(wanted, run, _RUN)
 
 
-def _windows(wanted: DataFrame) -> DataFrame:
-    """The wanted passages of heavy anchors, window by window."""
+def _windows(docs: DataFrame, heavy: list[int]) -> DataFrame:
+    """The passages of heavy anchors, window by window; of equal ones in a batch one, with the number of its copies."""
+    heavy = np.array(heavy, np.int64)
 
     def run(t: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in range(4)]
-        for text, wants in zip(unpack(t.column("packed")), t.column("wants").to_pylist()):
-            view = memoryview(text)
-            for w in wants:
-                if w["heavy"]:
-                    out[0] += [xxhash.xxh3_128_digest(view[k:k + WINDOW]) for k in range(w["start"], w["start"] + w["n"])]
-                    out[1] += [w["content"]] * w["n"]
-                    out[2] += range(w["n"])
-                    out[3] += [w["copies"]] * w["n"]
-        kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64()]
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["window", "content", "offset", "copies"])
+        out: list[list] = [[] for _ in range(3)]
+        copies: dict[bytes, int] = {}
+        for text in t.column("text").to_pylist():
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            anchors, starts, counts, _ = passages(raw)
+            mine = np.isin(anchors, heavy)
+            view = memoryview(raw)
+            for s, n in zip(starts[mine].tolist(), counts[mine].tolist()):
+                content = xxhash.xxh3_128_digest(view[s:s + n + WINDOW - 1])
+                copies[content] = copies.get(content, 0) + 1
+                if copies[content] == 1:
+                    out[0] += [xxhash.xxh3_128_digest(view[k:k + WINDOW]) for k in range(s, s + n)]
+                    out[1] += [content] * n
+                    out[2] += range(n)
+        kinds = [pa.binary(), pa.binary(), pa.int32()]
+        found = [pa.array(c, k) for c, k in zip(out, kinds)] + [pa.array([copies[c] for c in out[1]], pa.int64())]
+        return pa.table(found, names=["window", "content", "offset", "copies"])
 
-    return arrow(wanted, run, "window binary, content binary, offset int, copies long")
+    return arrow(docs.select("text"), run, "window binary, content binary, offset int, copies long")
 
 
-def _counted(wanted: DataFrame) -> DataFrame:
+def _counted(docs: DataFrame, heavy: list[int]) -> DataFrame:
     """Matches of the passages of heavy anchors, as of _merge."""
-    windows = materialise(_windows(wanted), "windows")
+    windows = materialise(_windows(docs, heavy), "windows")
     # Written, so that Spark can split the rows of a common window in the join.
     again = materialise(windows.groupBy("window").agg(F.sum("copies").alias("k")).where("k > 1").select("window"), "again")
-    offsets = windows.join(again, "window").groupBy("content").agg(F.array_sort(F.collect_list("offset")).alias("at"))
+    # A passage that several batches hold is here several times.
+    offsets = windows.join(again, "window").groupBy("content").agg(F.array_sort(F.collect_set("offset")).alias("at"))
     return offsets.select("content", F.flatten(F.transform("at", lambda o: F.array(o, o + 1))).alias("spans"))
 
 
@@ -308,40 +331,40 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done()
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, spans): runs of window starts that occur elsewhere, as a flat list of [first, last + 1) bounds."""
-    found = materialise(found_passages(docs), "passages")
+def repeats(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, row, spans): runs of window starts that occur elsewhere, as a flat list of [first, last + 1) bounds.
+
+    ``texts`` are the rows of docs as (id, row, doc_id, packed).
+    """
     # Written, so that the join below shuffles both sides itself and a hot anchor's rows can be split.
-    twice = materialise(found.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "anchors")
-    shared = materialise(found.join(twice, "anchor"), "shared")
+    twice = materialise(found_anchors(docs).groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "anchors")
+    shared = materialise(found_passages(docs).join(twice, "anchor"), "shared")
     each = shared.groupBy("anchor", "content").agg(
-        F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "start", "n", "before")).alias("at"))
+        F.count("*").alias("copies"), F.min(F.struct("id", "row", "start", "n", "before")).alias("at"))
     each = materialise(each, "contents")
     width = each.groupBy("anchor").agg((F.count("*") > HEAVY).alias("heavy"), (F.count("*") == 1).alias("alone"))
     width = materialise(width, "widths")
-    some = not width.where("heavy").isEmpty()
-    wants = each.join(width, "anchor").select(
-        "at.doc_id", "at.row", F.struct("anchor", "content", "copies", "heavy", "alone", "at.start", "at.n", "at.before").alias("want"))
-    wants = wants.groupBy("doc_id", "row").agg(F.collect_list("want").alias("wants"))
-    texts = packed(docs)
-    same = texts["doc_id"].eqNullSafe(wants["doc_id"]) & (texts["row"] == wants["row"])
-    one = texts.join(wants, same).select(texts["doc_id"], texts["row"], "packed", "wants").dropDuplicates(["doc_id", "row"])
-    one = materialise(one.select("packed", "wants"), "wanted") if some else one.select("packed", "wants")
+    wants = each.join(width.where("not heavy"), "anchor").select(
+        "at.id", "at.row", F.struct("anchor", "content", "copies", "alone", "at.start", "at.n", "at.before").alias("want"))
+    wants = wants.groupBy("id", "row").agg(F.collect_list("want").alias("wants"))
+    # The same keys as of the groups, so that neither the groups nor the joined texts are shuffled again.
+    one = texts.join(wants, ["id", "row"]).dropDuplicates(["id", "row"])
     runs = _runs(one).repartition("key").sortWithinPartitions("key")
     matches = runs.mapInPandas(_merge, "content binary, spans array<int>")
-    matches = materialise(matches.unionAll(_counted(one)) if some else matches, "matches")
-    hits = shared.select("doc_id", "row", "start", "content").join(matches, "content")
+    heavy = [r.anchor for r in width.where("heavy").select("anchor").collect()]
+    if heavy:
+        matches = matches.unionAll(_counted(docs, heavy))
+    hits = shared.select("id", "row", "start", "content").join(matches, "content")
     moved = F.transform("spans", lambda x: x + F.col("start")).alias("spans")
     # Copied rows of one document find the same runs; they are told apart when the text is read again.
-    return hits.select("doc_id", "row", moved).groupBy("doc_id", "row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    return hits.select("id", "row", moved).groupBy("id", "row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, spans (removed runs as [start, end) pairs) and kept (bytes left)."""
-    found = repeats(docs)
-    texts = packed(docs)
-    same = texts["doc_id"].eqNullSafe(found["doc_id"]) & (texts["row"] == found["row"])
-    all_ = texts.join(found, same, "left").select(texts["doc_id"], "packed", "spans")
+    # One table for both joins, with the same columns and keys, so that Spark shuffles the texts once and reads them twice.
+    texts = packed(docs).select(*_key(F.col("row")), "doc_id", "packed")
+    all_ = texts.join(repeats(docs, texts), ["id", "row"], "left").select("doc_id", "packed", "spans")
 
     def run(t: pa.Table) -> pa.Table:
         n, gone, runs, kept = [], [], [], []

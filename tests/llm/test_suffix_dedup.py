@@ -79,6 +79,42 @@ def test_no_task_holds_a_passage_in_many_surroundings(spark, docs, monkeypatch):
     assert run(docs, rows) == brute(rows, 200)
 
 
+def test_passages_are_not_written_and_texts_are_shuffled_once(spark, docs, monkeypatch):
+    setup(spark)
+    written, whole = {}, suffix_dedup.materialise
+
+    def counted(df, name="table", rows=0):
+        out = whole(df, name, rows)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialise", counted)
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passage = text(300)
+    rows = [(i, text(1500) + (passage if i < 2 else "")) for i in range(20)] + [(None, text(100) + passage)]
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = suffix_dedup.deduplicate(docs(rows))
+        got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in found.collect()), key=str)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert got == brute(rows, 200)
+    # The shared passage's few rows, and not those of the other passages.
+    assert sum(written.values()) < sum(len(suffix_dedup.passages(t.encode())[0]) for _, t in rows) / 4
+    assert "ReusedExchange" in plan
+
+
+def test_null_id_and_zero_with_one_text_are_told_apart(docs):
+    rng = random.Random(14)
+    text = "".join(rng.choice("abcdefgh") for _ in range(500))
+    rows = [(0, text), (None, text), (0, text[:250]), (None, None), (0, None)]
+    assert run(docs, rows) == brute(rows, 200)
+
+
 def test_empty_table(docs):
     assert run(docs, []) == []
 
