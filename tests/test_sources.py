@@ -123,3 +123,36 @@ def test_one_row_a_file_is_written_by_many_tasks(spark, tmp_path):
     written = [f.name for f in (tmp_path / "tree" / "lang=a").glob("part-*.txt")]
     assert len(written) == 200 and len({n.split("-")[1] for n in written}) == 4 * spark.sparkContext.defaultParallelism
     assert spark.read.text(str(tmp_path / "tree")).count() == 200
+
+
+def test_row_files_are_those_of_sparks_writers_and_nothing_else(spark, tmp_path):
+    """Odd folder names, nulls and line breaks; no checksums or marks stand beside the files, and a task names its own."""
+    from mergescope.catalog.storage import one_a_file
+
+    names = [None, "", "a b", "x+y", "%41", "q\"'*:=?\\{[]^#/\x7f\x01z", "é"]
+    df = spark.createDataFrame([(f, t, n) for n, f in enumerate(names) for t in ("x\r\ny", None, "", "é ")], "f string, t string, n int")
+    one_a_file(df.select("f", "t"), "f").text(str(tmp_path / "text"))
+    one_a_file(df, "f").json(str(tmp_path / "json"))
+    df.select("f", "t").write.partitionBy("f").option("maxRecordsPerFile", 1).text(str(tmp_path / "old text"))
+    df.write.partitionBy("f").option("maxRecordsPerFile", 1).option("pretty", True).json(str(tmp_path / "old json"))
+    for kind, extension in (("text", "txt"), ("json", "json")):
+        mine, theirs = ([p for p in (tmp_path / name).rglob(pattern) if p.is_file()] for name, pattern in ((kind, "*"), (f"old {kind}", f"part-*.{extension}")))
+        assert sorted((p.parent.name, p.read_bytes()) for p in mine) == sorted((p.parent.name, p.read_bytes()) for p in theirs)
+        assert len(mine) == 28 and all(p.suffix == f".{extension}" for p in mine)
+
+
+def test_small_source_files_are_read_by_few_tasks(spark, sf, monkeypatch):
+    """A task reads hundreds of small files, not the few that Spark's cost of opening one allows."""
+    import __spark_entry__ as entry
+    from mergescope.catalog import storage
+
+    tasks = []
+
+    def watched(df, name):
+        tasks.append(df.select("n").inputFiles() and df.sparkSession.conf.get("spark.sql.files.openCostInBytes"))
+        return df
+
+    monkeypatch.setattr(storage, "materialise", watched)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    entry.queries()["source_files"](spark, sf)
+    assert tasks == ["64k"] and spark.conf.get("spark.sql.files.openCostInBytes") == before
