@@ -156,3 +156,15 @@ def test_small_source_files_are_read_by_few_tasks(spark, sf, monkeypatch):
     before = spark.conf.get("spark.sql.files.openCostInBytes")
     entry.queries()["source_files"](spark, sf)
     assert tasks == ["64k"] and spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_a_batch_of_small_documents_is_read_by_few_tasks(spark, tmp_path):
+    from mergescope.streaming.ingest import _stream_settings
+
+    for number in range(1100):
+        land(tmp_path / "cache", "repo", number)
+    tasks = lambda: files.read_documents(spark, str(tmp_path / "cache")).rdd.getNumPartitions()
+    before = tasks()
+    with _stream_settings(spark):
+        assert tasks() <= spark.sparkContext.defaultParallelism < before
+    assert tasks() == before
